@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from granary.llm import chat, mixing
+from granary.llm import chat, decontaminate, mixing, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_warc": warc.op3_warc,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op8_chat": chat.op8_chat,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
+#: No SQL for op9 (a trained model): it is tested on its held-out fold.
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op3_warc": warc.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
     "op8_chat": chat.ORACLE,
 }
