@@ -102,9 +102,9 @@ def filter_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 ORACLE = r"""
 with t as (
-  select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') as w, text from documents
-  union all select 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> ''), text from benchmark),
-s as (select kind, id, text, unnest(list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))) as s from t where len(w) >= 5),
+  select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w, text from documents
+  union all select 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> ''), text from benchmark),
+s as (select kind, id, text, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) as s from t where len(w) >= 5),
 i as (select distinct id as item_id, s from s where kind = 'i'),
 n as (select item_id, count(*) as item_shingles from i group by item_id),
 m as (select d.id as doc_id, d.text, i.item_id, count(distinct i.s) as shared from s d join i on d.s = i.s where d.kind = 'd' group by all)

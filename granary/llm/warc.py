@@ -102,12 +102,11 @@ def _offsets(pieces: DataFrame) -> DataFrame:
     )
 
 
-def _body(value: Column, size: Column) -> dict[str, Column]:
-    """What a record's own bytes, after its magic, say; size: how many of them are at hand."""
+def _body(value: Column) -> dict[str, Column]:
+    """What a record's own bytes, after its magic, say."""
     head = F.substring_index(value, BREAK, 1)
     head_bytes = F.octet_length(head) + len(BREAK)
-    length = F.expr("try_cast(null as bigint)") if value is None else _field(head, "Content-Length").try_cast("bigint")
-    return {"head": head, "head_bytes": head_bytes.cast("long"), "length": length}
+    return {"head": head, "head_bytes": head_bytes.cast("long"), "length": _field(head, "Content-Length").try_cast("bigint")}
 
 
 def _payload(value: Column, head_bytes: Column, length: Column) -> Column:
@@ -163,7 +162,7 @@ def reachable(spark: SparkSession, candidates: DataFrame) -> DataFrame:
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Columns RESULT, and payload (binary) if wanted, one row for each true record."""
     pieces = _pieces(spark, path)
-    body = _body(F.col("value"), F.col("bytes"))
+    body = _body(F.col("value"))
     seen = _described(pieces.withColumns(body))
     keep = [*RESULT, "payload"] if payloads else RESULT
     # payloads stay out of the index: it is sorted file by file
@@ -194,7 +193,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     parts = parts.withColumn("rec", F.last(F.when(F.col("start"), F.struct("offset", "succ", "rec_whole")), ignorenulls=True).over(upto))
     parts = parts.where("rec is not null and not rec.rec_whole and offset < rec.succ")
     joined = parts.groupBy("file", F.col("rec.offset").alias("at")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
-    joined = joined.withColumns(_body(F.col("value"), F.octet_length("value")))
+    joined = joined.withColumns(_body(F.col("value")))
     joined = joined.where(F.octet_length("value") >= F.col("head_bytes") + F.col("length"))
     return whole.select(*keep).unionByName(_described(joined).select(*keep))
 
