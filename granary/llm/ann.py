@@ -209,9 +209,10 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
                 yield f.assign(leaf=tree.assign(lifted(_stack(f["av_vec"]))))
 
     index = materialise(vectors.mapInPandas(placed, "av_id long, av_vec array<double>, leaf int"), "ann-index")
-    sizes = index.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     # one row for each of at most MAX_LEAVES leaves
-    blocked = index.join(F.broadcast(sizes), "leaf").withColumn("block", F.expr("cast(pmod(xxhash64(av_id), blocks) as int)"))
+    sizes = materialise(index.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "ann-leaves")
+    hashed = "cast(pmod(xxhash64(av_id), blocks) as int) as block"
+    blocked = index.join(F.broadcast(sizes), "leaf").selectExpr("leaf", hashed, "av_id", "av_vec")
 
     def scored(exact_k: int, own: bool):
         def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -234,8 +235,9 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
 
     queries = vectors.where(F.col("av_id") % every == 0).groupBy(F.col("av_id").alias("q_id")).agg(F.min("av_vec").alias("q_vec"))
     asked = queries.mapInPandas(visiting, "q_id long, q_vec array<double>, leaf int")
-    asked = asked.join(F.broadcast(sizes), "leaf").withColumn("block", F.expr("explode(sequence(0, blocks - 1))"))
-    found = blocked.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInPandas(scored(k, False), PAIRS)
+    spread = sizes.selectExpr("leaf as s_leaf", "explode(sequence(0, blocks - 1)) as s_block")
+    asked = asked.join(spread, asked["leaf"] == spread["s_leaf"]).selectExpr("s_leaf as q_leaf", "s_block as q_block", "q_id", "q_vec")
+    found = blocked.groupBy("leaf", "block").cogroup(asked.groupBy("q_leaf", "q_block")).applyInPandas(scored(k, False), PAIRS)
     return _best(found, k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import ann, chat, decontaminate, html_text, mixing, toxicity, warc
+from granary.llm import ann, chat, decontaminate, html_text, mixing, neardup, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_html": html_text.op7_html,
     "op8_chat": chat.op8_chat,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_neardup": neardup.op10_neardup,
 }
 #: No SQL for op6 (approximate), op7 (an extractor) and op9 (a trained model): their tests hold them against brute force,
 #: marked articles and the held-out fold.
