@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from granary.llm import ann, chat, decontaminate, html_text, mixing, neardup, toxicity, warc
+from granary.llm import ann, chat, decontaminate, html_text, mixing, neardup, passages, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_warc": warc.op3_warc,
+    "op4_passages": passages.op4_passages,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_nearest": ann.op6_nearest,
     "op7_html": html_text.op7_html,
