@@ -384,7 +384,12 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class; of rows that repeat an id one stays."""
-    found = materialise(classes(docs), "near-classes").where("doc_id <> class_id").select(F.col("doc_id").alias("x_id")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["x_id"], "left_anti")
-    return kept
+    """The document of smallest id of each class; of rows that repeat an id one stays, null ids all stay."""
+    found = materialise(classes(docs), "near-classes")
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("x_id")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["x_id"], "left_anti")
+    twice = materialise(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("x_id")).agg(F.count("*").alias("n")).where("n > 1").select("x_id"), "near-repeated")
+    if twice.isEmpty():
+        return kept
+    again = kept["doc_id"] == twice["x_id"]
+    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
