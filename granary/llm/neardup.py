@@ -10,17 +10,18 @@ Signatures.  Each of ``BANDS * ROWS`` samples draws, for a shingle, r and c from
 Gamma(2, 1) and b from U(0, 1), quantises t = floor(ln w / r + b), and picks the
 shingle of smallest ln a = ln c - r (t - b) - r; two texts pick the same
 (shingle, t) with a probability equal to their weighted Jaccard similarity.
-The draws come from tables of 65,536 entries that a hash of the shingle indexes;
+The draws come from tables of 32,768 entries that a hash of the shingle indexes;
 for the commonest weight the tables hold t and ln a ready.  Everything
 runs in one pass, many texts at a time.
 
 Candidates.  Equal weighted sets are one node from then on.  Samples are banded
 (``BANDS`` keys of ``ROWS`` samples: a pair at 0.8 shares one with 0.9996).
 In a bucket all members' sketches (one byte a sample) are compared; pairs whose
-estimate is under ``LEAST`` (3.5 standard deviations under 0.8) are left.  Not
-all pairs of a bucket go on: first the pairs of a maximum spanning forest by
-estimate; they are verified and joined to components; then every pair of
-the bucket that still lies between different components.  What is not compared
+estimate is under ``LEAST`` (3.5 standard deviations under 0.8) are left.  No
+bucket emits all its pairs: first those of a maximum spanning forest by
+estimate are verified and joined to components; then, in each bucket whose members still
+lie in different components, every pair between two of them is verified inside the
+task, which emits only links that join two.  What is not compared
 lies inside one class already, so that no link between classes is lost.  A
 bucket of over ``BLOCK`` members is compared as pairs of blocks, in as many tasks.
 
@@ -54,10 +55,10 @@ SAMPLES = BANDS * ROWS
 LEAST = 0.66
 RARE = 0.02
 DEPTH, WIDTH = 2, 1 << 17
-BLOCK = 4096
+BLOCK = 2048
 #: Buckets of up to so many members have all pairs compared at once.
 SMALL = 4
-TABLE_BITS = 16
+TABLE_BITS = 15
 
 
 def _distinct(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -137,9 +138,9 @@ class Sampler:
     def __init__(self, usual: float):
         rng = np.random.default_rng(20_11)
         n = 1 << TABLE_BITS
-        self.r = [rng.gamma(2.0, 1.0, n) for _ in range(SAMPLES)]
-        self.c = [np.log(rng.gamma(2.0, 1.0, n)) for _ in range(SAMPLES)]
-        self.b = [rng.random(n) for _ in range(SAMPLES)]
+        self.r = [rng.gamma(2.0, 1.0, n).astype(np.float32) for _ in range(SAMPLES)]
+        self.c = [np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32) for _ in range(SAMPLES)]
+        self.b = [rng.random(n, np.float32) for _ in range(SAMPLES)]
         self.mult = [np.uint64(int(x) | 1) for x in rng.integers(1 << 62, 1 << 63, SAMPLES)]
         self.usual = usual
         self.ready = [self._packed(usual, self.r[k], self.c[k], self.b[k]) for k in range(SAMPLES)]
@@ -255,77 +256,85 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(j, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _bucket_pairs(forest: bool):
-    """Pairs (a, b) of each bucket's members whose sketches are near: of a spanning forest, or all between components."""
-
-    def near(sketch: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        left, right, score = [], [], []
-        for lo in range(0, len(sketch), 64):
-            s = (sketch[lo : lo + 64, None, :] == sketch[None, :, :]).sum(2, dtype=np.int16)
-            i, j = np.nonzero((s >= LEAST * SAMPLES) & (comp[lo : lo + 64, None] != comp[None, :]))
-            up = i + lo < j
-            left.append(i[up] + lo)
-            right.append(j[up])
-            score.append(s[i[up], j[up]])
-        return np.concatenate(left), np.concatenate(right), np.concatenate(score)
-
-    def spanning(n: int, left: np.ndarray, right: np.ndarray, score: np.ndarray) -> np.ndarray:
-        parent = list(range(n))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        kept = []
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """The columns after the first ``keys`` ones, of each run of rows with equal keys."""
+    last, held = None, None
+    for b in batches:
+        columns = [c.to_pylist() for c in b.columns]
+        for row in zip(*columns):
+            if row[:keys] != last:
+                if held and len(held) > 1:
+                    yield list(zip(*held))
+                last, held = row[:keys], []
+            held.append(row[keys:])
+    if held and len(held) > 1:
+        yield list(zip(*held))
+
+
+def _near(sketch: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components whose sketches agree often enough, and in how many samples."""
+    left, right, score = [], [], []
+    for lo in range(0, len(sketch), 64):
+        s = (sketch[lo : lo + 64, None, :] == sketch[None, :, :]).sum(2, dtype=np.int16)
+        i, j = np.nonzero((s >= LEAST * SAMPLES) & (comp[lo : lo + 64, None] != comp[None, :]))
+        up = i + lo < j
+        left.append(i[up] + lo)
+        right.append(j[up])
+        score.append(s[i[up], j[up]])
+    return np.concatenate(left), np.concatenate(right), np.concatenate(score)
+
+
+class _Union:
+    def __init__(self, labels: np.ndarray):
+        self.at = {x: x for x in labels.tolist()}
+
+    def root(self, x: int) -> int:
+        while self.at[x] != x:
+            self.at[x] = self.at[self.at[x]]
+            x = self.at[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.at[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (bucket, x, y, id, comp, sketch): pairs to verify, a maximum spanning forest of each bucket (all pairs of small ones)."""
+    for ids, comp, sketch in _runs(batches, 3):
+        ids = np.array(ids, np.int64)
+        left, right, score = _near(np.frombuffer(b"".join(sketch), np.uint8).reshape(len(ids), SAMPLES), np.array(comp, np.int64))
+        union, out = _Union(ids), []
         for e in np.argsort(-score, kind="stable"):
-            x, y = root(int(left[e])), root(int(right[e]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                kept.append(e)
-                if len(kept) == n - 1:
-                    break
-        return np.array(kept, np.int64)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(ids: np.ndarray, comp: np.ndarray, sketch: np.ndarray):
-            if len(ids) < 2:
-                return None
-            left, right, score = near(sketch, comp)
-            if forest and len(ids) > SMALL and len(left):
-                kept = spanning(len(ids), left, right, score)
-                left, right = left[kept], right[kept]
-            x, y = ids[left], ids[right]
-            return np.minimum(x, y), np.maximum(x, y)
-
-        last, held = None, ([], [], [])
-        found: list[tuple] = []
-
-        def flush():
-            nonlocal held
-            if len(held[0]) > 1:
-                got = emit(np.array(held[0], np.int64), np.array(held[1], np.int64), np.frombuffer(b"".join(held[2]), np.uint8).reshape(len(held[0]), SAMPLES))
-                if got is not None and len(got[0]):
-                    found.append(got)
-            held = ([], [], [])
+            x, y = int(ids[left[e]]), int(ids[right[e]])
+            if x != y and (len(ids) <= SMALL or union.join(x, y)):
+                out.append((min(x, y), max(x, y)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+
+
+def _rest(threshold: float):
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From (bucket, x, y, id, comp, sketch, hs, ws): links between the components that share a bucket, verified on the spot."""
+        for ids, comp, sketch, hs, ws in _runs(batches, 3):
+            comp = np.array(comp, np.int64)
+            left, right, score = _near(np.frombuffer(b"".join(sketch), np.uint8).reshape(len(ids), SAMPLES), comp)
+            sets = [(np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32)) for h, w in zip(hs, ws)]
+            total = np.array([w.sum(dtype=np.float64) for _, w in sets])
+            union, out = _Union(comp), []
+            for e in np.argsort(-score, kind="stable"):
+                i, j = left[e], right[e]
+                x, y = int(comp[i]), int(comp[j])
+                if union.root(x) == union.root(y) or min(total[i], total[j]) < threshold * max(total[i], total[j]):
+                    continue
+                if weighted_jaccard(*sets[i], *sets[j]) >= threshold:
+                    union.join(x, y)
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-        for b in batches:
-            for key, i, c, s in zip(zip(*(b.column(k).to_pylist() for k in range(3))), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()):
-                if key != last:
-                    flush()
-                    last = key
-                held[0].append(i)
-                held[1].append(c)
-                held[2].append(s)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["a", "b"])
-                found = []
-        flush()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["a", "b"])
-
-    return pairs
+    return links
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -343,35 +352,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     asked = members.select("rep").distinct()
     sketches = materialise(texts.select("rep", "key", "sketch").join(asked, "rep", "left_semi"), "near-sketches")
 
-    # the weighted sets of the texts that share a bucket with another
-    sets = rows.join(sketches.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(_weighted_sets(freq), "id long, hs binary, ws binary")
+    # the weighted sets of the texts that share a bucket with another; the same plan at every size
+    sets = rows.join(sketches.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi").mapInArrow(_weighted_sets(freq), "id long, hs binary, ws binary")
     sets = materialise(sets.dropDuplicates(["id", "hs"]), "near-sets")
 
-    one = texts.select(F.col("rep").alias("node"))
-    comp = one.select("node", F.col("node").alias("comp")).limit(0)
-    links = None
-    tried = None
-    for forest in (True, False):
-        held = members.join(sketches.drop("key"), "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        if not forest:
-            mixed = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-            held = held.join(mixed, "bucket", "left_semi")
-        block = F.expr("cast(pmod(xxhash64(rep), blocks) as int)")
-        held = held.withColumn("mine", block).withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
-        held = held.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "rep", "comp", "sketch")
-        found = held.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "rep").mapInArrow(_bucket_pairs(forest), "a long, b long")
-        pairs = found.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "near-pairs")
-        tried = pairs if tried is None else tried
-        left = sets.select(F.col("id").alias("a"), F.col("hs").alias("h1"), F.col("ws").alias("w1"))
-        right = sets.select(F.col("id").alias("b"), F.col("hs").alias("h2"), F.col("ws").alias("w2"))
-        checked = pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(_verify, "a long, b long, similarity double")
-        new = materialise(checked.where(F.col("similarity") >= threshold).select("a", "b"), "near-links")
-        links = new if links is None else links.unionByName(new)
-        if forest or not new.isEmpty():
-            comp = components(links)
+    def buckets(rows: DataFrame, columns: list[str]) -> DataFrame:
+        """rows of members, sorted by bucket; a large bucket becomes its pairs of blocks."""
+        placed = rows.withColumn("mine", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
+        placed = placed.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), *columns)
+        return placed.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "rep")
+
+    held = members.join(sketches.drop("key"), "rep").withColumn("comp", F.col("rep"))
+    pairs = materialise(buckets(held, ["rep", "comp", "sketch"]).mapInArrow(_forest, "a long, b long").distinct(), "near-pairs")
+    left = sets.select(F.col("id").alias("a"), F.col("hs").alias("h1"), F.col("ws").alias("w1"))
+    right = sets.select(F.col("id").alias("b"), F.col("hs").alias("h2"), F.col("ws").alias("w2"))
+    checked = pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(_verify, "a long, b long, similarity double")
+    links = materialise(checked.where(F.col("similarity") >= threshold).select("a", "b"), "near-links")
+    comp = components(links)
+
+    # buckets whose members still lie in different components
+    held = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
+    held = held.join(mixed, "bucket", "left_semi").join(sketches.drop("key"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    more = materialise(buckets(held, ["rep", "comp", "sketch", "hs", "ws"]).mapInArrow(_rest(threshold), "a long, b long").distinct(), "near-links")
+    if not more.isEmpty():
+        comp = components(links.unionByName(more))
     found = signed.select("id", "key").join(texts.select("key", "rep"), "key").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     # a repeated id may stand in several texts: its smallest class holds for all
     found = found.groupBy("id").agg(F.min(F.coalesce("comp", "rep")).alias("class_id"))
