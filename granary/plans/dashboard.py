@@ -194,7 +194,7 @@ def relabel_months(monthly: DataFrame, label: str, mode: str = "scope", month: s
     total = F.sum(F.col("value").cast("decimal(18,2)"))
     if mode == "avg":
         months = monthly.agg(F.greatest(F.lit(1), F.count_distinct("month")).alias("months"))
-        out = rows.groupBy(label).agg(total.alias("t")).crossJoin(F.broadcast(months)).select(label, F.round(F.col("t") / F.col("months"), 4).cast("double").alias("value"))
+        out = rows.groupBy(label).agg(total.alias("t")).crossJoin(F.broadcast(months)).select(label, (F.col("t").cast("double") / F.col("months")).alias("value"))
     else:
         out = rows.groupBy(label).agg(total.cast("double").alias("value"))
     out = out.orderBy(F.desc("value"), label)

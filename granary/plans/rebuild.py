@@ -10,6 +10,7 @@ from granary.functions.text import haystack, money_text, normalize_text, title_c
 from granary.operators.dedupe import keep_first, row_fingerprint
 from granary.operators.overrides import apply_overrides
 from granary.operators.transfers import pair_transfers
+from granary.sources.storage import written
 
 
 def transaction_key() -> Column:
@@ -77,8 +78,8 @@ def label_internal(df: DataFrame) -> DataFrame:
 def rebuild(raw: DataFrame, rules=None, aliases=None, overrides: DataFrame | None = None, household: c.Household = c.HOUSEHOLD, full_html: bool = True) -> DataFrame:
     """raw rows (with ingest_pos, their order) to the enriched, deduplicated and paired fact table, in ledger order."""
     first = keep_first(raw.withColumn("row_fp", row_fingerprint()), ["row_fp"]).drop("row_fp")
-    rows = keep_first(enrich(first, rules, aliases, household, full_html), ["tx_key"])
-    rows = label_internal(pair_transfers(rows))
+    rows = written(keep_first(written(enrich(first, rules, aliases, household, full_html), "enriched"), ["tx_key"]), "deduplicated")
+    rows = written(label_internal(pair_transfers(rows)), "paired")
     if overrides is not None:
         rows = apply_overrides(rows, overrides, household)
     rows = rows.withColumn("expense_amount", c.expense_amount(F.col("amount"), F.col("statement_type"), F.col("flow_type"), F.col("is_internal")))

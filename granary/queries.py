@@ -16,15 +16,20 @@ from granary.operators.filters import Filters, apply_filters
 from granary.plans import dashboard as d
 from granary.plans import stats as s
 from granary.plans.rebuild import enrich, label_internal, transaction_key
+from granary.sources.storage import once
 from granary.sources.testbed import raw_ledger, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The enriched ledger, unpaired: candidates count as unmatched."""
-    rows = enrich(raw_ledger(spark, sf_dir)).withColumn("internal_match_status", F.when(F.col("is_internal_candidate"), "Unmatched").otherwise("None"))
-    return label_internal(rows)
+    """The enriched ledger, unpaired (candidates count as unmatched): a fact table that all queries of a session read."""
+
+    def build() -> DataFrame:
+        rows = enrich(raw_ledger(spark, sf_dir)).withColumn("internal_match_status", F.when(F.col("is_internal_candidate"), "Unmatched").otherwise("None"))
+        return label_internal(rows)
+
+    return once(spark, f"txn {sf_dir}", build)
 
 
 def _over(build: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
@@ -94,7 +99,7 @@ _LABELS = ", m as (select month, category, sum(expense_amount) as value from exp
 _add("labels_scope", _over(lambda a, b, e: d.relabel_months(d.by_month(e, ["category"]), "category", top=14)), o.over_txn("select category, sum(value)::double as value from m group by 1 order by sum(value) desc, category limit 14", _LABELS))
 _add(
     "labels_avg", _over(lambda a, b, e: d.relabel_months(d.by_month(e, ["category"]), "category", "avg")),
-    o.over_txn("select category, round(sum(value)::double / (select count(distinct month) from m), 4) as value from m group by 1", _LABELS),
+    o.over_txn("select category, sum(value)::double / (select count(distinct month) from m) as value from m group by 1", _LABELS),
 )
 _add("labels_month", _over(lambda a, b, e: d.relabel_months(d.by_month(e, ["category"]), "category", "month", "1996-03")), o.over_txn("select category, sum(value)::double as value from m where month = '1996-03' group by 1", _LABELS))
 
@@ -380,7 +385,7 @@ _FLOWS = "cash_in::double as cash_in, cash_out::double as cash_out, net_cash_flo
 _add("stats_account_month", _stat(lambda x: x["months"]), _S + f"select account_key, account_kind, account_last4, statement_month, transaction_count, {_FLOWS} from am")
 _add(
     "stats_account_summary", _stat(lambda x: s.account_summary(x["months"])),
-    _S + "select account_key, account_kind, account_last4, count(distinct statement_month) as full_months, sum(transaction_count)::bigint as transaction_count, " + ", ".join(f"sum({a})::double as total_{b}, round(sum({a}) / count(distinct statement_month)::decimal(18,0), 2)::double as avg_monthly_{b}" for a, b in (("cash_in", "cash_in"), ("cash_out", "cash_out"), ("net_cash_flow", "net_cash_flow"), ("absolute_activity", "activity"))) + " from am group by 1, 2, 3",
+    _S + "select account_key, account_kind, account_last4, count(distinct statement_month) as full_months, sum(transaction_count)::bigint as transaction_count, " + ", ".join(f"sum({a})::double as total_{b}, (sign(sum({a}))::int * (((abs(sum({a})) * 100)::bigint * 2 + count(distinct statement_month)) // (2 * count(distinct statement_month))) / 100.0::double)::double as avg_monthly_{b}" for a, b in (("cash_in", "cash_in"), ("cash_out", "cash_out"), ("net_cash_flow", "net_cash_flow"), ("absolute_activity", "activity"))) + " from am group by 1, 2, 3",
 )
 _add(
     "stats_monthly_total", _stat(lambda x: s.monthly_total(x["full"], x["months"])),
