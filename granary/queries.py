@@ -16,6 +16,7 @@ from granary.operators.filters import Filters, apply_filters
 from granary.plans import dashboard as d
 from granary.plans import stats as s
 from granary.plans.rebuild import enrich, label_internal, transaction_key
+from granary.sources import statements
 from granary.sources.storage import once
 from granary.sources.testbed import raw_ledger, table
 
@@ -354,6 +355,31 @@ case when kind = 'unknown' then 'Unknown layout; totals not checked.' when sout
 )
 _add("totals_report", lambda spark, sf_dir: reconcile.totals_report(reconcile_totals(spark, sf_dir)), _RECONCILE + "select count(*) filter (ok) as ok_count, count(*) as file_count from z")
 
+# --- statements as texts ---
+
+
+def parse_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card statement for 1995 for each customer, written from orders and parsed back."""
+    orders = table(spark, sf_dir, "orders").where("year(o_orderdate) = 1995")
+    day = F.upper(F.date_format("o_orderdate", "MMM dd"))
+    line = F.concat(day, F.lit(" "), day, F.lit(" ORDER "), F.col("o_orderkey").cast("string"), F.lit("\n$"), F.format_number("o_totalprice", 2))
+    last4 = F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")
+    files = orders.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body")).select(
+        F.concat(F.lit("Visa Statement-"), last4, F.lit(" 1995-12-31 "), F.col("o_custkey").cast("string"), F.lit(".txt")).alias("name"), F.concat(F.lit("STATEMENT FROM JAN 01, 1995 TO DEC 31, 1995\n"), F.col("body")).alias("text")
+    )
+    rows = statements.parse_statements(files).where("error is null")
+    return rows.select("account_last4", "transaction_date", "description", "amount", "statement_type", "statement_start", "statement_end")
+
+
+_add(
+    "parse_statements", parse_statements,
+    "select lpad((o_custkey % 10000)::varchar, 4, '0') as account_last4, o_orderdate::date as transaction_date, 'ORDER ' || o_orderkey as description, o_totalprice as amount, 'credit_card' as statement_type, date '1995-01-01' as statement_start, date '1995-12-31' as statement_end from orders where year(o_orderdate) = 1995",
+)
+_add(
+    "statement_names", lambda spark, sf_dir: table(spark, sf_dir, "customer").select(F.concat(F.lit("Credit Line Statement-"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit(" 2026-01-16-1")).alias("stem")).select("stem", statements.logical_stem(F.col("stem")).alias("logical"), *[x.alias(n) for n, x in statements.statement_meta(F.col("stem")).items()]),
+    "select 'Credit Line Statement-' || d || ' 2026-01-16-1' as stem, 'Credit Line Statement-' || d || ' 2026-01-16' as logical, 'credit_line' as account_kind, d as account_last4, date '2026-01-16' as statement_date, '2026-01' as statement_month, 'credit_line-' || d as account_key from (select lpad((c_custkey % 10000)::varchar, 4, '0') as d from customer)",
+)
+
 # --- batch statistics ---
 
 
