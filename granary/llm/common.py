@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,19 +31,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     It cuts the lineage: a lost executor costs only a re-read.  The table's
     size is known to the planner from then on, so that later joins broadcast
-    it only under spark.sql.autoBroadcastJoinThreshold.
+    it only under spark.sql.autoBroadcastJoinThreshold.  Within scratch() the table goes with
+    that block, or with the block around it if it is to be kept.
     """
     ship(df.sparkSession)
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end; shuffles that nothing refers to any more may go with them."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_path(spark, path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate files that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialise, table
+from granary.llm.common import materialise, scratch, table
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -65,6 +65,11 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and item that it contains: id_col, item_col, shared, item_shingles, containment."""
+    with scratch(docs.sparkSession):
+        return materialise(_leaks(docs, items, id_col, text_col, item_col, threshold), "leaks", keep=True)
+
+
+def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, threshold: float) -> DataFrame:
     wanted = materialise(item_shingles(items, item_col, "text", threshold), "leak-items")
     small = wanted.count() <= BROADCAST_ROWS
     hint = (lambda df: F.broadcast(df)) if small else (lambda df: df)

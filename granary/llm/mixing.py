@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialise, table
+from granary.llm.common import materialise, scratch, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -88,6 +88,11 @@ def mix(
     quality: rows (id_col, quality), one for each id at most.  Returns id_col, source_col, size,
     source_size, target, epochs (whole passes over the source) and taken.
     """
+    with scratch(docs.sparkSession):
+        return materialise(_mix(docs, id_col, text_col, source_col, quality, weights, share, cap, seed, size), "mix", keep=True)
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: DataFrame | None, weights, share: float, cap: float, seed: str, size: Column | None) -> DataFrame:
     sized = docs.select(F.col(id_col).alias("mx_id"), F.col(source_col).cast("string").alias("mx_source"), (word_count(F.col(text_col)) if size is None else size).alias("mx_size"))
     sized = materialise(sized, "mix-sizes")
     targets = materialise(source_targets(sized, weights, share, cap), "mix-sources")

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialise, table
+from granary.llm.common import materialise, scratch, table
 from granary.llm.components import components
 from granary.llm.shingling import groups, mix64, shingle_hashes, word_hashes
 
@@ -339,7 +339,14 @@ def _rest(threshold: float):
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id_col and class_id, one row for each row of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    with scratch(docs.sparkSession):
+        found = materialise(_classes(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), threshold), "near-classes", keep=True)
+    got = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("nd_id")).join(found, F.col("nd_id") == F.col("id"), "left")
+    return got.select(id_col, F.coalesce("class_id", "nd_id").alias("class_id"))
+
+
+def _classes(rows: DataFrame, threshold: float) -> DataFrame:
+    """id and class_id, one row for each id of rows (id, text) that has words."""
     freq = frequencies(rows)
     signed = materialise(rows.mapInArrow(_sign(freq), SIGNED), "near-signatures")
     texts = signed.groupBy("key").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.min_by("sketch", "id").alias("sketch"))
@@ -379,9 +386,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         comp = components(links.unionByName(more))
     found = signed.select("id", "key").join(texts.select("key", "rep"), "key").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     # a repeated id may stand in several texts: its smallest class holds for all
-    found = found.groupBy("id").agg(F.min(F.coalesce("comp", "rep")).alias("class_id"))
-    got = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("nd_id")).join(found, F.col("nd_id") == F.col("id"), "left")
-    return got.select(id_col, F.coalesce("class_id", "nd_id").alias("class_id"))
+    return found.groupBy("id").agg(F.min(F.coalesce("comp", "rep")).alias("class_id"))
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

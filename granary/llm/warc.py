@@ -35,7 +35,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import drop_path, materialise, shared_path, table
+from granary.llm.common import drop_path, materialise, scratch, shared_path, table
 
 MAGIC = "WARC/1.1\r\n"
 BREAK = "\r\n\r\n"
@@ -200,9 +200,10 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
-    write_warc(table(spark, sf_dir, "pages"), path)
-    got = read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    got = materialise(got, "warc-result")
+    with scratch(spark):
+        write_warc(table(spark, sf_dir, "pages"), path)
+        got = read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        got = materialise(got, "warc-result", keep=True)
     drop_path(spark, path)
     return got
 
