@@ -25,6 +25,7 @@ good labels (0.5 without any); an empty table gives no rows.
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,7 +49,7 @@ def features(text: str | None) -> list[float]:
     words = text.split()
     w = max(1, len(words))
     counts = Counter(words)
-    letters = sum(map(str.isalpha, text)) if len(text) < 4096 else int(_is_letter(text).sum())
+    letters = _letters(text)
     lines = text.split("\n")
     return [
         np.log1p(len(words)) / 5,
@@ -66,10 +67,14 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-def _is_letter(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = codes | 32
-    return ((low >= 97) & (low <= 122)) | (codes >= 0xC0)
+_alpha: list[np.ndarray] = []
+
+
+def _letters(text: str) -> int:
+    """How many characters are str.isalpha, by a table of all code points."""
+    if not _alpha:
+        _alpha.append(np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1))
+    return int(np.count_nonzero(_alpha[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]))
 
 
 class Model:
