@@ -66,10 +66,13 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and item that it contains: id_col, item_col, shared, item_shingles, containment."""
     with scratch(docs.sparkSession):
-        return materialise(_leaks(docs, items, id_col, text_col, item_col, threshold), "leaks", keep=True)
+        found = _leaks(docs, items, id_col, text_col, threshold, item_col)
+        found = found.groupBy(F.col("dc_doc").alias(id_col), F.col("dc_item").alias(item_col)).agg(F.max("shared").alias("shared"), F.max("dc_n").alias("item_shingles"), F.max("containment").alias("containment"))
+        return materialise(found, "leaks", keep=True)
 
 
-def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, threshold: float) -> DataFrame:
+def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, threshold: float, item_col: str = "item_id") -> DataFrame:
+    """dc_doc, dc_hash (of the text), dc_item, shared, dc_n, containment: one row for each id, text and item."""
     wanted = materialise(item_shingles(items, item_col, "text", threshold), "leak-items")
     small = wanted.count() <= BROADCAST_ROWS
     hint = (lambda df: F.broadcast(df)) if small else (lambda df: df)
@@ -89,9 +92,7 @@ def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_c
     renamed = pairs.select(F.col("dc_doc").alias("p_doc"), F.col("dc_hash").alias("p_hash"), F.col("dc_item").alias("p_item"), "dc_n")
     same = F.col("dc_doc").eqNullSafe(F.col("p_doc")) & (F.col("dc_hash") == F.col("p_hash")) & F.col("dc_item").eqNullSafe(F.col("p_item"))
     checked = shared.join(renamed, same).withColumn("containment", F.col("shared") / F.col("dc_n"))
-    return checked.where(F.col("shared") >= F.ceil(F.round(F.col("dc_n") * F.lit(threshold), 9))).groupBy(F.col("dc_doc").alias(id_col), F.col("dc_item").alias(item_col)).agg(
-        F.max("shared").alias("shared"), F.max("dc_n").alias("item_shingles"), F.max("containment").alias("containment")
-    )
+    return checked.where(F.col("shared") >= F.ceil(F.round(F.col("dc_n") * F.lit(threshold), 9))).select("dc_doc", "dc_hash", "dc_item", "shared", "dc_n", "containment")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +100,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that contain no benchmark item."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("x_doc")).distinct()
-    found = materialise(found, "leaking")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["x_doc"]), "left_anti")
+    """The rows whose own text contains no benchmark item; rows that share an id, or have none, are decided one by one."""
+    with scratch(spark):
+        found = _leaks(docs, table(spark, sf_dir, "benchmark"), "doc_id", "text", THRESHOLD).select(F.col("dc_doc").alias("x_doc"), F.col("dc_hash").alias("x_hash")).distinct()
+        found = materialise(found, "leaking", keep=True)
+    # xxhash64 of a null text is the seed, never null
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["x_doc"]) & (F.xxhash64(docs["text"]) == found["x_hash"]), "left_anti")
 
 
 ORACLE = r"""

@@ -394,12 +394,21 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class; of rows that repeat an id one stays, null ids all stay."""
-    found = materialise(classes(docs), "near-classes")
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("x_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["x_id"], "left_anti")
-    twice = materialise(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("x_id")).agg(F.count("*").alias("n")).where("n > 1").select("x_id"), "near-repeated")
+    """The row of smallest id of each class; rows are told apart by id and text, and of exact repeats of both one stays.
+
+    Rows without an id have none to be ordered by: of each class one of them stays besides the one of smallest id.
+    """
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+    rows = docs.select(key.alias("id"), F.col("doc_id").cast("long").alias("nd_doc"), "text")
+    with scratch(spark):
+        found = _classes(rows.select("id", "text"), THRESHOLD)
+        who = rows.select("id", "nd_doc").groupBy("id").agg(F.first("nd_doc").alias("nd_doc"), F.count("*").alias("nd_n"))
+        placed = materialise(who.join(found, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")), "near-rows")
+        first = placed.groupBy("class_id", F.col("nd_doc").isNull().alias("nameless")).agg(F.min_by("id", F.struct("nd_doc", "id")).alias("id")).select("id")
+        gone = materialise(placed.join(first, "id", "left_anti").select(F.col("id").alias("x_id")), "near-gone", keep=True)
+        twice = materialise(placed.join(first, "id", "left_semi").where("nd_n > 1").select(F.col("id").alias("x_id")), "near-repeated", keep=True)
+    kept = docs.withColumn("nd_key", key).join(gone, F.col("nd_key") == F.col("x_id"), "left_anti")
     if twice.isEmpty():
-        return kept
-    again = kept["doc_id"] == twice["x_id"]
-    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+        return kept.drop("nd_key")
+    again = F.col("nd_key") == F.col("x_id")
+    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["nd_key"])).drop("nd_key")
