@@ -1,7 +1,8 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 Texts become lower-case words (runs of letters and digits), words become
-64-bit hashes and each five words in a row a shingle.  A test item leaks into
+64-bit hashes and each five words in a row a shingle; an item of one to four words is one shingle
+of all its words, which documents are searched for at that length.  A test item leaks into
 a document if the document holds at least ``THRESHOLD`` of the item's distinct
 shingles.
 
@@ -9,26 +10,27 @@ Search.  Items are partitioned by their number of shingles.  An item with n
 shingles that is contained to the threshold misses at most m = n - ceil(0.8 n)
 of them, so that any m + 1 of its shingles include one that the document
 holds; the m + 1 with the smallest hashes, a bottom-k MinHash sketch whose k
-follows the size partition, find it for certain.  Documents, however long, are
-probed shingle by shingle against these sketches.
+follows the size partition, find it for certain.  Size partitions are put together to passes of at
+most about ``PROBES`` sketch hashes, a larger partition is dealt over several passes by hash; each pass reads the
+documents once and keeps, inside the array of a document's shingles, those that are in its literal set, so that
+only hits leave the scan.  However long a document, it is probed shingle by shingle.
 
 Verification.  Only the documents with a probe that hits are read again, and
-the distinct shared shingles of each candidate pair are counted.
+the distinct shared shingles of each candidate pair are counted.  The items' shingles are written before, so that
+their size is known: up to ``BROADCAST_ROWS`` of them are broadcast, beyond that nothing here asks for it.
+No task gathers a document's or an item's matches: counts are partial sums.
 
-The sketches are written before the probe, so that their size is known:
-Spark broadcasts them under spark.sql.autoBroadcastJoinThreshold, and beyond
-``BROADCAST_ROWS`` rows nothing here asks for it, the join then shuffles
-hashes.  No task gathers a document's or an item's matches: counts are
-partial sums.
-
-Defined results: null texts count as empty; items with fewer than five words
-have no shingle and are not searched; repeated items report the same
+Defined results: null texts and texts without words count as empty and leak nothing; repeated items report the same
 documents; rows that repeat a document id are documents of their own, told
-apart by their text; null ids are kept as ids.
+apart by their text; null ids are kept as ids; an empty table on either side gives no rows; other columns, whatever their
+names, are not read.  A very long text is one array in its task, nothing of it is left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,31 +40,75 @@ WORDS = 5
 THRESHOLD = 0.8
 #: The largest table of shingles that is broadcast: some 40 bytes a row, under 20 MB.
 BROADCAST_ROWS = 400_000
+#: Sketch hashes that one pass over the documents looks for, a few MB of literals.
+PROBES = 50_000
 
 
-def shingles(text: Column, words: int = WORDS) -> Column:
-    """The hashes of the shingles of a text, in order, repeats included."""
-    hashed = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    return _roll(hashed, words)
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def word_hashes(text: Column) -> Column:
+    return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
 def _roll(hashed: Column, words: int) -> Column:
-    # h[i] of all shingles at once: shifted slices zipped, then hashed together
-    n = F.size(hashed) - F.lit(words - 1)
-    parts = [F.slice(hashed, F.lit(k + 1), F.greatest(n, F.lit(0))) for k in range(words)]
-    zipped = F.arrays_zip(*[p.alias(f"w{k}") for k, p in enumerate(parts)])
-    return F.transform(zipped, lambda z: F.xxhash64(*[z[f"w{k}"] for k in range(words)]))
+    """The hashes of all runs of so many words, in order, repeats included; of fewer words none."""
+    runs = F.transform(hashed, lambda h, i: F.xxhash64(h, *[F.get(hashed, i + k) for k in range(1, words)]))
+    return F.slice(runs, F.lit(1), F.greatest(F.size(hashed) - F.lit(words - 1), F.lit(0)))
+
+
+def shingles(text: Column, words: int = WORDS) -> Column:
+    return _bound(word_hashes(text), lambda hashed: _roll(hashed, words))
+
+
+def one_of(values: list[int]) -> Callable[[Column], Column]:
+    return lambda shingle: shingle.isin(values)
+
+
+def _all_shingles(text: Column, lengths: list[int], keep: Callable[[Column], Column] | None = None) -> Column:
+    """The shingles of each of these lengths that keep accepts, in one array."""
+
+    def of(hashed: Column) -> Column:
+        found = [_roll(hashed, k) for k in lengths]
+        return F.concat(*[F.filter(f, keep) for f in found] if keep else found)
+
+    return _bound(word_hashes(text), of)
 
 
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """dc_item, dc_shingle, dc_n (the item's number of shingles), dc_rank (from 1, by hash), dc_probe."""
-    each = items.select(F.col(id_col).alias("dc_item"), F.array_sort(F.array_distinct(shingles(F.col(text_col)))).alias("s")).where(F.size("s") > 0)
-    each = each.select("dc_item", F.size("s").alias("dc_n"), F.posexplode("s").alias("dc_rank", "dc_shingle"))
+    """dc_item, dc_words (a shingle's length), dc_shingle, dc_n (the item's number of shingles), dc_rank (from 1, by hash), dc_probe."""
+    hashed = items.select(F.col(id_col).alias("dc_item"), word_hashes(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    own = reduce(lambda found, k: F.when(F.size("w") == k, _roll(F.col("w"), k)).otherwise(found), range(1, WORDS), _roll(F.col("w"), WORDS))
+    each = hashed.select("dc_item", F.least(F.size("w"), F.lit(WORDS)).alias("dc_words"), F.array_sort(F.array_distinct(own)).alias("s"))
+    each = each.select("dc_item", "dc_words", F.size("s").alias("dc_n"), F.posexplode("s").alias("dc_rank", "dc_shingle"))
     # rounded before ceil: 0.8 * 5 must stay 4
     probes = F.col("dc_n") - F.ceil(F.round(F.col("dc_n") * F.lit(threshold), 9)) + 1
     return each.withColumn("dc_probe", F.col("dc_rank") < probes).dropDuplicates(["dc_item", "dc_n", "dc_rank", "dc_shingle"])
 
 
+def _passes(probes: DataFrame) -> list[Column]:
+    """Conditions on probes (dc_n, dc_shingle) that part them into passes of about PROBES hashes, size partition by size partition.
+
+    A size partition holds the items whose number of shingles has the same binary length: there are at most 32 of them.
+    """
+    part = F.length(F.bin("dc_n"))
+    sizes = sorted((r[0], r[1]) for r in probes.groupBy(part.alias("part")).count().collect())
+    found, held, total = [], [], 0
+    for p, n in sizes:
+        if held and total + n > PROBES:
+            found.append(part.isin(held))
+            held, total = [], 0
+        if n > PROBES:
+            ways = -(-n // PROBES)
+            found += [(part == p) & (F.pmod(F.col("dc_shingle"), F.lit(ways)) == i) for i in range(ways)]
+        else:
+            held.append(p)
+            total += n
+    return [*found, part.isin(held)] if held else found
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document and item that it contains: id_col, item_col, shared, item_shingles, containment."""
     with scratch(docs.sparkSession):
@@ -76,18 +122,24 @@ def _leaks(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, thresh
     wanted = materialise(item_shingles(items, item_col, "text", threshold), "leak-items")
     small = wanted.count() <= BROADCAST_ROWS
     hint = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    texts = docs.select(F.col(id_col).alias("dc_doc"), F.col(text_col).alias("dc_text"))
-
-    probes = wanted.where("dc_probe").select("dc_shingle").distinct()
-    found = texts.select("dc_doc", F.xxhash64("dc_text").alias("dc_hash"), F.explode(shingles(F.col("dc_text"))).alias("dc_shingle")).join(hint(probes), "dc_shingle", "left_semi")
-    hits = materialise(found.distinct(), "leak-hits")
+    lengths = sorted(r[0] for r in wanted.select("dc_words").distinct().collect()) or [WORDS]
+    texts = docs.select(F.col(id_col).alias("dc_doc"), F.col(text_col).alias("dc_text")).withColumn("dc_hash", F.xxhash64("dc_text"))
+
+    probes = materialise(wanted.where("dc_probe").select("dc_n", "dc_shingle").distinct(), "leak-probes")
+    hits = None
+    for chosen in _passes(probes):
+        values = [r[0] for r in probes.where(chosen).select("dc_shingle").distinct().collect()]
+        found = texts.select("dc_doc", "dc_hash", F.explode(F.array_distinct(_all_shingles(F.col("dc_text"), lengths, one_of(values)))).alias("dc_shingle"))
+        found = materialise(found, "leak-hits")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is None:
+        hits = texts.select("dc_doc", "dc_hash", F.lit(0).cast("long").alias("dc_shingle")).where("false")
 
     # candidate pairs, then the documents that have any
     pairs = hits.join(hint(wanted.where("dc_probe").select("dc_shingle", "dc_item", "dc_n")), "dc_shingle").select("dc_doc", "dc_hash", "dc_item", "dc_n").distinct()
     who = materialise(hits.select(F.col("dc_doc").alias("c_doc"), F.col("dc_hash").alias("c_hash")).distinct(), "leak-documents")
-    again = texts.withColumn("dc_hash", F.xxhash64("dc_text"))
-    again = again.join(who, F.col("dc_doc").eqNullSafe(F.col("c_doc")) & (F.col("dc_hash") == F.col("c_hash")), "left_semi")
-    again = again.dropDuplicates(["dc_doc", "dc_hash"]).select("dc_doc", "dc_hash", F.explode(F.array_distinct(shingles(F.col("dc_text")))).alias("dc_shingle"))
+    again = texts.join(who, F.col("dc_doc").eqNullSafe(F.col("c_doc")) & (F.col("dc_hash") == F.col("c_hash")), "left_semi")
+    again = again.dropDuplicates(["dc_doc", "dc_hash"]).select("dc_doc", "dc_hash", F.explode(F.array_distinct(_all_shingles(F.col("dc_text"), lengths))).alias("dc_shingle"))
     shared = again.join(hint(wanted.select("dc_shingle", "dc_item")), "dc_shingle").groupBy("dc_doc", "dc_hash", "dc_item").agg(F.count("*").alias("shared"))
     renamed = pairs.select(F.col("dc_doc").alias("p_doc"), F.col("dc_hash").alias("p_hash"), F.col("dc_item").alias("p_item"), "dc_n")
     same = F.col("dc_doc").eqNullSafe(F.col("p_doc")) & (F.col("dc_hash") == F.col("p_hash")) & F.col("dc_item").eqNullSafe(F.col("p_item"))
@@ -112,10 +164,13 @@ ORACLE = r"""
 with t as (
   select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w, text from documents
   union all select 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> ''), text from benchmark),
-s as (select kind, id, text, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) as s from t where len(w) >= 5),
-i as (select distinct id as item_id, s from s where kind = 'i'),
+s as (
+  select kind, id, text, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) as s
+  from t, (values (1), (2), (3), (4), (5)) as v(k)
+  where len(w) >= k and (kind = 'i' and k = least(len(w), 5) or kind = 'd' and k in (select least(len(w), 5) from t where kind = 'i'))),
+i as (select distinct id as item_id, k, s from s where kind = 'i'),
 n as (select item_id, count(*) as item_shingles from i group by item_id),
-m as (select d.id as doc_id, d.text, i.item_id, count(distinct i.s) as shared from s d join i on d.s = i.s where d.kind = 'd' group by all)
+m as (select d.id as doc_id, d.text, i.item_id, count(distinct i.s) as shared from s d join i on d.s = i.s and d.k = i.k where d.kind = 'd' group by all)
 select doc_id, item_id, max(shared)::bigint as shared, max(item_shingles)::int as item_shingles, max(shared::double / item_shingles) as containment
 from m join n using (item_id) where shared >= ceil(round(item_shingles * 0.8, 9)) group by doc_id, item_id
 """

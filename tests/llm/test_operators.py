@@ -68,9 +68,19 @@ def test_passages_are_found_and_cut(spark):
 def test_leaks(spark):
     docs = edge_docs(spark)
     item = " ".join(prose(1, 300).split()[20:50])
-    items = spark.createDataFrame([(1, item.upper()), (2, "too short"), (3, None), (4, prose(9, 30))], "item_id long, text string")
+    items = spark.createDataFrame([(1, item.upper()), (2, "too short"), (3, None), (4, prose(9, 30)), (5, "One, TWO"), (6, "two one")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()}
-    assert found == {(1, 1), (2, 1), (3, 1), (4, 1), (None, 1)}
+    assert found == {(1, 1), (2, 1), (3, 1), (4, 1), (None, 1), (7, 5), (8, 5)}
+    assert decontaminate.leaks(docs, items.limit(0)).count() == decontaminate.leaks(docs.limit(0), items).count() == 0
+
+
+def test_leaks_in_many_passes(spark, monkeypatch):
+    """Few hashes a pass: every size partition is dealt over several, with the same result."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = sorted(decontaminate.leaks(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "PROBES", 40)
+    assert whole and sorted(decontaminate.leaks(docs, items).collect()) == whole
 
 
 def test_toxicity_separates(spark):
