@@ -34,13 +34,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _scopes: list[list[str]] = []
 
 
-def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: int = 0) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     It cuts the lineage: a lost executor costs only a re-read.  The table's
     size is known to the planner from then on, so that later joins broadcast
     it only under spark.sql.autoBroadcastJoinThreshold.  Within scratch() the table goes with
-    that block, or with the block around it if it is to be kept.
+    that block, or with the one so many blocks around it as keep says.
     """
     ship(df.sparkSession)
     path = shared_path(df.sparkSession, name)
@@ -50,15 +50,31 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, keep: int = 0) -> DataFrame:
+    """As materialise, as a table bucketed by key: joins on it deal out only the other side."""
+    spark = df.sparkSession
+    ship(spark)
+    path, held = shared_path(spark, name), f"granary_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(held)
+    if len(_scopes) > keep:
+        _scopes[-1 - keep] += [path, held]
+    return spark.table(held)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at the end; shuffles that nothing refers to any more may go with them."""
+    ship(spark)
     _scopes.append([])
     try:
         yield
     finally:
-        for path in _scopes.pop():
-            drop_path(spark, path)
+        for made in _scopes.pop():
+            if "/" in made:
+                drop_path(spark, made)
+            else:
+                spark.sql(f"drop table if exists {made}")
         gc.collect()
         spark.sparkContext._jvm.System.gc()
 
