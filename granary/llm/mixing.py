@@ -10,6 +10,8 @@ is taken once more.
 A source may hold a third of all rows, so no window spans a source: keys are
 cut into buckets of about ``BUCKET_ROWS`` rows, bucket sums are
 prefix-summed for each source, and the documents only inside their bucket.
+Buckets have equal shares of the source's own distribution of keys, which is the mean of 1 - exp(-quality * key) over its
+documents' qualities (in at most ``CLASSES`` classes), so that they are alike whatever the qualities.
 The windows over one source's buckets and over the sources see one row for
 some 2,000 documents and one for each source.
 
@@ -17,7 +19,8 @@ Defined results: a null text has size 0; a null source is a source of its own
 and the last in order; a null id hashes as ``null``; repeated rows tie and are
 drawn one after the other; a quality that is null or not positive counts as
 ``DEFAULT_QUALITY``; an empty table gives no rows.  A budget ends inside a document
-where needed: of that one only the first words are taken the last time.
+where needed: of that one only the first words are taken the last time; long texts are counted whole; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ CAP = 2.0
 SEED = "mix-1"
 BUCKET_ROWS = 2048
 DEFAULT_QUALITY = 0.5
+#: Qualities are told apart for the buckets by quarters of a power of two, from 2^-8 to 2^8.
+CLASSES = 65
 #: Sampling weights of documents labelled good and bad; those without a label get DEFAULT_QUALITY.
 GOOD, BAD = 1.0, 0.25
 
@@ -103,10 +108,16 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality:
         drawn = sized.join(q, "mx_id", "left").withColumn("mx_q", F.when(F.col("mx_q") > 0, F.col("mx_q")).otherwise(F.lit(DEFAULT_QUALITY)))
     same = F.col("mx_source").eqNullSafe(F.col("t_source"))
     drawn = drawn.withColumn("mx_key", _key(F.col("mx_id"), F.col("mx_q"), seed))
-    drawn = drawn.join(targets.withColumnRenamed("mx_source", "t_source"), same).drop("t_source")
-    buckets = F.ceil(F.col("mx_rows") / F.lit(BUCKET_ROWS))
-    drawn = drawn.withColumn("mx_bucket", F.least(buckets - 1, F.floor((1.0 - F.exp(-F.col("mx_key"))) * buckets)))
+    top = (CLASSES - 1) // 8
+    drawn = drawn.withColumn("mx_class", F.pow(F.lit(2.0), F.least(F.lit(float(top)), F.greatest(F.lit(float(-top)), F.round(F.log2("mx_q") * 4) / 4))))
     drawn = materialise(drawn, "mix-keys")
+    classes = drawn.groupBy("mx_source", "mx_class").agg(F.count("*").alias("n"))
+    classes = classes.groupBy(F.col("mx_source").alias("c_source")).agg(F.sort_array(F.collect_list(F.struct("mx_class", "n"))).alias("mx_classes"))
+    targets = targets.join(classes, F.col("mx_source").eqNullSafe(F.col("c_source"))).withColumnRenamed("mx_source", "t_source").drop("c_source")
+    drawn = drawn.join(targets, same).drop("t_source")
+    buckets = F.ceil(F.col("mx_rows") / F.lit(BUCKET_ROWS))
+    below = F.aggregate("mx_classes", F.lit(0.0), lambda sum, c: sum + c["n"] * (1.0 - F.exp(-F.col("mx_key") * c["mx_class"])))
+    drawn = drawn.withColumn("mx_bucket", F.least(buckets - 1, F.floor(below / F.col("mx_rows") * buckets))).drop("mx_classes")
 
     sums = drawn.groupBy("mx_source", "mx_bucket").agg(F.sum("mx_size").alias("mx_sum"))
     over = Window.partitionBy("mx_source").orderBy("mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
