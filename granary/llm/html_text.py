@@ -17,7 +17,10 @@ see which element is an ``article``.
 
 Defined results: a null or empty html and a page without words give an empty
 text; unclosed elements end where their parent ends; unknown character
-references stay as they are; nothing is capped.
+references stay as they are; nothing is capped, and time and memory are linear in the page, however deep its elements are nested: a
+token keeps the number of its element, not the way to it.  Where an attribute's quote never ends, tags end at the next ``>`` from there on.
+Ties between regions go to the first and shortest; rows that repeat an id are pages of their own; a null id or url is kept; an empty table
+gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -36,13 +39,12 @@ from pyspark.sql import types as T
 from granary.llm.common import table
 
 FIT_PAGES = 400
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(script|style|noscript|template|textarea|title|iframe|svg|math|object|select|button|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|[^<]+|<",
-    re.S | re.I,
-)
+NOTE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.S | re.I)
+#: A tag whose quoted attributes may hold ``>``, and one that ends at the next ``>``.
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)>")
+#: Elements whose content is not markup or not text: they go as a whole, up to their first end tag.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template textarea title iframe svg math object select button canvas".split()}
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -58,18 +60,80 @@ NAMES = frozenset(
 KEPT = frozenset("html body article main".split())
 P_ENDS = frozenset("address article aside blockquote dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are parts of an article rather than all of it.
+PARTS = HEADINGS | frozenset("p li ul ol blockquote td tr tbody table section".split())
 WORD_SPLIT = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 DEFAULT_WEIGHTS = {"word": 1.0, "link": -1.0, "tag": -2.0}
 
 
 class Chunk:
-    """A piece of text or a tag: what it scores by, and where it stands."""
-
-    __slots__ = ("kind", "text", "out", "path", "marked", "count")
-
-    def __init__(self, kind: str, text: str, out: bool, path: tuple[int, ...], marked: bool, count: int):
-        self.kind, self.text, self.out, self.path, self.marked, self.count = kind, text, out, path, marked, count
+    """A piece of text or a tag: what it scores by, and the number of the element it stands in (-1: none)."""
+
+    __slots__ = ("kind", "text", "out", "node", "marked", "count")
+
+    def __init__(self, kind: str, text: str, out: bool, node: int, marked: bool, count: int):
+        self.kind, self.text, self.out, self.node, self.marked, self.count = kind, text, out, node, marked, count
+
+
+class Elements:
+    """The elements of a page by number: tag, parent, depth, and the chunks [first, end) that they hold."""
+
+    def __init__(self):
+        self.tag, self.parent, self.depth, self.first, self.end = [], [], [], [], []
+
+    def add(self, tag: str, parent: int, first: int) -> int:
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
+        self.first.append(first)
+        self.end.append(-1)
+        return len(self.tag) - 1
+
+    def common(self, a: int, b: int) -> int:
+        """The innermost element that holds both, or -1."""
+        while a != b:
+            if a < 0 or b < 0:
+                return -1
+            if self.depth[a] >= self.depth[b]:
+                a = self.parent[a]
+            else:
+                b = self.parent[b]
+        return a
+
+
+def pieces(page: str) -> Iterator[tuple[str, str, str]]:
+    """The page as ("text", text, ""), ("cdata", ...) and ("open" or "close", tag, attributes), without notes and raw elements."""
+    pos, last, strict = 0, page.rfind(">"), True
+    while pos < len(page):
+        at = page.find("<", pos)
+        if at != pos:
+            at = len(page) if at < 0 else at
+            yield "text", page[pos:at], ""
+            pos = at
+            continue
+        note = NOTE.match(page, pos)
+        if note and len(note[0]) > 2:
+            if note[0][:9].upper() == "<![CDATA[":
+                yield "cdata", "", ""
+            pos = note.end()
+            continue
+        m = (TAG if strict else LOOSE_TAG).match(page, pos) if pos < last else None
+        if m is None and strict and pos < last:
+            m = LOOSE_TAG.match(page, pos)
+            # a quote that does not end: from here on, tags are read without regard to quotes
+            strict = m is None
+        if m is None:
+            yield "text", "<", ""
+            pos += 1
+            continue
+        tag = m[2].lower()
+        if not m[1] and tag in RAW:
+            stop = RAW[tag].search(page, m.end())
+            pos = stop.end() if stop else len(page)
+            continue
+        yield ("close" if m[1] else "open"), tag, m[3]
+        pos = m.end()
 
 
 def _named_out(tag: str, attributes: str, in_article: bool) -> bool:
@@ -90,64 +154,71 @@ def _named_out(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def tokens(page: str | None) -> list[Chunk]:
-    """The page as chunks; path: numbers of the open elements, from the root."""
+def tokens(page: str | None) -> tuple[list[Chunk], Elements]:
+    """The page as chunks, and its elements."""
     found: list[Chunk] = []
+    nodes = Elements()
     stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, number, out, inside a marked part, in a link
-    serial = 0
+    where: dict[str, list[int]] = {}  # places in the stack by tag
+    blocks: list[int] = []  # places in the stack of elements that are not inline
 
-    def state() -> tuple[bool, bool, bool]:
-        return stack[-1][2:] if stack else (False, False, False)
+    def state() -> tuple[int, bool, bool, bool]:
+        return stack[-1][1:] if stack else (-1, False, False, False)
 
     def close(at: int) -> None:
-        del stack[at:]
-
-    for m in TOKEN.finditer(page or ""):
-        raw = m[0]
-        out, marked, link = state()
-        if m[3] is None:
-            if m[1] is not None or raw[:2] in ("<!", "<?") and len(raw) > 2:
-                if raw[:9].upper() == "<![CDATA[":
-                    found.append(Chunk("block", "", out, tuple(x[1] for x in stack), marked, 0))
-                continue
-            text = html_lib.unescape(raw)
-            found.append(Chunk("link" if link else "word", text, out, tuple(x[1] for x in stack), marked, len(text.split())))
+        while len(stack) > at:
+            tag, node = stack.pop()[:2]
+            nodes.end[node] = len(found)
+            where[tag].pop()
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+
+    for kind, tag, attributes in pieces(page or ""):
+        node, out, marked, link = state()
+        if kind == "text":
+            text = html_lib.unescape(tag)
+            found.append(Chunk("link" if link else "word", text, out, node, marked, len(text.split())))
+            continue
+        if kind == "cdata":
+            found.append(Chunk("block", "", out, node, marked, 0))
             continue
-        tag, attributes = m[3].lower(), m[4]
-        if m[2]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is None:
+        if kind == "close":
+            if not where.get(tag):
                 if tag not in INLINE:
-                    found.append(Chunk("block", "", out, tuple(x[1] for x in stack), marked, 0))
+                    found.append(Chunk("block", "", out, node, marked, 0))
                 continue
+            at = where[tag][-1]
             # an inline end tag does not close blocks around it
-            if tag in INLINE and any(x[0] not in INLINE and x[0] not in VOID for x in stack[at + 1 :]):
+            if tag in INLINE and blocks and blocks[-1] > at:
                 continue
-            marked, out = stack[at][3], stack[at][2]
+            out, marked = stack[at][2:4]
             close(at)
         else:
-            if tag in P_ENDS:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)
-                if at is not None and (stack[at][0] == "p" or tag == "li" and stack[at][0] == "li" or tag in ("td", "th") and stack[at][0] in ("td", "th") or tag == "tr" and stack[at][0] in ("td", "th", "tr")):
-                    close(at)
-                    out, marked, link = state()
+            if tag in P_ENDS and blocks:
+                near = stack[blocks[-1]][0]
+                if near == "p" or tag == "li" and near == "li" or tag in ("td", "th") and near in ("td", "th") or tag == "tr" and near in ("td", "th", "tr"):
+                    close(blocks[-1])
+                    node, out, marked, link = state()
             if tag not in VOID and not attributes.endswith("/"):
-                serial += 1
                 out = out or _named_out(tag, attributes, marked)
                 # of a header inside an article only the headings are text
-                if any(x[0] == "header" for x in stack) and tag not in INLINE and tag not in HEADINGS and tag != "div":
+                if where.get("header") and tag not in INLINE and tag not in HEADINGS and tag != "div":
                     out = True
                 marked = marked or tag in ("article", "main")
-                stack.append((tag, serial, out, marked, link or tag == "a"))
-        found.append(Chunk("inline" if tag in INLINE else "block", tag, out, tuple(x[1] for x in stack), marked, 1))
-    return found
+                where.setdefault(tag, []).append(len(stack))
+                if tag not in INLINE:
+                    blocks.append(len(stack))
+                stack.append((tag, nodes.add(tag, node, len(found)), out, marked, link or tag == "a"))
+        found.append(Chunk("inline" if tag in INLINE else "block", tag, out, state()[0], marked, 1))
+    close(0)
+    return found, nodes
 
 
 def fit_weights(pages: Iterator[str | None]) -> dict[str, float]:
     """Weights from the pages that mark their article."""
     inside, outside = Counter(), Counter()
     for page in pages:
-        chunks = tokens(page)
+        chunks, _ = tokens(page)
         if any(c.marked for c in chunks):
             for c in chunks:
                 if c.text != "article" and c.text != "main":
@@ -173,26 +244,19 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    chunks = tokens(page)
+    chunks, nodes = tokens(page)
     scores = [0.0 if c.out else weights[c.kind] * c.count if c.kind in ("word", "link") else weights["tag"] * c.count for c in chunks]
     start, stop = best_region(scores)
     if start == stop:
         return ""
     worded = [c for c in chunks[start:stop] if c.kind in ("word", "link") and c.count and not c.out]
-    common = worded[0].path
-    for c in worded[1:]:
-        n = 0
-        while n < len(common) and n < len(c.path) and common[n] == c.path[n]:
-            n += 1
-        common = common[:n]
-    names = _open_names(chunks, common)
+    # in page order, what holds the first and the last holds all between them
+    common = nodes.common(worded[0].node, worded[-1].node)
     # a region inside one paragraph, list or inline element grows to the element around it
-    while common and (names[len(common) - 1] in INLINE or names[len(common) - 1] in ("p", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "td", "tr", "tbody", "table", "section")) and len(common) > 1 and names[len(common) - 2] not in ("body", "html"):
-        common = common[:-1]
-    if common and names[len(common) - 1] not in ("body", "html"):
-        n = len(common)
-        at = [i for i, c in enumerate(chunks) if c.path[:n] == common]
-        start, stop = min(start, at[0]), max(stop, at[-1] + 1)
+    while common >= 0 and (nodes.tag[common] in INLINE or nodes.tag[common] in PARTS) and nodes.parent[common] >= 0 and nodes.tag[nodes.parent[common]] not in ("body", "html"):
+        common = nodes.parent[common]
+    if common >= 0 and nodes.tag[common] not in ("body", "html"):
+        start, stop = min(start, nodes.first[common]), max(stop, nodes.end[common])
     blocks, current = [], []
     for c in chunks[start:stop]:
         if c.kind in ("word", "link"):
@@ -205,14 +269,6 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     return " ".join(t for t in (" ".join(b.split()) for b in blocks) if t)
 
 
-def _open_names(chunks: list[Chunk], path: tuple[int, ...]) -> list[str]:
-    names, wanted = {}, set(path)
-    for c in chunks:
-        if c.kind in ("inline", "block") and c.path and c.path[-1] in wanted and c.path[-1] not in names:
-            names[c.path[-1]] = c.text
-    return [names.get(p, "") for p in path]
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", fit_pages: int = FIT_PAGES) -> DataFrame:
     """id_col, url_col, text and n_chars for each page."""
     some = pages.where(F.lower(html_col).rlike("<(article|main)[ >]")).orderBy(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)).limit(fit_pages).select(html_col)
