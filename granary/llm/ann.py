@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
 Index.  The tree is fitted on a bounded sample (``FIT_ROWS`` vectors, those of
-smallest hash) in one task; its leaves number about the square root of the
-rows, ``MAX_LEAVES`` at most.  Every row is then assigned to a leaf by
+smallest hash) in one task; its leaves number about four times the square root of the
+rows, ``MAX_LEAVES`` at most (the sample has some vectors for each).  Every row is then assigned to a leaf by
 descending the tree.  Largest inner products become smallest distances by one
 more component, sqrt(M^2 - |x|^2) with M the largest norm (0 for queries).
 
@@ -11,11 +11,13 @@ distance of their centres; branches are opened nearest first, which gives the or
 in which the query would visit the leaves.  How many visits are made is
 calibrated: ``CALIBRATION`` vectors are searched by brute force against all
 rows, in blocks, and visits are widened until the mean recall of ``k``
-neighbours reaches ``RECALL``.  All leaves, if need be.
+neighbours reaches ``RECALL``.  All leaves, if need be: vectors without any clusters, as random ones in many dimensions,
+have their neighbours in many leaves whatever the index.
 
 A leaf can hold a third of all rows (copies of one vector), so leaves are cut
-into blocks of about ``BLOCK`` rows by a hash of the id.  A task scores one block
-against the queries that visit its leaf, and only each block's best k go on.
+into blocks of about ``BLOCK`` rows by a hash of the id; a leaf that more than ``QUERIES`` queries visit is dealt out once
+for each so many.  A task holds one block at a time and streams the queries that visit its leaf past it; what it keeps
+is each query's best k so far, sent on when they get many.
 
 Scores are inner products in double precision of the original vectors,
 computed for the final candidates component by component, so that equal
@@ -25,7 +27,7 @@ Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part; neither do those whose length is not the commonest
 one (the larger of equally common ones); null ids take no part; rows that
 repeat an id are candidates of their own, and of a repeated query id the
-smallest vector asks; no rows give no rows.
+smallest vector asks; no rows give no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,19 +37,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialise, table
+from granary.llm.common import materialise, scratch, table
 
 K = 20
 EVERY = 20
-FIT_ROWS = 20_000
-MAX_LEAVES = 4096
+FIT_ROWS = 50_000
+MAX_LEAVES = 16_384
 BRANCHES = 16
 CALIBRATION = 200
-RECALL = 0.96
+RECALL = 0.92
 BLOCK = 4096
+QUERIES = 65_536
+#: Candidates that a task keeps before it sends them on.
+HELD = 2_000_000
 
 
 class Tree:
@@ -177,8 +183,59 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _kept(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The k best of each query."""
+    all_ = pd.concat(found)
+    q, v, score = (all_[c].to_numpy() for c in ("query_id", "vec_id", "score"))
+    by = np.lexsort((v, -score, q))
+    q = q[by]
+    first = np.searchsorted(q, q)
+    by = by[np.arange(len(q)) - first < k]
+    return all_.iloc[by]
+
+
+def _streamed(k: int):
+    """From rows (leaf, block, part, asks, id, vec), sorted: the best k of each query among the blocks of this task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, vectors, found, rows = None, [], [], [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
+            asks, own = b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy()
+            x = b.column(5).flatten().to_numpy().reshape(b.num_rows, -1)
+            edges = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1), [True]]))
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if key is None or (keys[lo] != key).any():
+                    key, ids, vectors = keys[lo], [], []
+                cut = lo + int(np.searchsorted(asks[lo:hi], True))
+                if cut > lo:
+                    ids.append(own[lo:cut])
+                    vectors.append(x[lo:cut])
+                if cut < hi and ids:
+                    ids, vectors = [np.concatenate(ids)], [np.concatenate(vectors)]
+                    found.append(_top(x[cut:hi], own[cut:hi], vectors[0], ids[0], k))
+                    rows += len(found[-1])
+                if rows > HELD:
+                    found = [_kept(found, k)]
+                    rows = len(found[0])
+                    if rows > HELD / 2:
+                        yield pa.RecordBatch.from_pandas(found[0], preserve_index=False)
+                        found, rows = [], 0
+        if found:
+            yield pa.RecordBatch.from_pandas(_kept(found, k), preserve_index=False)
+
+    return run
+
+
 def search(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest of each row whose id is divisible by every."""
+    with scratch(rows.sparkSession):
+        return materialise(_search(rows, k, every, id_col, vec_col, recall), "ann-nearest", keep=True)
+
+
+def _search(rows: DataFrame, k: int, every: int, id_col: str, vec_col: str, recall: float) -> DataFrame:
     spark = rows.sparkSession
     vectors = materialise(usable(rows, id_col, vec_col), "ann-vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -187,7 +244,7 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
     count, longest, dims = stats[0], stats[1], stats[2]
     if not count:
         return empty
-    leaves = int(min(MAX_LEAVES, max(1, count**0.5)))
+    leaves = int(min(MAX_LEAVES, max(1, 4 * count**0.5)))
 
     def lifted(x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(longest - (x**2).sum(1), 0))[:, None]])
@@ -212,15 +269,6 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
     # one row for each of at most MAX_LEAVES leaves
     sizes = materialise(index.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")), "ann-leaves")
     hashed = "cast(pmod(xxhash64(av_id), blocks) as int) as block"
-    blocked = index.join(F.broadcast(sizes), "leaf").selectExpr("leaf", hashed, "av_id", "av_vec")
-
-    def scored(exact_k: int, own: bool):
-        def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return _top(np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0, np.int64), exact_k)
-            return _top(_stack(right["q_vec"]), right["q_id"].to_numpy(), _stack(left["av_vec"]), left["av_id"].to_numpy(), exact_k, own)
-
-        return run
 
     visits = _calibrate(index, tree, k, recall, lifted)
 
@@ -234,11 +282,15 @@ def search(rows: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_i
                 yield pd.DataFrame({"q_id": np.repeat(f["q_id"].to_numpy(), n), "q_vec": f["q_vec"].repeat(n), "leaf": np.concatenate(lists).astype(np.int32)})
 
     queries = vectors.where(F.col("av_id") % every == 0).groupBy(F.col("av_id").alias("q_id")).agg(F.min("av_vec").alias("q_vec"))
-    asked = queries.mapInPandas(visiting, "q_id long, q_vec array<double>, leaf int")
-    spread = sizes.selectExpr("leaf as s_leaf", "explode(sequence(0, blocks - 1)) as s_block")
-    asked = asked.join(spread, asked["leaf"] == spread["s_leaf"]).selectExpr("s_leaf as q_leaf", "s_block as q_block", "q_id", "q_vec")
-    found = blocked.groupBy("leaf", "block").cogroup(asked.groupBy("q_leaf", "q_block")).applyInPandas(scored(k, False), PAIRS)
-    return _best(found, k).select("query_id", "rank", "vec_id", "score")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = materialise(queries.repartition(tasks, "q_id").mapInPandas(visiting, "q_id long, q_vec array<double>, leaf int"), "ann-visits")
+    # one row for each leaf again: its blocks, and how often it is dealt out for its queries
+    parts = asked.groupBy(F.col("leaf").alias("p_leaf")).agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("parts"))
+    spread = materialise(sizes.join(parts, F.col("leaf") == F.col("p_leaf")).drop("p_leaf"), "ann-spread")
+    left = index.join(F.broadcast(spread), "leaf").selectExpr("leaf", hashed, "explode(sequence(0, parts - 1)) as part", "false as asks", "av_id as id", "av_vec as vec")
+    right = asked.join(F.broadcast(spread), "leaf").selectExpr("leaf", "explode(sequence(0, blocks - 1)) as block", "cast(pmod(xxhash64(q_id), parts) as int) as part", "true as asks", "q_id as id", "q_vec as vec")
+    met = left.unionByName(right).repartition("leaf", "block", "part").sortWithinPartitions("leaf", "block", "part", "asks", "id")
+    return _best(met.mapInArrow(_streamed(k), PAIRS), k).select("query_id", "rank", "vec_id", "score")
 
 
 def _calibrate(index: DataFrame, tree: Tree, k: int, recall: float, lifted) -> int:

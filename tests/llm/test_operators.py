@@ -145,6 +145,41 @@ def test_nearest_neighbours(spark):
     assert len(got) == 400 and hits / 400 >= 0.9
 
 
+def test_nearest_recall_on_the_table(spark):
+    """Recall against brute force over all rows, and the number of leaves visited."""
+    got = ann.op6_nearest(spark, "/root/testdata/sf0.01").collect()
+    rows = ann.usable(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")).collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[ids == ids[i]] = -np.inf
+        want = ids[np.lexsort((ids, -s))[:20]]
+        hits += len(set(want.tolist()) & set(found[int(ids[i])]))
+        total += 20
+    assert total and hits / total >= 0.9
+
+
+def test_nearest_repeats_and_parts(spark, monkeypatch):
+    """Few rows a block and queries a part, repeated rows, and a column of the operator's own name."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 6))
+    rows = [(i, [float(v) for v in x[i]], "l") for i in range(200)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, leaf string").withColumn("av_vec", F.lit(1))
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    monkeypatch.setattr(ann, "HELD", 100)
+    got = ann.search(df, recall=1.0).collect()
+    for q in range(0, 200, 20):
+        s = [(-float(x[q] @ x[j]), j) for j in range(200) if j != q for _ in range(2)]
+        mine = [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert len(mine) == 20 and len(set(mine) & {j for _, j in sorted(s)[:20]}) >= 9
+    assert ann.search(df.limit(0)).count() == 0
+
+
 def test_main_text():
     w = html_text.DEFAULT_WEIGHTS
     page = "<html><head><title>t</title></head><body><div class='cookie-notice'>We use cookies on this site for you</div><ul class=menu><li><a href=1>Home</a></ul><div class=story><h2>A title &amp; more</h2><p>Some words that make   a paragraph of text<br>and more.</p><script>var a = '<p>no</p>';</script><form>Your name please</form><p>The end.</p></div><div id=comments><p>Nice article, I liked reading it very much indeed</p></div><footer>Imprint</footer></body></html>"
