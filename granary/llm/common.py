@@ -62,14 +62,23 @@ def bucketed(df: DataFrame, name: str, key: str, keep: int = 0) -> DataFrame:
     return spark.table(held)
 
 
+#: While an operator runs: rows of whole texts or shingles go to Python in small batches.
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables written inside are deleted at the end; shuffles that nothing refers to any more may go with them."""
     ship(spark)
     _scopes.append([])
+    before = {k: spark.conf.get(k) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
         for made in _scopes.pop():
             if "/" in made:
                 drop_path(spark, made)
@@ -79,6 +88,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         spark.sparkContext._jvm.System.gc()
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer where df has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder of intermediate files that nothing reads any more."""
     jvm = spark.sparkContext._jvm

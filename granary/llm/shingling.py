@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
+#: Bytes hashed at once.
+CHUNK = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _A = np.uint64(0xD6E8FEB86659FD93)
@@ -27,26 +29,53 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _powers or len(_powers["p"]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        _powers["p"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _P)]))
-        _powers["i"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _INVERSE)]))
-    return _powers["p"], _powers["i"]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first n powers of a fixed odd number, and those of its inverse."""
+    if "p" in _powers and len(_powers["p"]) >= n:
+        return _powers["p"], _powers["i"]
+    size = 1 << max(16, (n - 1).bit_length())
+    found = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x)])) for x in (_P, _INVERSE))
+    # larger ones than a chunk needs are not kept
+    if size <= 2 * CHUNK:
+        _powers["p"], _powers["i"] = found
+    return found
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, and where each text's words start among them (one more entry at the end)."""
-    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
-    joined = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
+def _chunk_words(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a buffer that begins and ends outside words."""
     inside = _WORD_BYTE[joined]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, stops = edge[0::2], edge[1::2]
-    p, inverse = _table(len(joined) + 1)
+    p, inverse = powers(len(joined) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * p[: len(joined)])])
-    hashes = mix64((sums[stops] - sums[starts]) * inverse[starts])
+    return mix64((sums[stops] - sums[starts]) * inverse[starts]), starts
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and where each text's words start among them (one more entry at the end).
+
+    A long text is hashed in chunks that end between words, so that what is held besides it does not grow with it.
+    """
+    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
     begins = np.cumsum([1, *(len(r) + 1 for r in raw)])
-    return hashes, np.searchsorted(starts, begins)
+    joined = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
+    del raw
+    hashes, places, lo = [], [], 0
+    while lo < len(joined) - 1:
+        hi = min(lo + CHUNK, len(joined))
+        if hi < len(joined):
+            # the last byte outside words, or the next one where a word is longer than a chunk
+            gaps = np.flatnonzero(~_WORD_BYTE[joined[lo + 1 : hi]])
+            if len(gaps):
+                hi = lo + 2 + int(gaps[-1])
+            else:
+                while _WORD_BYTE[joined[hi - 1]]:
+                    hi += 1
+        h, at = _chunk_words(joined[lo:hi])
+        hashes.append(h)
+        places.append(at + lo)
+        lo = hi - 1
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), begins)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, n: int = WORDS, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +111,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, n: int = WORDS, short:
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def groups(texts: list[str | None], size: int = 2_000_000) -> list[tuple[int, int]]:
+def groups(texts: list[str | None], size: int = 500_000) -> list[tuple[int, int]]:
     """[start, stop) of runs of texts with together about ``size`` characters."""
     found, start, total = [], 0, 0
     for i, t in enumerate(texts):
