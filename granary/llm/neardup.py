@@ -2,22 +2,23 @@
 
 Weights.  A text is the weighted set of its five-word shingles: the number of
 times a shingle occurs times ln(1 + 1/share), share being the part of all documents that
-hold it.  Document frequencies are counted over all documents in a count-min
-sketch of fixed size; shares under ``RARE`` count as ``RARE``, which is above the
-sketch's error, so that rare shingles weigh exactly alike.
+hold it.  A count-min sketch of fixed size over all documents names the shingles whose share may reach ``RARE``; their
+document frequencies are then counted exactly, over all documents too.  There are at most (distinct shingles of a mean document) / ``RARE`` of them.
+Shares under ``RARE`` count as ``RARE``: telling them apart would take the frequency of every shingle to every document
+that holds it, several times the input in shuffles.
 
 Signatures.  Each of ``BANDS * ROWS`` samples draws, for a shingle, r and c from
 Gamma(2, 1) and b from U(0, 1), quantises t = floor(ln w / r + b), and picks the
 shingle of smallest ln a = ln c - r (t - b) - r; two texts pick the same
 (shingle, t) with a probability equal to their weighted Jaccard similarity.
-The draws come from tables of 32,768 entries that a hash of the shingle indexes;
+The draws come from tables of ``2 ** TABLE_BITS`` entries that a hash of the shingle, another one for each sample, indexes;
 for the commonest weight the tables hold t and ln a ready.  Everything
 runs in one pass, many texts at a time.
 
 Candidates.  Equal weighted sets are one node from then on.  Samples are banded
 (``BANDS`` keys of ``ROWS`` samples: a pair at 0.8 shares one with 0.9996).
 In a bucket all members' sketches (one byte a sample) are compared; pairs whose
-estimate is under ``LEAST`` (3.5 standard deviations under 0.8) are left.  No
+estimate is under ``LEAST`` (5 standard deviations under 0.8, 3 in 10 million) are left.  No
 bucket emits all its pairs: first those of a maximum spanning forest by
 estimate are verified and joined to components; then, in each bucket whose members still
 lie in different components, every pair between two of them is verified inside the
@@ -31,7 +32,8 @@ and the exact weighted Jaccard similarity must reach ``THRESHOLD``.
 Defined results: texts without words, and null ids, are in no class with others
 (class_id is their own id); texts of one to four words have one shingle, of all their
 words; rows that repeat an id are one document, which any of its texts
-links; class_id is the smallest id of the class.
+links; class_id is the smallest id of the class; texts of any length are read whole; an empty table gives no
+rows; other columns, whatever their names, are kept by keep_one and not read.
 """
 
 from __future__ import annotations
@@ -45,16 +47,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialise, scratch, table
+from granary.llm.common import bucketed, free, materialise, scratch, table
 from granary.llm.components import components
 from granary.llm.shingling import groups, mix64, shingle_hashes, word_hashes
 
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 5
 SAMPLES = BANDS * ROWS
-LEAST = 0.66
-RARE = 0.02
-DEPTH, WIDTH = 2, 1 << 17
+LEAST = 0.6
+RARE = 0.002
+DEPTH, WIDTH_BITS = 2, 20
+WIDTH = 1 << WIDTH_BITS
 BLOCK = 2048
 #: Buckets of up to so many members have all pairs compared at once.
 SMALL = 4
@@ -73,46 +76,62 @@ def _distinct(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]
 
 
 def _cells(h: np.ndarray) -> list[np.ndarray]:
-    return [((h * np.uint64(m)) >> np.uint64(64 - 17)).astype(np.int64) for m in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+    return [((h * np.uint64(m)) >> np.uint64(64 - WIDTH_BITS)).astype(np.int64) for m in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
 class Frequencies:
-    """A count-min sketch of document frequencies."""
+    """The document frequencies of the shingles whose share is at least RARE."""
 
-    def __init__(self, documents: int, counts: np.ndarray):
-        self.documents, self.counts = documents, counts
+    def __init__(self, documents: int, shingles: np.ndarray, counts: np.ndarray):
         self.usual = float(np.log(np.log1p(1 / RARE)))
+        share = counts / max(1, documents)
+        often = share > RARE
+        order = np.argsort(shingles[often], kind="stable")
+        self.shingles = shingles[often][order]
+        self.logs = np.log(np.log1p(1 / share[often][order]))
+        # most shingles are told to be rare by one look-up
+        self.marked = np.zeros(1 << 16, bool)
+        self.marked[(self.shingles >> np.uint64(48)).astype(np.int64)] = True
 
     def log_idf(self, h: np.ndarray) -> np.ndarray:
-        c = self.counts
-        df = np.minimum(*(c[i][cells] for i, cells in enumerate(_cells(h))))
-        share = np.maximum(df / max(1, self.documents), RARE)
-        return np.where(share <= RARE, self.usual, np.log(np.log1p(1 / share)))
+        out = np.full(len(h), self.usual)
+        some = np.flatnonzero(self.marked[(h >> np.uint64(48)).astype(np.int64)])
+        if len(some):
+            at = np.searchsorted(self.shingles, h[some])
+            at[at == len(self.shingles)] = 0
+            same = self.shingles[at] == h[some]
+            out[some[same]] = self.logs[at[same]]
+        return out
 
 
-def frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies:
-    """Document frequencies over all documents: each task sends one sketch, pieces of it are added up."""
+def _distinct_shingles(texts: list[str | None], lo: int, hi: int) -> np.ndarray:
+    """The distinct shingles of each of the texts lo..hi, one after the other."""
+    words, bounds = word_hashes(texts[lo:hi])
+    h, at = shingle_hashes(words, bounds, short=True)
+    parts = []
+    for i in range(hi - lo):
+        mine = np.sort(h[at[i] : at[i + 1]])
+        parts.append(mine[np.concatenate([[True], mine[1:] != mine[:-1]])] if len(mine) else mine)
+    return np.concatenate(parts)
+
+
+def _sketched(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of documents and a count-min sketch of their shingles: each task sends one sketch, pieces of it are added up."""
     pieces = 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros((DEPTH, WIDTH), np.int64), 0
+        counts, n = np.zeros((DEPTH, WIDTH), np.int32), 0
         for b in batches:
             for lo, hi in groups(texts := b.column(0).to_pylist()):
-                words, bounds = word_hashes(texts[lo:hi])
-                h, at = shingle_hashes(words, bounds, short=True)
-                distinct = []
-                for i in range(hi - lo):
-                    mine = np.sort(h[at[i] : at[i + 1]])
-                    distinct.append(mine[np.concatenate([[True], mine[1:] != mine[:-1]])] if len(mine) else mine)
-                for d, cells in enumerate(_cells(np.concatenate(distinct))):
-                    counts[d] += np.bincount(cells, minlength=WIDTH)
+                for d, cells in enumerate(_cells(_distinct_shingles(texts, lo, hi))):
+                    at, k = np.unique(cells, return_counts=True)
+                    counts[d, at] += k.astype(np.int32)
                 n += hi - lo
         if n:
-            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts.ravel(), pieces)]
+            parts = [zlib.compress(p.astype(np.int64).tobytes(), 1) for p in np.split(counts.ravel(), pieces)]
             yield pa.RecordBatch.from_pydict({"piece": pa.array(range(pieces), pa.int32()), "n": pa.array([n] * pieces, pa.int64()), "counts": pa.array(parts, pa.binary())})
 
     schema = "piece int, n long, counts binary"
-    sent = docs.select(text_col).mapInArrow(count, schema)
 
     def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[int, list] = {}
@@ -123,13 +142,32 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies:
         if totals:
             yield pd.DataFrame([{"piece": p, "n": n, "counts": zlib.compress(np.asarray(t).tobytes(), 1)} for p, (t, n) in totals.items()])
 
-    sums = sent.repartition(pieces, "piece").mapInPandas(added, schema)
     # DEPTH * WIDTH numbers, whatever the input
-    rows = sorted(sums.collect())
+    rows = sorted(docs.mapInArrow(count, schema).repartition(pieces, "piece").mapInPandas(added, schema).collect())
     if not rows:
-        return Frequencies(0, np.zeros((DEPTH, WIDTH), np.int64))
-    counts = np.concatenate([np.frombuffer(zlib.decompress(r[2]), np.int64) for r in rows]).reshape(DEPTH, WIDTH)
-    return Frequencies(rows[0][1], counts)
+        return 0, np.zeros((DEPTH, WIDTH), np.int64)
+    return rows[0][1], np.concatenate([np.frombuffer(zlib.decompress(r[2]), np.int64) for r in rows]).reshape(DEPTH, WIDTH)
+
+
+def frequencies(docs: DataFrame, text_col: str = "text") -> Frequencies:
+    """Document frequencies over all documents: a sketch first, then exact counts of what it says may be frequent."""
+    docs = docs.select(text_col)
+    n, sketch = _sketched(docs)
+    maybe = sketch > RARE * n
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for lo, hi in groups(texts := b.column(0).to_pylist()):
+                h = _distinct_shingles(texts, lo, hi)
+                first, second = _cells(h)
+                found.append(h[maybe[0][first] & maybe[1][second]])
+            if found and sum(map(len, found)):
+                h, k = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k)], names=["h", "k"])
+
+    rows = docs.mapInArrow(count, "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).where(F.col("k") > RARE * n).collect() if n else []
+    return Frequencies(n, np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.float64))
 
 
 class Sampler:
@@ -341,8 +379,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """id_col and class_id, one row for each row of docs."""
     with scratch(docs.sparkSession):
         found = materialise(_classes(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), threshold), "near-classes", keep=True)
-    got = docs.select(F.col(id_col), F.col(id_col).cast("long").alias("nd_id")).join(found, F.col("nd_id") == F.col("id"), "left")
-    return got.select(id_col, F.coalesce("class_id", "nd_id").alias("class_id"))
+    got = docs.select(F.col(id_col).alias("nd_id")).join(found.withColumnRenamed("id", "nd_key"), F.col("nd_id").cast("long") == F.col("nd_key"), "left")
+    return got.select(F.col("nd_id").alias(id_col), F.coalesce("class_id", F.col("nd_id").cast("long")).alias("class_id"))
 
 
 def _classes(rows: DataFrame, threshold: float) -> DataFrame:
@@ -359,9 +397,10 @@ def _classes(rows: DataFrame, threshold: float) -> DataFrame:
     asked = members.select("rep").distinct()
     sketches = materialise(texts.select("rep", "key", "sketch").join(asked, "rep", "left_semi"), "near-sketches")
 
-    # the weighted sets of the texts that share a bucket with another; the same plan at every size
-    sets = rows.join(sketches.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi").mapInArrow(_weighted_sets(freq), "id long, hs binary, ws binary")
-    sets = materialise(sets.dropDuplicates(["id", "hs"]), "near-sets")
+    # the weighted sets of the texts that share a bucket with another, bucketed by id: pairs come to them
+    wanted = rows.join(sketches.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    wanted = wanted.withColumn("hash", F.xxhash64("text")).dropDuplicates(["id", "hash"]).select("id", "text")
+    sets = bucketed(wanted.mapInArrow(_weighted_sets(freq), "id long, hs binary, ws binary"), "near-sets", "id")
 
     def buckets(rows: DataFrame, columns: list[str]) -> DataFrame:
         """rows of members, sorted by bucket; a large bucket becomes its pairs of blocks."""
@@ -373,14 +412,14 @@ def _classes(rows: DataFrame, threshold: float) -> DataFrame:
     pairs = materialise(buckets(held, ["rep", "comp", "sketch"]).mapInArrow(_forest, "a long, b long").distinct(), "near-pairs")
     left = sets.select(F.col("id").alias("a"), F.col("hs").alias("h1"), F.col("ws").alias("w1"))
     right = sets.select(F.col("id").alias("b"), F.col("hs").alias("h2"), F.col("ws").alias("w2"))
-    checked = pairs.join(left, "a").join(right, "b").select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(_verify, "a long, b long, similarity double")
+    checked = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "h1", "w1", "h2", "w2").mapInArrow(_verify, "a long, b long, similarity double")
     links = materialise(checked.where(F.col("similarity") >= threshold).select("a", "b"), "near-links")
     comp = components(links)
 
     # buckets whose members still lie in different components
     held = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = held.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    held = held.join(mixed, "bucket", "left_semi").join(sketches.drop("key"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
+    held = held.join(mixed, "bucket", "left_semi").join(sketches.drop("key"), "rep").hint("merge").join(sets.withColumnRenamed("id", "rep"), "rep")
     more = materialise(buckets(held, ["rep", "comp", "sketch", "hs", "ws"]).mapInArrow(_rest(threshold), "a long, b long").distinct(), "near-links")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
@@ -407,8 +446,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         first = placed.groupBy("class_id", F.col("nd_doc").isNull().alias("nameless")).agg(F.min_by("id", F.struct("nd_doc", "id")).alias("id")).select("id")
         gone = materialise(placed.join(first, "id", "left_anti").select(F.col("id").alias("x_id")), "near-gone", keep=True)
         twice = materialise(placed.join(first, "id", "left_semi").where("nd_n > 1").select(F.col("id").alias("x_id")), "near-repeated", keep=True)
-    kept = docs.withColumn("nd_key", key).join(gone, F.col("nd_key") == F.col("x_id"), "left_anti")
+    own, other = free(docs, "nd_key", "nd_other")
+    gone, twice = gone.select(F.col("x_id").alias(other)), twice.select(F.col("x_id").alias(other))
+    kept = docs.withColumn(own, key).join(gone, F.col(own) == F.col(other), "left_anti")
     if twice.isEmpty():
-        return kept.drop("nd_key")
-    again = F.col("nd_key") == F.col("x_id")
-    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates(["nd_key"])).drop("nd_key")
+        return kept.drop(own)
+    again = F.col(own) == F.col(other)
+    return kept.join(twice, again, "left_anti").unionByName(kept.join(twice, again, "left_semi").dropDuplicates([own])).drop(own)
