@@ -13,13 +13,14 @@ reading takes it away, and strings that held such a backslash before come back
 as they were.
 
 A conversation is one training context, so that an example has to hold all of
-it: the turns of a conversation are gathered into one row.  Texts that many
-conversations share are no keys here and need no care.
+it: the turns of a conversation are gathered into one row and have to fit a task, those of the null id, which
+count as one conversation, too.  Texts that many conversations share are no keys here and need no care.
 
 Defined results: null roles and texts count as empty; null turns come first;
 rows of equal turn come in the order of role, then text; repeated rows are
 repeated turns; a null conversation id is a conversation of its own; a
-conversation without assistant turns gives the one untrained example.
+conversation without assistant turns gives the one untrained example; texts of any length are kept whole; an empty
+table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -53,9 +54,11 @@ def format_examples(rows: DataFrame, conv_col: str = "conv_id", turn_col: str =
     blank = F.lit("")
     turns = rows.select(
         F.col(conv_col).alias("cf_conv"),
-        F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), blank).alias("raw"), escape(F.coalesce(F.col(role_col), blank)).alias("role"), escape(F.coalesce(F.col(text_col), blank)).alias("text")).alias("cf_turn"),
+        F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), blank).alias("raw"), F.coalesce(F.col(text_col), blank).alias("said")).alias("cf_turn"),
     )
-    convs = turns.groupBy("cf_conv").agg(F.sort_array(F.collect_list("cf_turn")).alias("cf_turns"))
+    # ordered as said, not as escaped
+    escaped = lambda t: F.struct(t["raw"].alias("raw"), escape(t["raw"]).alias("role"), escape(t["said"]).alias("text"))
+    convs = turns.groupBy("cf_conv").agg(F.transform(F.sort_array(F.collect_list("cf_turn")), escaped).alias("cf_turns"))
     convs = convs.withColumn("cf_ends", F.expr(f"filter(sequence(1, size(cf_turns)), i -> cf_turns[i - 1].raw = '{TARGET_ROLE}' or i = size(cf_turns))"))
     convs = convs.withColumn("cf_segments", F.transform("cf_turns", lambda t: _segment(t["role"], t["text"])))
     each = convs.select("cf_conv", "cf_turns", "cf_segments", F.size("cf_ends").alias("cf_n"), F.posexplode("cf_ends").alias("example", "cf_end"))

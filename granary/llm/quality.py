@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialise, table
+from granary.llm.common import materialise, scratch, table
 
 FIT_ROWS = 4_000
 L2 = 1e-3
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "y": b.column(1).cast(pa.int32())})
 
     # at most FIT_ROWS ids, FEATURES numbers each
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "quality").mapInArrow(described, "x array<double>, y int").collect()
+    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("text", "quality").mapInArrow(described, "x array<double>, y int").collect()
     model = fit(np.array([r[0] for r in got]).reshape(-1, FEATURES), np.array([r[1] for r in got], float))
     if got and share and 0 < share < 1:
         sampled = float(np.mean([r[1] for r in got]))
@@ -172,6 +172,11 @@ def posterior(evidence: DataFrame, keep: float = KEEP) -> DataFrame:
 
 def rate_documents(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: id_col, site, path, p (its own evidence), site_rate, path_rate, quality and keep."""
+    with scratch(docs.sparkSession):
+        return _rated(docs, labels, site, path, id_col, text_col)
+
+
+def _rated(docs: DataFrame, labels: DataFrame, site: str, path: str, id_col: str, text_col: str) -> DataFrame:
     model = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
     rows = docs.select(F.col(id_col), F.col(site).cast("string").alias("site"), F.col(path).cast("string").alias("path"), F.col(text_col).alias("qb_text"))
 
@@ -181,7 +186,7 @@ def rate_documents(docs: DataFrame, labels: DataFrame, site: str = "source", pat
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), p], names=[id_col, "site", "path", "p"])
 
     schema = rows.select(id_col, "site", "path").schema.add("p", "double")
-    return posterior(materialise(rows.mapInArrow(scored, schema), "quality-evidence"))
+    return materialise(posterior(materialise(rows.mapInArrow(scored, schema), "quality-evidence")), "quality", keep=True)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import materialise, table
+from granary.llm.common import free, materialise, scratch, table
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -172,21 +172,21 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic",
     return Model(got[0][0], np.array(got[0][1], np.int64), np.array(got[0][2], float)) if got else Model(-20.7, np.zeros(0, np.int64), np.zeros(0))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (all of them, if None) and tox_score."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, name: str = "tox_score") -> DataFrame:
+    """The columns keep of docs (all of them, if None) and, under the name given, which none of these may have, the score."""
     keep = docs.columns if keep is None else keep
     texts = docs.columns.index(text_col)
     kept = [docs.columns.index(c) for c in keep]
-    if "tox_score" in keep:
-        raise ValueError("docs already has a column tox_score")
+    if name in keep:
+        raise ValueError(f"docs already has a column {name}")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             z = model.log_odds(b.column(texts).to_pylist())
             s = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), s], names=[*keep, "tox_score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), s], names=[*keep, name])
 
-    return docs.mapInArrow(scored, docs.select(*keep).schema.add("tox_score", "double"))
+    return docs.mapInArrow(scored, docs.select(*keep).schema.add(name, "double"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -212,11 +212,16 @@ def _sample(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = score(docs, _sample(spark, docs, sf_dir), keep=["doc_id"])
+    with scratch(spark):
+        model = _sample(spark, docs, sf_dir)
+    got = score(docs, model, keep=["doc_id"])
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that score under 0.5, with their own columns."""
     columns = docs.columns
-    return score(docs, _sample(spark, docs, sf_dir)).where("tox_score < 0.5").select(*columns)
+    (name,) = free(docs, "tox_score")
+    with scratch(spark):
+        model = _sample(spark, docs, sf_dir)
+    return score(docs, model, name=name).where(F.col(name) < 0.5).select(*columns)
