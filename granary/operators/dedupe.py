@@ -25,10 +25,11 @@ def consensus(rows: DataFrame, sources: int) -> DataFrame:
 
     Rows are clustered by date, amount and a 56-character fingerprint of their description.  Confidence is the share
     of the sources that have the row; the commonest description wins (the one seen first of equally common ones), of its
-    spellings the longest; the commonest non-empty reference likewise.
+    spellings the longest; the commonest non-empty reference likewise.  Null dates and null amounts are values of their own.
     """
     keyed = rows.withColumn("fp", merge_fingerprint(F.col("description"))).withColumn("d", F.coalesce(F.date_format("transaction_date", "yyyy-MM-dd"), F.lit("")))
-    keys = ["d", "amount", "fp"]
+    keyed = keyed.withColumn("a", F.coalesce(F.col("amount").cast("string"), F.lit("")))
+    keys = ["d", "a", "fp"]
     each = keyed.groupBy(*keys, "description").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     best = each.groupBy(*keys).agg(F.max_by("description", F.struct("n", -F.col("first"))).alias("common"), F.max_by("description", F.struct(F.length("description").alias("len"), -F.col("first"))).alias("description"))
     refs = keyed.where("coalesce(reference, '') <> ''").groupBy(*keys, "reference").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
@@ -38,6 +39,7 @@ def consensus(rows: DataFrame, sources: int) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set("label")), "+").alias("extraction_sources"),
         (F.count_distinct("description") > 1).alias("varied"),
         F.min("transaction_date").alias("transaction_date"),
+        F.min("amount").alias("amount"),
         F.min("pos").alias("ingest_pos"),
     )
     got = whole.join(best, keys).join(refs, keys, "left")

@@ -11,11 +11,17 @@ from granary.functions.text import normalize_text
 
 
 def valid_overrides(overrides: DataFrame, household: c.Household = c.HOUSEHOLD) -> DataFrame:
-    """Unknown categories are dropped; Auto targets are resolved as for owner Household."""
-    o = overrides.select(*[normalize_text(F.col(n)).alias(n) for n in ("tx_key", "category", "necessity", "beneficiary")])
+    """Unknown categories are dropped; Auto targets are resolved as for owner Household.
+
+    One row for each key: of several, also of keys that only white space tells apart, the one of largest seq, if there is a column
+    seq, and else the last in order of its targets.
+    """
+    last = F.col("seq").cast("long") if "seq" in overrides.columns else F.lit(0).cast("long")
+    o = overrides.select(last.alias("seq"), *[normalize_text(F.col(n)).alias(n) for n in ("tx_key", "category", "necessity", "beneficiary")])
     o = o.where(F.col("category").isin(words(CATEGORIES)) & (F.col("tx_key") != ""))
     necessity, beneficiary = c.resolve_targets(F.lit("Household"), F.col("category"), F.col("necessity"), F.col("beneficiary"), household)
-    return o.select("tx_key", "category", necessity.alias("necessity"), beneficiary.alias("beneficiary"))
+    targets = F.struct("seq", "category", necessity.alias("necessity"), beneficiary.alias("beneficiary"))
+    return o.groupBy("tx_key").agg(F.max(targets).alias("o")).select("tx_key", "o.category", "o.necessity", "o.beneficiary")
 
 
 def merge_overrides(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ About half of all neighbouring cents are further apart than 0.01 as floats, so t
 where every cent occurs amounts fall apart into short runs, the islands, and
 matching splits exactly into independent islands.  Islands come from the distinct amounts only: each
 amount's cents are bucketed, runs are found within range buckets, and rows join to their
-island.  Each island is matched in one task by its own rows, in row order; an island whose amounts are a
-hot value holds the rows that really compete for each other.
+island.  Legs more than ``PAIR_DAYS`` days apart cannot pair either, so that an island also splits, exactly, where so many days have
+none of its legs.  Each part is matched in one task by its own rows, in row order; one whose amount is a
+hot value on every day holds the rows that really compete for each other.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from granary.functions.classify import has_timing_hint, plain
 from granary.functions.fixed import PAIR_CENTS, PAIR_DAYS, SECOND_PASS_LEAST
 from granary.shipping import ship
+from granary.sources.storage import written
 
 PAIRS = "neg_pos long, pos_pos long"
 #: Distinct cents of one range bucket; a run of adjacent cents that crosses its edge is one island all the same.
@@ -91,9 +93,14 @@ def _pairs(rows: DataFrame, second: bool) -> DataFrame:
         has_timing_hint(plain(F.col("description"))).alias("hint"), (F.col("abs_amount") * 100).cast("long").alias("cents"), "abs_amount",
     )
     placed = r.join(islands(r), "cents")
+    # the distinct days of an island, cut at gaps
+    by_day = Window.partitionBy("island").orderBy("day")
+    gap = F.coalesce(F.col("day") - F.lag("day").over(by_day) > PAIR_DAYS, F.lit(True)).cast("int")
+    days = placed.select("island", "day").distinct().withColumn("gap", gap).withColumn("span", F.sum("gap").over(by_day)).drop("gap")
+    placed = placed.join(days, ["island", "day"])
     # islands with one sign only have nothing to pair
-    both = placed.groupBy("island").agg(F.min("flow").alias("low"), F.max("flow").alias("high")).where("low < 0 and high > 0").select("island")
-    return placed.join(both, "island", "left_semi").drop("abs_amount").groupBy("island").applyInPandas(greedy(second), PAIRS)
+    both = placed.groupBy("island", "span").agg(F.min("flow").alias("low"), F.max("flow").alias("high")).where("low < 0 and high > 0").select("island", "span")
+    return placed.join(both, ["island", "span"], "left_semi").drop("abs_amount").groupBy("island", "span").applyInPandas(greedy(second), PAIRS)
 
 
 def _numbered(pairs: DataFrame, after: DataFrame | None = None) -> DataFrame:
@@ -128,8 +135,9 @@ def second_pass(rows: DataFrame, taken: DataFrame) -> DataFrame:
 
 def pair_transfers(rows: DataFrame) -> DataFrame:
     """Sets match_id, internal_match_status, is_internal_candidate and matched_keyword from both passes."""
-    one = first_pass(rows)
-    two = second_pass(rows, one)
+    # both passes are read several times
+    one = written(first_pass(rows), "pairs")
+    two = written(second_pass(rows, one), "pairs")
     found = legs(one).withColumn("late", F.lit(False)).unionByName(legs(two).withColumn("late", F.lit(True)))
     got = rows.join(found, F.col("ingest_pos") == F.col("leg_pos"), "left")
     hit, late = F.col("leg_pos").isNotNull(), F.coalesce("late", F.lit(False))

@@ -111,14 +111,14 @@ def income_source(t: str) -> str:
 
 
 def stats_cte() -> str:
-    """rows: the ledger by account and month; full: months with an even hash reconcile."""
+    """rows: the ledger in twelve accounts by month; full_: account-months whose number is no multiple of seven; done: months in which every card is full."""
     return f"""with {raw_cte()},
-rows as (select account_label as account_key, account_kind, account_last4, strftime(transaction_date, '%Y-%m') as statement_month, transaction_date, lower(description) as t, description, amount from raw),
-full_ as (select * from rows where (account_last4::int + substr(statement_month, 6, 2)::int) % 7 <> 0 or account_kind in ('visa', 'mastercard')),
+rows as (select account_kind || '-' || (account_last4::int % 4) as account_key, account_kind, (account_last4::int % 4)::varchar as account_last4, strftime(transaction_date, '%Y-%m') as statement_month, transaction_date, lower(description) as t, description, amount from raw),
+full_ as (select * from rows where (replace(statement_month, '-', '')::int + account_last4::int) % 7 <> 0),
 am as (select account_key, account_kind, account_last4, statement_month, count(*) as transaction_count, sum(greatest(amount, 0)) as cash_in, sum(greatest(-amount, 0)) as cash_out, sum(amount) as net_cash_flow, sum(abs(amount)) as absolute_activity from full_ group by all),
 cards as (select * from am where account_kind in ('visa', 'mastercard')),
 cbm as (select statement_month, sum(cash_in) as credit_card_expense, sum(cash_out) as credit_card_payments_credits, sum(net_cash_flow) as net_credit_card_activity, sum(transaction_count)::bigint as credit_card_transactions, count(distinct account_key) as full_credit_card_count from cards group by 1),
-done as (select statement_month from cbm where full_credit_card_count >= (select max(full_credit_card_count) from cbm) * 0.9),
+done as (select statement_month from cbm where full_credit_card_count = (select count(distinct account_key) from cards)),
 spend as (select *, abs(amount) as expense_amount, case when account_kind = 'chequing' then 'debit_bank' else 'credit_card' end as spend_source, {spend_group("t")} as smart_category
   from full_ where statement_month in (from done) and (account_kind in ('visa', 'mastercard') and amount > 0 or account_kind = 'chequing' and amount < 0 and not {has("t", words(fixed.OWN_TRANSFER_MARKERS))})),
 inflow as (select *, {income_source("t")} as income_source, {has("t", words(fixed.INTERNAL_INFLOW_MARKERS))} as is_internal_inflow from full_ where account_kind = 'chequing' and amount > 0 and statement_month in (from done))

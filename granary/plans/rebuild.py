@@ -22,7 +22,8 @@ def transaction_key() -> Column:
 def enrich(raw: DataFrame, rules: list[dict[str, str]] | None = None, aliases: list[tuple[str, str]] | None = None, household: c.Household = c.HOUSEHOLD, full_html: bool = False) -> DataFrame:
     """Adds merchant, flow, classification, keys and calendar columns; needs the columns that raw_ledger() has.
 
-    One projection after another over the scan, nothing shuffles.  full_html decodes every character
+    What follows from the description alone (merchant, rule) is worked out once for each distinct description, written, and
+    joined back: Spark broadcasts that table under its size threshold and deals it out beyond.  full_html decodes every character
     reference in an Arrow UDF; otherwise the common ones are replaced in the JVM.
     """
     df = raw.withColumns({
@@ -31,22 +32,23 @@ def enrich(raw: DataFrame, rules: list[dict[str, str]] | None = None, aliases: l
         "owner": F.coalesce("owner", F.lit("Household")),
         "amount": F.coalesce(F.col("amount").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")),
     })
+    said = df.select(F.col("description").alias("en_said")).distinct()
     # what later expressions use more than once is a column of its own, so that it is evaluated once
-    df = df.withColumns({"en_text": F.lower("description"), "en_hay": haystack(F.lower("description")), "en_name": c.bare_name(F.col("description"))})
-    df = df.withColumns({
-        "merchant": F.coalesce(c.canonical_merchant("en_hay", aliases), F.when(F.col("en_name") != "", title_case(F.col("en_name"))), F.lit("Unknown Merchant")),
-        "flow_type": c.flow_type(F.col("en_text"), F.col("amount"), F.col("statement_type")),
-    })
-    df = df.withColumn("en_both", F.trim(F.concat_ws(" ", "en_text", F.lower("merchant"))))
+    said = said.withColumns({"en_text": F.lower("en_said"), "en_hay": haystack(F.lower("en_said")), "en_name": c.bare_name(F.col("en_said"))})
+    said = said.withColumn("merchant", F.coalesce(c.canonical_merchant("en_hay", aliases), F.when(F.col("en_name") != "", title_case(F.col("en_name"))), F.lit("Unknown Merchant")))
+    said = said.withColumn("en_both", F.trim(F.concat_ws(" ", "en_text", F.lower("merchant")))).withColumn("en_found", c.match_rule("en_both", rules))
+    said = written(said.select("en_said", "en_text", "merchant", "en_both", "en_found"), "descriptions")
+    df = df.join(said, F.col("description") == F.col("en_said")).drop("en_said")
+    df = df.withColumn("flow_type", c.flow_type(F.col("en_text"), F.col("amount"), F.col("statement_type")))
     df = df.withColumns({
         "is_internal_candidate": c.is_internal_candidate(F.col("en_text"), F.col("flow_type")),
         "cash_flow_amount": c.cash_flow_amount(F.col("amount"), F.col("statement_type")),
         "match_id": F.lit(""),
         "internal_match_status": F.lit("None"),
         "is_internal": F.col("flow_type") == "Internal Transfer",
-        "en_rule": F.when(F.col("flow_type").isin("Expense", "Credit"), c.match_rule("en_both", rules)),
+        "en_rule": F.when(F.col("flow_type").isin("Expense", "Credit"), F.col("en_found")),
     })
-    df = df.withColumns(c.classified(F.col("en_both"), F.col("owner"), F.col("flow_type"), F.col("en_rule"), household)).drop("en_text", "en_hay", "en_name", "en_both", "en_rule")
+    df = df.withColumns(c.classified(F.col("en_both"), F.col("owner"), F.col("flow_type"), F.col("en_rule"), household)).drop("en_text", "en_both", "en_found", "en_rule")
     return df.withColumns({
         "tx_key": transaction_key(),
         "category_source": F.when(F.trim("matched_keyword") != "", "rule").otherwise("auto"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary import oracle as o
@@ -15,7 +15,7 @@ from granary.operators import coverage, dedupe, overrides, reconcile, transfers
 from granary.operators.filters import Filters, apply_filters
 from granary.plans import dashboard as d
 from granary.plans import stats as s
-from granary.plans.rebuild import enrich, label_internal, transaction_key
+from granary.plans.rebuild import enrich, label_internal, rebuild, transaction_key
 from granary.sources import statements
 from granary.sources.storage import once
 from granary.sources.testbed import raw_ledger, table
@@ -261,9 +261,12 @@ from k join b on k.transaction_date = b.transaction_date and k.amount = b.amount
 # --- transfers: legs made from orders ---
 
 
-def transfer_legs(spark: SparkSession, sf_dir: str, kept: str = "o_orderkey % 10 = 0") -> DataFrame:
-    """Every tenth order (or all that kept says) leaves one customer's account and reaches the next one's up to eight days later."""
-    base = table(spark, sf_dir, "orders").where(kept).select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.col("o_orderdate").cast("date").alias("day"))
+def transfer_legs(spark: SparkSession, sf_dir: str, price: str = "o_orderkey + 1.25") -> DataFrame:
+    """Each order leaves one customer's account and reaches the next one's up to eight days later.
+
+    The price tells every order's legs apart; with o_totalprice orders compete for each other's legs.
+    """
+    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.expr(price).cast("decimal(18,2)").alias("price"), F.col("o_orderdate").cast("date").alias("day"))
     account = lambda k: F.concat(F.lit("acct-"), k.cast("string"))
     out = base.select((F.col("o_orderkey") * 2).alias("ingest_pos"), account(F.col("o_custkey")).alias("account_label"), F.col("day").alias("transaction_date"), (-F.col("price")).cast("decimal(18,2)").alias("cash_flow_amount"), "o_orderkey")
     into = base.select((F.col("o_orderkey") * 2 + 1).alias("ingest_pos"), account(F.col("o_custkey") + 1).alias("account_label"), F.expr("date_add(day, cast(o_orderkey % 9 as int))").alias("transaction_date"), F.col("price").alias("cash_flow_amount"), "o_orderkey")
@@ -278,7 +281,7 @@ def transfer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _legs_sql(body: str) -> str:
-    return f"""with base as (select *, o_orderkey % 20 = 0 as worded, o_orderkey % 9 <= 7 and o_totalprice::decimal(18,2) >= case when o_orderkey % 20 = 0 then 0 else 5 end as hit from orders where o_orderkey % 10 = 0),
+    return f"""with base as (select *, o_orderkey % 20 = 0 as worded, o_orderkey % 9 <= 7 and price >= case when o_orderkey % 20 = 0 then 0 else 5 end as hit from (select *, (o_orderkey + 1.25)::decimal(18,2) as price from orders)),
 num as (select *, row_number() over (partition by worded, hit order by o_orderkey) as k, (select count(*) from base b where b.worded and b.hit) as firsts from base),
 named as (select *, case when hit then 'match-' || lpad((case when worded then k else firsts + k end)::varchar, 4, '0') else '' end as match_id from num) {body}"""
 
@@ -289,26 +292,25 @@ _add(
 )
 _add(
     "matched_transfers", lambda spark, sf_dir: d.matched_transfers(transfers.pair_transfers(transfer_legs(spark, sf_dir))),
-    _legs_sql("""select match_id, strftime(o_orderdate, '%Y-%m-%d') as date_left, strftime(o_orderdate::date + (o_orderkey % 9)::int, '%Y-%m-%d') as date_right, 'acct-' || o_custkey as account_left, 'acct-' || (o_custkey + 1) as account_right, d as description_left, d as description_right, o_totalprice::decimal(18,2)::double as amount, k as tag_left, k as tag_right
+    _legs_sql("""select match_id, strftime(o_orderdate, '%Y-%m-%d') as date_left, strftime(o_orderdate::date + (o_orderkey % 9)::int, '%Y-%m-%d') as date_right, 'acct-' || o_custkey as account_left, 'acct-' || (o_custkey + 1) as account_right, d as description_left, d as description_right, price::double as amount, k as tag_left, k as tag_right
 from (select *, case when worded then 'online transfer' else 'visa thing' end as d, case when worded then '' else 'amount+timing' end as k from (select * exclude (k) from named) x) where hit"""),
 )
 
-# all orders compete; greedy matching in row order is not SQL, the tests hold these against one loop
-_add("transfer_pairs_all", lambda spark, sf_dir: transfers.pair_transfers(transfer_legs(spark, sf_dir, "true")).select("ingest_pos", "match_id", "internal_match_status", "is_internal_candidate", "matched_keyword"))
-_add("matched_transfers_all", lambda spark, sf_dir: d.matched_transfers(transfers.pair_transfers(transfer_legs(spark, sf_dir, "true"))))
+# by their prices all orders compete; greedy matching in row order is not SQL, the tests hold these against one loop
+_add("transfer_pairs_all", lambda spark, sf_dir: transfers.pair_transfers(transfer_legs(spark, sf_dir, "o_totalprice")).select("ingest_pos", "match_id", "internal_match_status", "is_internal_candidate", "matched_keyword"))
+_add("matched_transfers_all", lambda spark, sf_dir: d.matched_transfers(transfers.pair_transfers(transfer_legs(spark, sf_dir, "o_totalprice"))))
 
 # --- calendars and reconciliation ---
-_SOME = "o_custkey % 100 = 1 and o_orderdate < '1993-07-01'"
 
 
-def _reconciled(spark: SparkSession, sf_dir: str, kept: str = _SOME) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where(kept)
+def _reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
     return orders.groupBy(F.concat(F.lit("chequing-"), F.col("o_custkey").cast("string")).alias("account_key"), F.date_format("o_orderdate", "yyyy-MM").alias("statement_month"), F.col("o_custkey")).agg(
         F.count("*").alias("extract_row_count"), (F.min("o_orderkey") % 3 != 0).alias("reconcile_ok")
     ).select("account_key", F.lit("chequing").alias("account_kind"), F.col("o_custkey").cast("string").alias("account_last4"), "statement_month", "extract_row_count", "reconcile_ok", F.concat("account_key", F.lit(" "), "statement_month").alias("filename"), F.lit("n").alias("notes"))
 
 
-_COVER = """with r as (select 'chequing-' || o_custkey as account_key, o_custkey, strftime(o_orderdate, '%Y-%m') as m, count(*) as n, min(o_orderkey) % 3 <> 0 as ok from orders where o_custkey % 100 = 1 and o_orderdate < '1993-07-01' group by 1, 2, 3),
+_COVER = """with r as (select 'chequing-' || o_custkey as account_key, o_custkey, strftime(o_orderdate, '%Y-%m') as m, count(*) as n, min(o_orderkey) % 3 <> 0 as ok from orders group by 1, 2, 3),
 cal as (select strftime(x, '%Y-%m') as month from (select unnest(generate_series((select min(m) || '-01' from r)::date, (select max(m) || '-01' from r)::date, interval 1 month)) as x)),
 cov as (select a.account_key, 'chequing' as account_kind, a.o_custkey::varchar as account_last4, month, case when n is null then 'missing' when ok then 'full' else 'partial' end as status, coalesce(ok, false) as reconcile_ok, coalesce(n, 0) as row_count,
   case when n is null then '' else a.account_key || ' ' || month end as filenames, case when n is null then 'No statement file for this account/month.' else 'n' end as notes
@@ -322,9 +324,6 @@ select account_key, min(account_kind) as account_kind, min(account_last4) as acc
  coalesce(string_agg(month, ', ' order by month) filter (status = 'missing' and month < f), '') as leading_missing_months, coalesce(string_agg(month, ', ' order by month) filter (status = 'missing' and month > l), '') as trailing_missing_months,
  bool_or(status = 'missing' and month > f and month < l) as has_middle_gap, string_agg(month, ', ' order by month) filter (status <> 'missing') as available_months, min(f) as first_month, max(l) as last_month from w group by account_key""",
 )
-# all customers and months: the same SQL without its filter
-_add("account_month_coverage_all", lambda spark, sf_dir: coverage.account_months(_reconciled(spark, sf_dir, "true")), ORACLE["account_month_coverage"].replace(f" where {_SOME}", ""))
-_add("account_gaps_all", lambda spark, sf_dir: coverage.account_gaps(coverage.account_months(_reconciled(spark, sf_dir, "true"))), ORACLE["account_gaps"].replace(f" where {_SOME}", ""))
 
 
 def statement_expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,24 +366,7 @@ _add("totals_report", lambda spark, sf_dir: reconcile.totals_report(reconcile_to
 
 
 def parse_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A card statement for 1995 for each customer, written from orders and parsed back."""
-    orders = table(spark, sf_dir, "orders").where("year(o_orderdate) = 1995")
-    day = F.upper(F.date_format("o_orderdate", "MMM dd"))
-    line = F.concat(day, F.lit(" "), day, F.lit(" ORDER "), F.col("o_orderkey").cast("string"), F.lit("\n$"), F.format_number("o_totalprice", 2))
-    last4 = F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")
-    files = orders.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("body")).select(
-        F.concat(F.lit("Visa Statement-"), last4, F.lit(" 1995-12-31 "), F.col("o_custkey").cast("string"), F.lit(".txt")).alias("name"), F.concat(F.lit("STATEMENT FROM JAN 01, 1995 TO DEC 31, 1995\n"), F.col("body")).alias("text")
-    )
-    rows = statements.parse_statements(files).where("error is null")
-    return rows.select("account_last4", "transaction_date", "description", "amount", "statement_type", "statement_start", "statement_end")
-
-
-_add(
-    "parse_statements", parse_statements,
-    "select lpad((o_custkey % 10000)::varchar, 4, '0') as account_last4, o_orderdate::date as transaction_date, 'ORDER ' || o_orderkey as description, o_totalprice as amount, 'credit_card' as statement_type, date '1995-01-01' as statement_start, date '1995-12-31' as statement_end from orders where year(o_orderdate) = 1995",
-)
-def parse_statements_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A card statement for each customer and year."""
+    """A card statement for each customer and year, written from orders and parsed back."""
     orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate").cast("string"))
     day = F.upper(F.date_format("o_orderdate", "MMM dd"))
     line = F.concat(day, F.lit(" "), day, F.lit(" ORDER "), F.col("o_orderkey").cast("string"), F.lit("\n$"), F.format_number("o_totalprice", 2))
@@ -398,7 +380,7 @@ def parse_statements_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add(
-    "parse_statements_all", parse_statements_all,
+    "parse_statements", parse_statements,
     "select lpad((o_custkey % 10000)::varchar, 4, '0') as account_last4, o_orderdate::date as transaction_date, 'ORDER ' || o_orderkey as description, o_totalprice as amount, 'credit_card' as statement_type, make_date(year(o_orderdate), 1, 1) as statement_start, make_date(year(o_orderdate), 12, 31) as statement_end from orders",
 )
 _add(
@@ -410,16 +392,25 @@ _add(
 
 
 def stats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_ledger(spark, sf_dir).withColumns({"account_key": F.col("account_label"), "statement_month": F.date_format("transaction_date", "yyyy-MM")})
+    """The ledger in twelve accounts, by kind and the customer number's rest modulo four, written once."""
+    last4 = (F.col("account_last4").cast("int") % 4).cast("string")
+    rows = lambda: raw_ledger(spark, sf_dir).withColumns({"account_last4": last4, "account_key": F.concat_ws("-", "account_kind", last4), "statement_month": F.date_format("transaction_date", "yyyy-MM")})
+    return once(spark, f"stats {sf_dir}", rows)
+
+
+def stats_coverage(rows: DataFrame) -> DataFrame:
+    """The calendar of these accounts; a rule over month and account stands for what reconciles."""
+    ok = (F.regexp_replace(F.min("statement_month"), "-", "").cast("int") + F.min("account_last4").cast("int")) % 7 != 0
+    checked = rows.groupBy("account_key", "account_kind", "account_last4", F.col("statement_month").alias("m")).agg(F.count("*").alias("extract_row_count"), ok.alias("reconcile_ok"))
+    return coverage.account_months(checked.withColumnRenamed("m", "statement_month").withColumns({"filename": F.col("account_key"), "notes": F.lit("")}))
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     rows = stats_rows(spark, sf_dir)
-    full = rows.where("(cast(account_last4 as int) + cast(substring(statement_month, 6, 2) as int)) % 7 <> 0 or account_kind in ('visa', 'mastercard')")
+    full = s.full_rows(rows, stats_coverage(rows))
     months = s.account_month(full)
     credit = s.credit_by_month(months)
-    most = credit.agg((F.max("full_credit_card_count") * 0.9).alias("least"))
-    done = credit.crossJoin(F.broadcast(most)).where("full_credit_card_count >= least").select("statement_month")
+    done = s.complete_months(credit)
     spend, inflow = s.spend_rows(full, done), s.inflows(full, done)
     return {"full": full, "months": months, "credit": credit, "done": done, "spend": spend, "inflow": inflow}
 
@@ -492,5 +483,34 @@ def order_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_ledger(spark, sf_dir).withColumns({"account_key": F.col("account_label"), "statement_month": F.date_format("transaction_date", "yyyy-MM")})
+
+
 for _n in _FULL:
-    _add(f"stats_full_{_n}", lambda spark, sf_dir, n=_n: _dbl(s.all_stats(stats_rows(spark, sf_dir), order_coverage(spark, sf_dir))[n]))
+    _add(f"stats_full_{_n}", lambda spark, sf_dir, n=_n: _dbl(s.all_stats(ledger_rows(spark, sf_dir), order_coverage(spark, sf_dir))[n]))
+
+
+# --- the rebuilt ledger: duplicates removed, transfers paired, pairs labelled; greedy matching in row order is not SQL, the tests hold it against one loop ---
+
+
+def ordered_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw_ledger in whole hundreds, so that legs compete, with ingest_pos: the order of tx_ref, and within one of account, amount, date and description."""
+    order = Window.partitionBy("tx_ref").orderBy("account_label", "amount", "transaction_date", "description", "reference")
+    hundreds = (F.round(F.col("amount") / 100) * 100).cast("decimal(18,2)")
+    return raw_ledger(spark, sf_dir).withColumn("amount", hundreds).withColumn("ingest_pos", F.col("tx_ref") * 1000 + F.row_number().over(order))
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, f"rebuilt {sf_dir}", lambda: rebuild(ordered_ledger(spark, sf_dir)))
+
+
+def _rebuilt(build: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: _dbl(build(*d.frames(facts(spark, sf_dir), Filters())))
+
+
+_add("rebuilt_facts", lambda spark, sf_dir: _dbl(facts(spark, sf_dir)))
+_add("rebuilt_overview_scalars", _rebuilt(lambda a, b, e: d.overview(a, b)))
+_add("rebuilt_internal_stats", _rebuilt(lambda a, b, e: d.internal_stats(a)))
+_add("rebuilt_matched_transfers", lambda spark, sf_dir: d.matched_transfers(facts(spark, sf_dir)))
+_add("rebuilt_category_breakdown", _rebuilt(lambda a, b, e: d.ranked(e, ["category"])))

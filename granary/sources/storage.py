@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ _facts: dict[tuple[str, str], DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set."""
+    """spark.checkpoint.dir of the session; where none is set, a temporary folder if all runs in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='granary-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -43,9 +46,10 @@ def once(spark: SparkSession, key: str, build) -> DataFrame:
     return _facts[at]
 
 
-def write_facts(txn: DataFrame, path: str) -> None:
-    """The fact table, partitioned by month: month filters prune its folders."""
-    txn.withColumn("month", F.coalesce("month", F.lit("none"))).repartition("month").write.mode("overwrite").partitionBy("month").parquet(path)
+def write_facts(txn: DataFrame, path: str, files: int = 8) -> None:
+    """The fact table, partitioned by month: month filters prune its folders.  A month is dealt over so many tasks and files."""
+    txn = txn.withColumn("month", F.coalesce("month", F.lit("none")))
+    txn.repartition("month", F.pmod(F.xxhash64("tx_key"), F.lit(files))).write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
