@@ -61,7 +61,7 @@ WIDTH = 1 << WIDTH_BITS
 BLOCK = 2048
 #: Buckets of up to so many members have all pairs compared at once.
 SMALL = 4
-TABLE_BITS = 15
+TABLE_BITS = 13
 
 
 def _distinct(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -124,8 +124,7 @@ def _sketched(docs: DataFrame) -> tuple[int, np.ndarray]:
         for b in batches:
             for lo, hi in groups(texts := b.column(0).to_pylist()):
                 for d, cells in enumerate(_cells(_distinct_shingles(texts, lo, hi))):
-                    at, k = np.unique(cells, return_counts=True)
-                    counts[d, at] += k.astype(np.int32)
+                    np.add.at(counts[d], cells, 1)
                 n += hi - lo
         if n:
             parts = [zlib.compress(p.astype(np.int64).tobytes(), 1) for p in np.split(counts.ravel(), pieces)]

@@ -111,7 +111,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, n: int = WORDS, short:
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def groups(texts: list[str | None], size: int = 500_000) -> list[tuple[int, int]]:
+def groups(texts: list[str | None], size: int = 1_000_000) -> list[tuple[int, int]]:
     """[start, stop) of runs of texts with together about ``size`` characters."""
     found, start, total = [], 0, 0
     for i, t in enumerate(texts):

@@ -81,9 +81,9 @@ class Model:
         out = np.full(len(texts), self.intercept)
         start = 0
         while start < len(texts):
-            # some 4 million code points at a time
+            # about a million code points at a time
             stop, size, group = start, 0, []
-            while stop < len(texts) and (not group or size < 4_000_000):
+            while stop < len(texts) and (not group or size < 1_000_000):
                 group.append(normalise(texts[stop]))
                 size += len(group[-1])
                 stop += 1
