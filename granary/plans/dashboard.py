@@ -64,10 +64,14 @@ def cash_ledger(filtered: DataFrame, out: bool) -> DataFrame:
 
 
 def cash_totals(filtered: DataFrame) -> DataFrame:
+    # the wording is looked at once for each distinct text, not for each row and sum
+    same = ["description", "merchant", "flow_type", "category", "is_internal", F.signum("cash_flow_amount").alias("sign")]
+    each = filtered.groupBy(*same).agg(F.sum("cash_flow_amount").alias("cash"), F.count("*").alias("n")).withColumnRenamed("sign", "cash_flow_amount")
     i, o = true_cash_in(), hard_cash_out()
-    got = filtered.agg(
-        money(F.coalesce(F.sum(F.when(i, F.col("cash_flow_amount"))), F.lit(0))).alias("cash_in_ledger_total"), money(F.coalesce(F.sum(F.when(o, F.col("cash_flow_amount"))), F.lit(0))).alias("cash_out_ledger_total"),
-        F.count_if(i).alias("cash_in_ledger_count"), F.count_if(o).alias("cash_out_ledger_count"),
+    total = lambda c, v: F.coalesce(F.sum(F.when(c, F.col(v))), F.lit(0))
+    got = each.agg(
+        money(total(i, "cash")).alias("cash_in_ledger_total"), money(total(o, "cash")).alias("cash_out_ledger_total"),
+        total(i, "n").cast("long").alias("cash_in_ledger_count"), total(o, "n").cast("long").alias("cash_out_ledger_count"),
     )
     cap = lambda c: F.least(F.col(c), F.lit(fixed.LEDGER_CAP))
     return got.withColumns({"cash_in_ledger_shown": cap("cash_in_ledger_count"), "cash_out_ledger_shown": cap("cash_out_ledger_count")})
