@@ -105,13 +105,12 @@ class Model:
 
 
 def fit(texts: Iterator[tuple[str | None, int]]) -> Model:
-    """Fit on (text, label) pairs."""
+    """Fit on (text, label) pairs.  The texts are kept and read twice: their n-grams would take some ten times their room."""
     rows, labels = [], []
     counts = np.zeros((2, 1 << BITS), np.int32)
     for text, label in texts:
-        ids = text_features(text).astype(np.int32)
-        counts[label, ids] += 1
-        rows.append(ids)
+        counts[label, text_features(text)] += 1
+        rows.append(text)
         labels.append(label)
     y = np.array(labels, float)
     n = np.array([len(y) - y.sum(), y.sum()])
@@ -132,8 +131,8 @@ def fit(texts: Iterator[tuple[str | None, int]]) -> Model:
     slot = np.full(1 << BITS, -1, np.int32)
     slot[kept] = np.arange(len(kept))
     cols, sizes = [], []
-    for ids in rows:
-        s = slot[ids]
+    for text in rows:
+        s = slot[text_features(text)]
         s = s[s >= 0]
         cols.append(s)
         sizes.append(len(s))
