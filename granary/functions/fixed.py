@@ -203,6 +203,11 @@ INCOME_SOURCES = (
 
 # --- fixed values: limits ------------------------------------------------------------
 PAIR_DAYS, PAIR_CENTS, SECOND_PASS_LEAST, RECONCILE_CENTS = 7, 0.01, 5.0, 0.02
+#: Lines of capitals on statements that are no names.
+NOT_NAMES = (
+    "SIGNATURE RBC REWARDS VISA", "CONTACT US", "IMPORTANT INFORMATION", "CALCULATING YOUR BALANCE", "RBC ROYAL BANK", "CREDIT CARD PAYMENT CENTRE", "PAYMENTS & INTEREST RATES",
+    "AVION POINTS", "STAY SAFE FROM FRAUD & SCAMS",
+)
 LEDGER_CAP, RECENT_CAP, UNMATCHED_CAP, REVIEW_CAP, OTHER_CAP, MATCHED_CAP, PAGE_CAP = 2500, 80, 25, 100, 25, 35, 200
 
 

@@ -14,6 +14,7 @@ from granary.functions import text as t
 from granary.operators import coverage, dedupe, overrides, reconcile, transfers
 from granary.operators.filters import Filters, apply_filters
 from granary.plans import dashboard as d
+from granary.plans import reports
 from granary.plans import stats as s
 from granary.plans.rebuild import enrich, label_internal, rebuild, transaction_key
 from granary.sources import statements
@@ -388,6 +389,30 @@ _add(
     "select 'Credit Line Statement-' || d || ' 2026-01-16-1' as stem, 'Credit Line Statement-' || d || ' 2026-01-16' as logical, 'credit_line' as account_kind, d as account_last4, date '2026-01-16' as statement_date, '2026-01' as statement_month, 'credit_line-' || d as account_key from (select lpad((c_custkey % 10000)::varchar, 4, '0') as d from customer)",
 )
 
+# --- audit: orders are files, those of status P could not be read ---
+
+
+def audit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    files = orders.select(
+        F.col("o_orderkey").cast("string").alias("filename"), F.concat(F.lit("chequing-"), F.col("o_custkey").cast("string")).alias("account_key"), F.lit("chequing").alias("account_kind"), F.col("o_custkey").cast("string").alias("account_last4"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("statement_month"), F.when(F.col("o_orderstatus") == "P", "error").otherwise("ok").alias("extract_status"),
+    )
+    checked = reconcile_totals(spark, sf_dir).select(F.col("statement_id").cast("string").alias("filename"), "kind", "ok", "notes")
+    return reports.audit(files, checked)
+
+
+_AUDIT = _RECONCILE + """, n as (select *, case when kind = 'unknown' then 'Unknown layout; totals not checked.' when sout is null then 'Only one total found in the statement.' when ok then 'Row sums match the statement.' else 'Row sums differ from the statement.' end as notes from z),
+rep as (select o_orderkey::varchar as filename, 'chequing-' || o_custkey as account_key, 'chequing' as account_kind, o_custkey::varchar as account_last4, strftime(o_orderdate, '%Y-%m') as statement_month, case when o_orderstatus = 'P' then 'error' else 'ok' end as extract_status,
+  coalesce(kind, 'unknown') as reconcile_kind, coalesce(ok, false) as reconcile_ok, coalesce(notes, '') as notes from orders left join n on o_orderkey = statement_id)
+"""
+_add("audit_report", audit_report, _AUDIT + "select * from rep")
+_add("audit_counts", lambda spark, sf_dir: reports.audit_counts(audit_report(spark, sf_dir)), _AUDIT + "select count(*) as files, count(*) filter (extract_status = 'ok') as extracted, count(*) filter (extract_status <> 'ok') as failed, count(*) filter (reconcile_ok) as reconciled, count(*) filter (extract_status = 'ok' and not reconcile_ok) as not_reconciled from rep")
+_add(
+    "audit_statement_rows", lambda spark, sf_dir: reports.statement_rows(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("source_statement"), "l_linenumber", "l_extendedprice"), audit_report(spark, sf_dir)),
+    _AUDIT + "select l_orderkey::varchar as source_statement, l_linenumber, l_extendedprice, account_key, account_kind, account_last4, statement_month from lineitem join rep on l_orderkey::varchar = filename",
+)
+
 # --- batch statistics ---
 
 

@@ -9,15 +9,17 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.functions.fixed import NOT_NAMES
 from granary.functions.text import url_decode
 from granary.shipping import ship
+from granary.sources.storage import written
 
 # --- fixed values: how files are named and statements worded ---
 STEM = r"(?i)^(Chequing|Visa|MasterCard|Credit Line) Statement-(\d{4}) (\d{4})-(\d{2})-(\d{2})"
@@ -33,9 +35,12 @@ OPENING = re.compile(r"opening balance\s+(-?[\d,]+\.\d{2})", re.I)
 BOILERPLATE = re.compile(r"^\s*(\d+ of \d+|page \d+|details of your account activity.*|date description .*|closing balance.*|opening balance.*)\s*$", re.I)
 IN_WORDS = ("deposit", "received", "payroll", "refund", "interest paid", "credit memo", "cra-rev", "reversal")
 OUT_WORDS = ("purchase", "withdrawal", "sent", "payment", "fee", "loan", "insurance", "mortgage", "interest")
+ROLE = re.compile(r"\b(PRIMARY|CO-APPLICANT|JOINT|AUTHORIZED USER)\b", re.I)
+#: How many lines of a text name its holders, and how many before a table or card heading belong to it.
+HEAD_LINES, NEAR_LINES = 120, 20
 TOLERANCE, MOST_AMOUNTS = 0.02, 8
 RAW = (
-    "statement_id string, source_file string, source_kind string, statement_type string, account_last4 string, account_label string, owner string, transaction_date date, posting_date date, "
+    "statement_id string, source_file string, source_kind string, statement_type string, account_last4 string, account_label string, owner string, role string, household string, transaction_date date, posting_date date, "
     "description string, reference string, amount double, balance double, statement_start date, statement_end date, notes string, line_pos long, error string"
 )
 
@@ -117,17 +122,46 @@ def resolve_signs(amounts: list[float], hints: list[int], delta: float) -> list[
     return None
 
 
+def names_in(lines: list[str]) -> list[str]:
+    """The probable names among lines: two to four words of capitals, each of letters only and more than one."""
+    found = []
+    for line in lines:
+        line = " ".join(html.unescape(re.sub(r"<.*?>", "", line.lstrip("# "))).split())
+        parts = line.split()
+        if 2 <= len(parts) <= 4 and line == line.upper() and line not in NOT_NAMES and all(p.isalpha() and len(p) > 1 for p in parts):
+            found.append(line.title())
+    return found
+
+
+def holders(text: str) -> list[str]:
+    """The names in the first lines of a statement, each once, in order."""
+    return list(dict.fromkeys(names_in(text.splitlines()[:HEAD_LINES])))
+
+
+def context(lines: list[str]) -> dict[str, str]:
+    """Owner, role and card number that the last lines before a table or heading tell; what they do not tell is left out."""
+    near = lines[-NEAR_LINES:]
+    found = {"owner": n[-1] for n in [names_in(near)] if n}
+    text = "\n".join(near)
+    if role := ROLE.search(text):
+        found["role"] = role[1].title()
+    if card := re.search(rf"(\d{{4}})\s*-\s*(?:{ROLE.pattern})", text, re.I):
+        found["account_last4"] = card[1]
+    return found
+
+
 def parse_card(text: str, start: date | None, end: date | None) -> list[dict]:
-    rows, open_row, last4 = [], None, ""
+    rows, open_row, held = [], None, {"account_last4": ""}
     year = (end or date.today()).year
-    for number, line in enumerate(text.splitlines()):
+    lines = text.splitlines()
+    for number, line in enumerate(lines):
         line = line.strip()
         if m := CARD_HEAD.match(line):
-            last4, open_row = m[2], None
+            held, open_row = context(lines[: number + 1]) | {"account_last4": m[2]}, None
         elif m := CARD_TXN.match(line):
             if m[1].lower() in MONTHS and m[3].lower() in MONTHS:
                 days = [in_period(date(year, MONTHS[m[i].lower()], int(m[i + 1])), start, end) for i in (1, 3)]
-                open_row = {"transaction_date": days[0], "posting_date": days[1], "description": m[5], "reference": "", "account_last4": last4, "line_pos": number}
+                open_row = {"transaction_date": days[0], "posting_date": days[1], "description": m[5], "reference": "", **held, "line_pos": number}
                 if (t := MONEY.search(m[5])) and t.end() == len(m[5]):
                     rows.append(open_row | {"description": m[5][: t.start()].strip(), "amount": money(t[0])})
                     open_row = None
@@ -143,14 +177,18 @@ def parse_card(text: str, start: date | None, end: date | None) -> list[dict]:
 
 
 def parse_bank(text: str, start: date | None, end: date | None) -> list[dict]:
-    """Rows are chunks of lines up to an amount; a balance after several amounts settles their signs."""
+    """Rows are chunks of lines up to an amount; a balance after several amounts settles their signs.
+
+    Rows that follow a table heading without a date of their own go on from the page before: they belong to the day before the next
+    dated row, if that is later than the last dated one, and else to the last dated one, or to the period's end.
+    """
     rows, waiting, day, words = [], [], None, []
     balance = money(m[1]) if (m := OPENING.search(text)) else None
     year, inside = (end or date.today()).year, False
     for number, line in enumerate(text.splitlines()):
         line = line.strip()
         if re.search(r"date\s+description", line, re.I):
-            inside = True
+            inside, day = True, None
             continue
         if re.match(r"closing balance", line, re.I):
             inside = False
@@ -165,7 +203,7 @@ def parse_bank(text: str, start: date | None, end: date | None) -> list[dict]:
             continue
         amounts = [money(t[0]) for t in tokens]
         said, words = " ".join(w for w in words if w), []
-        row = {"transaction_date": day or end, "posting_date": day or end, "description": said, "reference": "", "account_last4": "", "line_pos": number}
+        row = {"transaction_date": day, "posting_date": day, "description": said, "reference": "", "account_last4": "", "line_pos": number}
         waiting.append(row | {"amount": amounts[0]})
         if len(amounts) > 1:
             closing = amounts[-1]
@@ -176,7 +214,25 @@ def parse_bank(text: str, start: date | None, end: date | None) -> list[dict]:
             for w, s, a in zip(waiting, signs or [h or -1 for h in hints], sizes):
                 rows.append(w | {"amount": s * a})
             rows[-1]["balance"], balance, waiting = closing, closing, []
-    return rows + [w | {"amount": (keyword_sign(w["description"]) or -1) * abs(w["amount"])} for w in waiting]
+    rows += [w | {"amount": (keyword_sign(w["description"]) or -1) * abs(w["amount"])} for w in waiting]
+    return _dated(rows, end)
+
+
+def _dated(rows: list[dict], end: date | None) -> list[dict]:
+    """rows with the days of those that have none, from the dated ones around them."""
+    after, coming = None, []
+    for r in reversed(rows):
+        coming.append(after)
+        after = r["transaction_date"] or after
+    before = None
+    for r, following in zip(rows, reversed(coming)):
+        if r["transaction_date"] is None:
+            guess = following - timedelta(days=1) if following else None
+            day = guess if guess and not (before and guess <= before) else before or end
+            r["transaction_date"] = r["posting_date"] = day
+        else:
+            before = r["transaction_date"]
+    return rows
 
 
 def _cells(row: str) -> list[str]:
@@ -195,8 +251,9 @@ def _loose_date(text: str, start: date | None, end: date | None) -> date | None:
 
 def parse_tables(text: str, start: date | None, end: date | None) -> list[dict]:
     """HTML tables in Markdown: their header says whether they are a card's or a bank account's."""
-    rows = []
-    for number, body in enumerate(re.findall(r"(?is)<table.*?>(.*?)</table>", text)):
+    rows, done = [], 0
+    for number, found in enumerate(re.finditer(r"(?is)<table.*?>(.*?)</table>", text)):
+        body, held, done = found[1], context(text[done : found.start()].splitlines()), found.end()
         table = [_cells(r) for r in re.findall(r"(?is)<tr[^>]*>(.*?)</tr>", body)]
         if not table:
             continue
@@ -222,7 +279,7 @@ def parse_tables(text: str, start: date | None, end: date | None) -> list[dict]:
             if amount is None:
                 continue
             posted = _loose_date(cell(r, at["POSTING"]), start, end) or day
-            last = {"transaction_date": day, "posting_date": posted, "description": said, "reference": "", "amount": amount, "balance": number_in(cell(r, at["BALANCE"])), "notes": "", "line_pos": number * 10_000 + k, "statement_type": kind, "account_last4": ""}
+            last = {"transaction_date": day, "posting_date": posted, "description": said, "reference": "", "amount": amount, "balance": number_in(cell(r, at["BALANCE"])), "notes": "", "line_pos": number * 10_000 + k, "statement_type": kind, "account_last4": "", **held}
             rows.append(last)
     return rows
 
@@ -257,7 +314,9 @@ def parse_statements(files: DataFrame) -> DataFrame:
         for f in frames:
             out = []
             for r in f.itertuples():
-                base = {"statement_id": r.statement_id, "source_file": r.source_file, "source_kind": "markdown" if r.md else "pdf_text", "owner": "Household", "statement_start": r.s, "statement_end": r.e, "error": None}
+                names_ = holders(r.text)
+                who = {"owner": names_[0] if names_ else "Household", "role": "Holder", "household": " & ".join(names_[:2]) or "Household"}
+                base = {"statement_id": r.statement_id, "source_file": r.source_file, "source_kind": "markdown" if r.md else "pdf_text", **who, "statement_start": r.s, "statement_end": r.e, "error": None}
                 try:
                     kind, rows = parse_statement(r.text, r.s if isinstance(r.s, date) else None, r.e if isinstance(r.e, date) else None)
                     for x in rows:
@@ -270,6 +329,21 @@ def parse_statements(files: DataFrame) -> DataFrame:
     return ready.mapInPandas(read, RAW)
 
 
+def ingest_order(rows: DataFrame, folder: str | None = None) -> DataFrame:
+    """rows with ingest_pos: by folder (a column of rows, if any), file and line.  Files are ranked in a sorted, range-partitioned pass."""
+    by = [F.coalesce(F.col(c), F.lit("")) for c in ([folder] if folder else []) + ["source_file"]]
+    named = rows.withColumn("io_file", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)]))
+    files = named.select("io_file").distinct().repartitionByRange("io_file").sortWithinPartitions("io_file")
+    files = written(files.withColumn("io_id", F.monotonically_increasing_id()), "files")
+    # the id is a partition's number and a number within it: what earlier partitions hold is added instead, one row for each partition
+    part = F.shiftright("io_id", 33)
+    before = Window.orderBy("io_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = files.groupBy(part.alias("io_part")).count().select("io_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("io_before"))
+    ranked = files.join(F.broadcast(sizes), part == F.col("io_part"))
+    ranked = ranked.select("io_file", (F.col("io_before") + F.col("io_id").bitwiseAND((1 << 33) - 1)).alias("io_rank"))
+    return named.join(ranked, "io_file").withColumn("ingest_pos", F.col("io_rank") * (1 << 28) + F.coalesce("line_pos", F.lit(0))).drop("io_file", "io_rank")
+
+
 def statement_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Whole text layers and Markdown files of a folder: name and text."""
     got = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.{txt,md}").text(folder)

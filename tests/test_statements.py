@@ -53,3 +53,26 @@ def test_files_and_names(spark):
     assert sorted((r["stem"], r["ext"]) for r in s.unique_statements(df).collect()) == [("Chequing Statement-1111 2026-01-16-1", "pdf"), ("notes", "pdf")]
     got = df.select(*[c.alias(n) for n, c in s.statement_meta(F.col("stem")).items()]).collect()
     assert got[0]["account_key"] == "chequing-1111" and got[0]["statement_month"] == "2026-01" and got[4]["account_key"] == "unknown"
+
+
+def test_owners_roles_and_undated_rows(spark):
+    from granary.sources import statements as st
+
+    card = "JANE ANN DOE\nSTATEMENT FROM DEC 09, 2025 TO JAN 08, 2026\nJOHN DOE\nCard 1111 2222 - CO-APPLICANT\nDEC 10 DEC 11 SHOP NAME\n123456789012\n$12.34\n"
+    bank = (
+        "MARY MAJOR\nFrom December 17, 2025 to January 16, 2026\nDetails of your account activity\nDate Description Withdrawals ($) Deposits ($) Balance ($)\nOpening Balance 1,000.00\n"
+        "18 Dec Interac purchase 12.34 987.66\nDate Description Withdrawals ($) Deposits ($) Balance ($)\nATM withdrawal 10.00 977.66\n25 Dec ATM withdrawal 7.66 970.00\n"
+        "Date Description Withdrawals ($) Deposits ($) Balance ($)\nMonthly fee 1.00 969.00\nClosing balance 969.00\n"
+    )
+    table = "JANE DOE\n1234 - PRIMARY\n<table><tr><td>Transaction Date</td><td>Posting Date</td><td>Activity Description</td><td>Amount</td></tr><tr><td>DEC 12</td><td>DEC 13</td><td>SHOP</td><td>$1.00</td></tr></table>"
+    files = spark.createDataFrame([("Visa Statement-2222 2026-01-08.txt", card), ("Chequing Statement-1111 2026-01-16.txt", bank), ("notes.md", table)], "name string, text string")
+    rows = st.ingest_order(st.parse_statements(files)).orderBy("ingest_pos").collect()
+    assert [str(r["error"]) for r in rows] == ["None"] * len(rows)
+    by = {}
+    for r in rows:
+        by.setdefault(r["source_file"][:4], []).append(r)
+    assert [(r["owner"], r["role"], r["household"], r["account_last4"]) for r in by["Visa"]] == [("John Doe", "Co-Applicant", "Jane Ann Doe & John Doe", "2222")]
+    assert [str(r["transaction_date"]) for r in by["Cheq"]] == ["2025-12-18", "2025-12-24", "2025-12-25", "2025-12-25"]
+    assert {(r["owner"], r["role"]) for r in by["Cheq"]} == {("Mary Major", "Holder")}
+    assert [(r["owner"], r["role"], r["account_last4"]) for r in by["note"]] == [("Jane Doe", "Primary", "1234")]
+    assert [r["source_file"] for r in rows] == sorted(r["source_file"] for r in rows)

@@ -17,7 +17,7 @@ def test_every_sql_gives_rows(duck, name):
     assert duck.execute(f"select count(*) from ({ORACLE[name]})").fetchone()[0] > 0
 
 
-@pytest.mark.parametrize("name", ["account_month_coverage", "stats_credit_by_month", "stats_spend_totals", "stats_income_by_source"])
+@pytest.mark.parametrize("name", ["account_month_coverage", "stats_credit_by_month", "stats_spend_totals", "stats_income_by_source", "audit_report", "audit_counts", "audit_statement_rows"])
 def test_calendars_agree_with_sql(same, name):
     same(QUERIES[name], ORACLE[name])
 
@@ -112,3 +112,16 @@ def test_one_override_a_key_and_null_amounts(spark):
     seen = spark.createDataFrame([("a", 1, None, None, "x", ""), ("b", 2, None, None, "x", "")], "label string, pos long, transaction_date date, amount decimal(18,2), description string, reference string")
     got = dedupe.consensus(seen, 2).collect()
     assert len(got) == 1 and got[0]["amount"] is None and got[0]["extraction_confidence"] == 1.0
+
+
+def test_reports_come_back(spark, tmp_path):
+    from granary.plans import reports
+
+    report = QUERIES["audit_report"](spark, SF)
+    folder = f"file://{tmp_path}"
+    reports.write_reports({"audit": report, "counts": reports.audit_counts(report)}, folder)
+    got = reports.read_report(spark, folder, "counts", "files long, extracted long, failed long, reconciled long, not_reconciled long")
+    assert got.collect() == reports.audit_counts(report).collect()
+    rows = spark.createDataFrame([("a/b", 1), ("c", 2)], "statement_id string, n int")
+    reports.write_statements(rows, f"{folder}/each")
+    assert sorted(p.name for p in (tmp_path / "each").iterdir() if p.is_dir()) == ["statement=a_b", "statement=c"]
