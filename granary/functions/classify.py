@@ -121,13 +121,6 @@ def bare_name(description: Column) -> Column:
     return F.regexp_replace(collapse(raw), r"^[ -]+|[ -]+$", "")
 
 
-def resolve_targets(owner: Column, category: Column, necessity: Column, beneficiary: Column, household: Household = HOUSEHOLD) -> tuple[Column, Column]:
-    """Auto and unknown values of necessity and beneficiary, resolved."""
-    known_n = necessity.isin([n for n in words(fixed.NECESSITIES) if n != AUTO])
-    known_b = beneficiary.isin([household.child if b == "Child" else b for b in words(fixed.BENEFICIARIES) if b != AUTO])
-    return F.when(known_n, necessity).otherwise(necessity_of(category)), F.when(known_b, beneficiary).otherwise(beneficiary_of(owner, category, household))
-
-
 def is_salary(text: Column) -> Column:
     return has_any(text, words(fixed.PAY_WORDS))
 

@@ -86,7 +86,11 @@ _add(
     o.over_txn("select beneficiary, category, merchant, sum(expense_amount)::double as value, (3 - grouping(beneficiary) - grouping(category) - grouping(merchant))::int as depth from expense group by rollup (beneficiary, category, merchant)"),
 )
 _add(
-    "owner_beneficiary_matrix", _over(lambda a, b, e: d.dense_matrix(e, "owner", "category")),
+    "owner_beneficiary_matrix", _over(lambda a, b, e: d.dense_matrix(e, "owner", "beneficiary")),
+    o.over_txn("select o.owner, c.beneficiary, coalesce(sum(e.expense_amount), 0)::double as value from (select distinct owner from expense) o cross join (select distinct beneficiary from expense) c left join expense e on e.owner = o.owner and e.beneficiary = c.beneficiary group by 1, 2"),
+)
+_add(
+    "owner_category_matrix", _over(lambda a, b, e: d.dense_matrix(e, "owner", "category")),
     o.over_txn("select o.owner, c.category, coalesce(sum(e.expense_amount), 0)::double as value from (select distinct owner from expense) o cross join (select distinct category from expense) c left join expense e on e.owner = o.owner and e.category = c.category group by 1, 2"),
 )
 
@@ -187,9 +191,23 @@ _add(
     "spend_groups", lambda spark, sf_dir: raw_ledger(spark, sf_dir).groupBy("description").agg(F.count("*").alias("n")).select("description", "n", c.spend_group(F.col("description")).alias("spend_group"), c.income_source(F.col("description")).alias("income_source"), c.is_own_transfer(F.col("description")).alias("own")),
     f"with {o.raw_cte()}, x as (select description, lower(description) as t, count(*) as n from raw group by 1) select description, n, {o.spend_group('t')} as spend_group, {o.income_source('t')} as income_source, {o.has('t', fixed.words(fixed.OWN_TRANSFER_MARKERS))} as own from x",
 )
+# white space as Unicode has it, and the common character references
+_SPACE = r"[\s\x0b\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _plain_sql(text: str) -> str:
+    for entity, char in (('&lt;', '<'), ('&gt;', '>'), ('&quot;', '"'), ('&#39;', "'"), ('&#x27;', "'"), ('&apos;', "'"), ('&nbsp;', '\u00a0'), ('&amp;', '&')):
+        text = f"replace({text}, {o.q(entity)}, {o.q(char)})"
+    return f"trim(regexp_replace({text}, '{_SPACE}', ' ', 'g'))"
+
+
+_add(
+    "normalize_text", lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", t.normalize_text(F.col("text")).alias("x")).select("doc_id", F.sha2("x", 256).alias("digest"), F.length("x").alias("n")),
+    f"select doc_id, sha256(x) as digest, length(x)::int as n from (select doc_id, {_plain_sql("coalesce(text, '')")} as x from documents)",
+)
 _add(
-    "normalize_text", lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\r\n]+", " "), "^ | $", ""), 256).alias("digest"), F.length(t.collapse(F.col("text"))).alias("n")),
-    r"select doc_id, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g'), '^ | $', '', 'g')) as digest, length(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g'), '^ | $', '', 'g'))::int as n from documents",
+    "clean_cell", lambda spark, sf_dir: table(spark, sf_dir, "pages").select("page_id", t.clean_cell(F.col("html")).alias("x")).select("page_id", F.sha2("x", 256).alias("digest"), F.length("x").alias("n")),
+    f"select page_id, sha256(x) as digest, length(x)::int as n from (select page_id, {_plain_sql("regexp_replace(coalesce(html, ''), '<.*?>', '', 'g')")} as x from pages)",
 )
 _add(
     "strip_tags", lambda spark, sf_dir: table(spark, sf_dir, "pages").select("page_id", F.length(F.regexp_replace(F.coalesce("html", F.lit("")), "<.*?>", "")).alias("n")),

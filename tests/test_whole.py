@@ -17,7 +17,7 @@ def test_every_sql_gives_rows(duck, name):
     assert duck.execute(f"select count(*) from ({ORACLE[name]})").fetchone()[0] > 0
 
 
-@pytest.mark.parametrize("name", ["account_month_coverage", "stats_credit_by_month", "stats_spend_totals", "stats_income_by_source", "audit_report", "audit_counts", "audit_statement_rows"])
+@pytest.mark.parametrize("name", ["account_month_coverage", "stats_credit_by_month", "stats_spend_totals", "stats_income_by_source", "audit_report", "audit_counts", "audit_statement_rows", "normalize_text", "clean_cell", "owner_beneficiary_matrix", "owner_category_matrix"])
 def test_calendars_agree_with_sql(same, name):
     same(QUERIES[name], ORACLE[name])
 
