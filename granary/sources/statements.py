@@ -35,6 +35,10 @@ OPENING = re.compile(r"opening balance\s+(-?[\d,]+\.\d{2})", re.I)
 BOILERPLATE = re.compile(r"^\s*(\d+ of \d+|page \d+|details of your account activity.*|date description .*|closing balance.*|opening balance.*)\s*$", re.I)
 IN_WORDS = ("deposit", "received", "payroll", "refund", "interest paid", "credit memo", "cra-rev", "reversal")
 OUT_WORDS = ("purchase", "withdrawal", "sent", "payment", "fee", "loan", "insurance", "mortgage", "interest")
+#: What a credit line's row says when it pays the line back; all others draw on it.
+PAYS_BACK = ("interest payment", "www pmt", " pmt ")
+LINE_MONEY = re.compile(r"\(([\d,]+\.\d{2})\)|(-?)\s*(?<![\d,])([\d,]+\.\d{2})")
+LINE_TAIL = re.compile(r"(?:\s*(?:\([\d,]+\.\d{2}\)|-?\s*[\d,]+\.\d{2}))+\s*$")
 ROLE = re.compile(r"\b(PRIMARY|CO-APPLICANT|JOINT|AUTHORIZED USER)\b", re.I)
 #: How many lines of a text name its holders, and how many before a table or card heading belong to it.
 HEAD_LINES, NEAR_LINES = 120, 20
@@ -235,6 +239,49 @@ def _dated(rows: list[dict], end: date | None) -> list[dict]:
     return rows
 
 
+def credit_line_amount(body: str) -> float | None:
+    """What a row moves: amounts in parentheses are credits, a negative last one is the balance owing, an amount said twice counts once."""
+    values = [float((m[1] or m[3]).replace(",", "")) * (-1 if m[2] == "-" else 1) for m in LINE_MONEY.finditer(body)]
+    text = body.lower()
+    owing = len(values) > 1 and values[-1] < 0
+    if owing:
+        values.pop()
+    if len(values) == 2 and abs(values[0] - values[1]) < TOLERANCE and ("principal" in text or not owing and min(values) >= 0):
+        values.pop()
+    net = round(sum(values), 2)
+    if not net:
+        return None
+    paid = any(w in text for w in PAYS_BACK) or "principal" in text and "tfr" not in text
+    return abs(net) if paid else -abs(net)
+
+
+def parse_credit_line(text: str, start: date | None, end: date | None) -> list[dict]:
+    """Rows are chunks of lines from one day to the next; one without a day goes on from the page before, as in parse_bank."""
+    chunks, inside, year = [], False, (end or date.today()).year
+    for number, line in enumerate(text.splitlines()):
+        line = line.strip()
+        if re.search(r"date\s+description", line, re.I):
+            inside, fresh = True, True
+            continue
+        if re.match(r"closing balance", line, re.I):
+            inside = False
+        if not inside or not line or BOILERPLATE.match(line):
+            continue
+        if (m := BANK_DAY.match(line)) and m[2].lower() in MONTHS:
+            chunks.append([in_period(date(year, MONTHS[m[2].lower()], int(m[1])), start, end), number, [m[3]]])
+        elif fresh or not chunks:
+            chunks.append([None, number, [line]])
+        else:
+            chunks[-1][2].append(line)
+        fresh = False
+    rows = []
+    for day, number, lines in chunks:
+        body = " ".join(x for x in lines if x)
+        if (amount := credit_line_amount(f"{body} ")) is not None:
+            rows.append({"transaction_date": day, "posting_date": day, "description": LINE_TAIL.sub("", body).strip() or body, "reference": "", "account_last4": "", "line_pos": number, "amount": amount})
+    return _dated(rows, end)
+
+
 def _cells(row: str) -> list[str]:
     return [" ".join(html.unescape(re.sub(r"<.*?>", "", c)).split()) for c in re.findall(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", row)]
 
@@ -284,18 +331,18 @@ def parse_tables(text: str, start: date | None, end: date | None) -> list[dict]:
     return rows
 
 
-def parse_statement(text: str, start: date | None, end: date | None) -> tuple[str, list[dict]]:
-    """(statement type, rows), by the markers in the text; texts of under 50 characters are empty."""
+def parse_statement(text: str, start: date | None, end: date | None, name: str = "") -> tuple[str, list[dict]]:
+    """(statement type, rows), by the file's name and the markers in the text; texts of under 50 characters are empty."""
     u = text.upper()
     if "<TABLE" in u:
         rows = parse_tables(text, start, end)
         return (rows[0]["statement_type"] if rows else "bank_account"), rows
     if len(text.strip()) < 50:
         return "unknown", []
+    if "credit line" in name.lower() or "line of credit" in name.lower() or "OWING ($)" in u and "PAYMENTS ($)" in u:
+        return "credit_line", parse_credit_line(text, start, end)
     if "DETAILS OF YOUR ACCOUNT ACTIVITY" in u and "WITHDRAWALS" in u:
         return "bank_account", parse_bank(text, start, end)
-    if "BALANCE OWING" in u and "PAYMENTS ($)" in u:
-        return "credit_line", parse_bank(text, start, end)
     if rows := parse_card(text, start, end):
         return "credit_card", rows
     return "bank_account", parse_bank(text, start, end)
@@ -318,7 +365,7 @@ def parse_statements(files: DataFrame) -> DataFrame:
                 who = {"owner": names_[0] if names_ else "Household", "role": "Holder", "household": " & ".join(names_[:2]) or "Household"}
                 base = {"statement_id": r.statement_id, "source_file": r.source_file, "source_kind": "markdown" if r.md else "pdf_text", **who, "statement_start": r.s, "statement_end": r.e, "error": None}
                 try:
-                    kind, rows = parse_statement(r.text, r.s if isinstance(r.s, date) else None, r.e if isinstance(r.e, date) else None)
+                    kind, rows = parse_statement(r.text, r.s if isinstance(r.s, date) else None, r.e if isinstance(r.e, date) else None, r.statement_id)
                     for x in rows:
                         last4 = x.get("account_last4") or r.last4
                         out.append({"statement_type": kind, "notes": "", **base, **x, "account_last4": last4, "account_label": f"{kind} • {last4}"})

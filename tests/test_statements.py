@@ -76,3 +76,20 @@ def test_owners_roles_and_undated_rows(spark):
     assert {(r["owner"], r["role"]) for r in by["Cheq"]} == {("Mary Major", "Holder")}
     assert [(r["owner"], r["role"], r["account_last4"]) for r in by["note"]] == [("Jane Doe", "Primary", "1234")]
     assert [r["source_file"] for r in rows] == sorted(r["source_file"] for r in rows)
+
+
+def test_credit_line_rows(spark):
+    from datetime import date
+
+    from granary.sources import statements as st
+
+    text = (
+        "Details of your account activity\nDate Description Payments ($) Withdrawals ($) Balance owing ($)\nOpening balance -1,000.00\n"
+        "3 Jan WWW PMT - 4412 (200.00)\nPrincipal 200.00 -800.00\n5 Jan WWW TFR MIN 50.00 -850.00\n7 Jan Interest 4.10 -854.10\n"
+        "Date Description Payments ($) Withdrawals ($) Balance owing ($)\nCash advance 10.00 -864.10\n12 Jan Interest payment 4.10 -860.00\nClosing balance -860.00\n"
+    )
+    kind, rows = st.parse_statement(text, date(2026, 1, 1), date(2026, 1, 31))
+    assert kind == "credit_line"
+    assert [(r["transaction_date"].day, r["description"], r["amount"]) for r in rows] == [
+        (3, "WWW PMT - 4412 (200.00) Principal", 200.0), (5, "WWW TFR MIN", -50.0), (7, "Interest", -4.1), (11, "Cash advance", -10.0), (12, "Interest payment", 4.1),
+    ]
