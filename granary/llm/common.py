@@ -66,7 +66,7 @@ def bucketed(df: DataFrame, name: str, key: str, keep: int = 0) -> DataFrame:
 
 
 #: While an operator runs: rows of whole texts or shingles go to Python in small batches.
-SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"}
 
 
 @contextmanager
