@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from granary.llm import ann, chat, decontaminate, html_text, mixing, neardup, passages, quality, toxicity, warc
+from granary.llm import ann, chat, decontaminate, filter_audit, html_text, language, mixing, neardup, passages, quality, repair, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,13 +16,18 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_neardup": neardup.op10_neardup,
+    "op11_repair": repair.op11_repair,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_language": language.op13_language,
     "pipeline": corpus_pipeline.run,
 }
-#: No SQL for op2 and op9 (trained models), op4, op6 and op10 (searches whose brute force is too slow in SQL on whole
+#: No SQL for op2, op9 and op13 (trained models), op4, op6 and op10 (searches whose brute force is too slow in SQL on whole
 #: tables), op7 (an extractor) and the pipeline: their tests hold them against held-out rows, brute force and marked articles.
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op3_warc": warc.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op8_chat": chat.ORACLE,
+    "op11_repair": repair.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
