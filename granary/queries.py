@@ -302,7 +302,8 @@ def transfer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _legs_sql(body: str) -> str:
     return f"""with base as (select *, o_orderkey % 20 = 0 as worded, o_orderkey % 9 <= 7 and price >= case when o_orderkey % 20 = 0 then 0 else 5 end as hit from (select *, (o_orderkey + 1.25)::decimal(18,2) as price from orders)),
 num as (select *, row_number() over (partition by worded, hit order by o_orderkey) as k, (select count(*) from base b where b.worded and b.hit) as firsts from base),
-named as (select *, case when hit then 'match-' || lpad((case when worded then k else firsts + k end)::varchar, 4, '0') else '' end as match_id from num) {body}"""
+numbered as (select *, case when worded then k else firsts + k end as n from num),
+named as (select *, case when not hit then '' when n > 9999 then 'match-' || n else 'match-' || lpad(n::varchar, 4, '0') end as match_id from numbered) {body}"""
 
 
 _add(
