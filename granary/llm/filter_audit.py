@@ -92,7 +92,8 @@ def masks(docs: DataFrame, bits: int = 64) -> DataFrame:
     profile = materialise(read.groupBy("id", "part", "mask", "n", "hashes").agg(F.count("*").alias("rows")), "audit-profile")
     left = materialise(survivors(profile), "audit-survivors")
     texts = docs.select("id", "text", F.xxhash64(F.char_length("text"), block_hashes(F.col("text"), bits)).alias("cls"))
-    whole = texts.join(left.select(F.col("cls").alias("x_cls"), F.col("id").alias("x_id")), _of(), "left_semi")
+    # survivors grow with the input: one way at every size
+    whole = texts.join(left.select(F.col("cls").alias("x_cls"), F.col("id").alias("x_id")).hint("merge"), _of(), "left_semi")
     found = materialise(whole.groupBy("cls", "text").agg(F.min("id").alias("least")), "audit-texts")
     variants = materialise(found.groupBy("cls").agg(F.count("*").alias("variants"), F.min("least").alias("least")), "audit-classes")
     # whoever is not the first of its class fails E; such a row is known by class and id
