@@ -98,6 +98,17 @@ class Weights:
         self.weights, self.bias, self.temperature = weights, bias, temperature
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
+        """One row a text; looked at in groups of about PIECE code points, a long text on its own."""
+        groups, size = [[]], 0
+        for text in texts:
+            if groups[-1] and size + len(text or "") > PIECE:
+                groups.append([])
+                size = 0
+            groups[-1].append(text)
+            size += len(text or "")
+        return np.concatenate([self._logits(g) for g in groups])
+
+    def _logits(self, texts: list[str | None]) -> np.ndarray:
         doc, feature, value = tfidf(texts, self.rest_idf)
         slot = np.full(1 << BITS, -1, np.int32)
         slot[self.features] = np.arange(len(self.features))
