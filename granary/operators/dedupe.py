@@ -52,15 +52,15 @@ def consensus(rows: DataFrame, sources: int) -> DataFrame:
 
 def extraction_report(merged: DataFrame, file_col: str, sources: int) -> DataFrame:
     """For each file: rows, mean confidence, rows of low confidence and disagreements."""
-    low = max(0.5, (sources - 1) / max(1, sources))
+    low = max(0.5, (sources - 1) / sources) - 1e-6 if sources > 1 else 1.0 - 1e-6
     return merged.groupBy(file_col).agg(
-        F.count("*").alias("rows_out"), F.round(F.avg("extraction_confidence"), 4).alias("avg_confidence"),
+        F.count("*").alias("rows_out"), F.round(F.avg("extraction_confidence"), 3).alias("avg_confidence"),
         F.count_if(F.col("extraction_confidence") < low).alias("low_confidence_rows"), F.count_if(F.col("extraction_disagreement")).alias("disagreement_rows"),
     )
 
 
 def extraction_summary(reports: DataFrame) -> DataFrame:
     return reports.agg(
-        F.round(F.avg("avg_confidence"), 4).alias("avg_confidence_global"), F.coalesce(F.sum("low_confidence_rows"), F.lit(0)).alias("total_low_confidence"),
+        F.round(F.avg("avg_confidence"), 3).alias("avg_confidence_global"), F.coalesce(F.sum("low_confidence_rows"), F.lit(0)).alias("total_low_confidence"),
         F.coalesce(F.sum("disagreement_rows"), F.lit(0)).alias("total_disagreement_rows"), F.count("*").alias("files"),
     )

@@ -41,8 +41,8 @@ def apply_overrides(rows: DataFrame, overrides: DataFrame, household: c.Househol
     return got.withColumns(targets | more).drop("o_key", "o_category", "o_necessity", "o_beneficiary")
 
 
-def valid_rules(rules: DataFrame) -> DataFrame:
-    """Category rules with known values: unknown categories become Other, unknown targets Auto, empty keywords go."""
-    r = rules.select(F.lower(normalize_text(F.col("keyword"))).alias("keyword"), *[normalize_text(F.col(n)).alias(n) for n in ("category", "necessity", "beneficiary")])
+def valid_rules(rules: DataFrame, *keep: str) -> DataFrame:
+    """Category rules with known values, and the columns keep: unknown categories become Other, unknown targets Auto, empty keywords go."""
+    r = rules.select(*keep, F.lower(normalize_text(F.col("keyword"))).alias("keyword"), *[normalize_text(F.col(n)).alias(n) for n in ("category", "necessity", "beneficiary")])
     known = lambda n, values, default: F.when(F.col(n).isin(words(values)), F.col(n)).otherwise(default).alias(n)
-    return r.where("keyword <> ''").select("keyword", known("category", CATEGORIES, "Other"), known("necessity", NECESSITIES, AUTO), known("beneficiary", BENEFICIARIES, AUTO))
+    return r.where("keyword <> ''").select(*keep, "keyword", known("category", CATEGORIES, "Other"), known("necessity", NECESSITIES, AUTO), known("beneficiary", BENEFICIARIES, AUTO))

@@ -3,11 +3,18 @@
 Two legs can only pair if their absolute amounts are at most a cent apart as binary floats.
 About half of all neighbouring cents are further apart than 0.01 as floats, so that even
 where every cent occurs amounts fall apart into short runs, the islands, and
-matching splits exactly into independent islands.  Islands come from the distinct amounts only: each
-amount's cents are bucketed, runs are found within range buckets, and rows join to their
-island.  Legs more than ``PAIR_DAYS`` days apart cannot pair either, so that an island also splits, exactly, where so many days have
-none of its legs.  Each part is matched in one task by its own rows, in row order; one whose amount is a
-hot value on every day holds the rows that really compete for each other.
+matching splits exactly into independent islands.  Legs more than ``PAIR_DAYS`` days apart cannot
+pair either, so that an island also splits, exactly, where so many days have none of its legs.
+Islands and spans come from the distinct amounts and days only; rows join them by amount and day, so that a popular amount
+is spread over its days.
+
+A part of at most ``HOT_LEGS`` legs is matched in one task, in row order.  A larger one is cut into blocks
+of ``BLOCK_DAYS`` days, which run at the same time, in rounds.  A block does not see what stands beyond its edges, so that
+it settles a negative leg only if nothing unseen can change the outcome: if its best open
+positive is one that no smaller unsettled leg may still take.  What a leg that has to wait may take is at most its candidates down to the
+first that is certainly free.  The next round cuts elsewhere and sees settled legs no more.  The
+smallest open leg of a part is settled in two rounds at most, in practice most legs of a block
+are; when few enough are left, they are matched in one task.
 """
 
 from __future__ import annotations
@@ -21,11 +28,15 @@ from pyspark.sql import functions as F
 from granary.functions.classify import has_timing_hint, plain
 from granary.functions.fixed import PAIR_CENTS, PAIR_DAYS, SECOND_PASS_LEAST
 from granary.shipping import ship
-from granary.sources.storage import written
+from granary.sources.storage import ranked, written
 
 PAIRS = "neg_pos long, pos_pos long"
 #: Distinct cents of one range bucket; a run of adjacent cents that crosses its edge is one island all the same.
 SPAN = 1 << 20
+#: Legs that one task matches on its own, and the days of a block where there are more: so many that each day is far from the edges in every other round.
+HOT_LEGS, BLOCK_DAYS = 20_000, 64
+#: The score of two legs on one day, and what a day between them, equal references, one account and one owner make of it.
+SAME_DAY, PER_DAY, SAME_REFERENCE, SAME_ACCOUNT, SAME_OWNER = 100, -10, 35, -25, 5
 
 
 def _linked(low, high):
@@ -33,9 +44,9 @@ def _linked(low, high):
     return (high - low == 1) & (F.abs(high / F.lit(100.0) - low / F.lit(100.0)) <= PAIR_CENTS)
 
 
-def islands(rows: DataFrame, amount: str = "abs_amount") -> DataFrame:
-    """cents and island for each distinct absolute amount; an island is a run of linked amounts."""
-    cents = rows.select((F.col(amount) * 100).cast("long").alias("cents")).distinct().withColumn("range", F.floor(F.col("cents") / SPAN))
+def islands(amounts: DataFrame) -> DataFrame:
+    """cents and island for each distinct value of the column cents; an island is a run of linked amounts."""
+    cents = amounts.select("cents").distinct().withColumn("range", F.floor(F.col("cents") / SPAN))
     order = Window.partitionBy("range").orderBy("cents")
     start = F.coalesce(~_linked(F.lag("cents").over(order), F.col("cents")), F.lit(True))
     runs = cents.withColumn("n", F.sum(F.when(start, 1).otherwise(0)).over(order))
@@ -47,74 +58,133 @@ def islands(rows: DataFrame, amount: str = "abs_amount") -> DataFrame:
     return runs.join(joined, "island", "left").select("cents", F.coalesce("onto", "island").alias("island"))
 
 
-def greedy(second: bool):
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ingest_pos")
-        day = group["day"].to_numpy()
-        amount, flow = group["abs_double"].to_numpy(), group["flow"].to_numpy()
-        pos, ref, account, owner = group["ingest_pos"].to_numpy(), group["reference"].to_numpy(), group["account_label"].to_numpy(), group["owner"].to_numpy()
-        hint = group["hint"].to_numpy()
-        # positives by day: a negative only looks at the days around its own
-        by_day: dict[int, list[int]] = defaultdict(list)
-        for i in range(len(group)):
-            if flow[i] > 0:
-                by_day[day[i]].append(i)
-        used, out = set(), []
-        for i in range(len(group)):
-            if flow[i] >= 0 or second and amount[i] < SECOND_PASS_LEAST:
-                continue
-            best = None
-            for d in range(day[i] - PAIR_DAYS, day[i] + PAIR_DAYS + 1):
-                for j in by_day.get(d, ()):
-                    if j in used or abs(amount[j] - amount[i]) > PAIR_CENTS:
-                        continue
-                    if second and (account[i] == account[j] or not (hint[i] or hint[j])):
-                        continue
-                    score = 100.0 - 10 * abs(int(day[j] - day[i]))
-                    score += 35 if ref[i] and ref[i] == ref[j] else 0
-                    score -= 25 if account[i] == account[j] else 0
-                    score += 5 if owner[i] == owner[j] else 0
-                    if best is None or (score, -pos[j]) > best[:2]:
-                        best = (score, -pos[j], j)
-            if best:
-                used.add(best[2])
-                out.append((pos[i], pos[best[2]]))
-        return pd.DataFrame(out, columns=["neg_pos", "pos_pos"])
-
-    return match
-
-
-def _pairs(rows: DataFrame, second: bool) -> DataFrame:
+def settle(group: pd.DataFrame, second: bool, low: int | None = None, high: int | None = None) -> list[tuple[int, int | None]]:
+    """(negative, its positive or None) for the legs of group that are settled, in row order.
+
+    Legs of days before low and after high exist but are not in group; without both, all are, and every negative is settled.
+    """
+    group = group.sort_values("ingest_pos")
+    day, amount, flow = group["day"].tolist(), group["abs_double"].tolist(), group["flow"].tolist()
+    pos, ref, account, owner = group["ingest_pos"].tolist(), group["reference"].tolist(), group["account_label"].tolist(), group["owner"].tolist()
+    hint = group["hint"].tolist()
+    # positives by day: a negative only looks at the days around its own
+    by_day: dict[int, list[int]] = defaultdict(list)
+    # positives that a smaller unsettled leg may take
+    doubtful: set[int] = set()
+    for i in range(len(group)):
+        if flow[i] > 0:
+            by_day[day[i]].append(i)
+            if low is not None and day[i] - low < PAIR_DAYS or high is not None and high - day[i] < PAIR_DAYS:
+                doubtful.add(i)
+    most = SAME_DAY + SAME_REFERENCE + SAME_OWNER
+    out: list[tuple[int, int | None]] = []
+    for i in range(len(group)):
+        if flow[i] >= 0:
+            continue
+        if second and amount[i] < SECOND_PASS_LEAST:
+            out.append((pos[i], None))
+            continue
+        ways = []
+        for d in range(day[i] - PAIR_DAYS, day[i] + PAIR_DAYS + 1):
+            for j in by_day.get(d, ()):
+                if abs(amount[j] - amount[i]) > PAIR_CENTS or second and (account[i] == account[j] or not (hint[i] or hint[j])):
+                    continue
+                score = SAME_DAY + PER_DAY * abs(d - day[i])
+                score += (SAME_REFERENCE if ref[i] and ref[i] == ref[j] else 0) + (SAME_ACCOUNT if account[i] == account[j] else 0) + (SAME_OWNER if owner[i] == owner[j] else 0)
+                ways.append((-score, pos[j], j))
+        # the best that an unseen positive can score
+        beyond = [d for d in (day[i] - low + 1 if low is not None else None, high - day[i] + 1 if high is not None else None) if d is not None and d <= PAIR_DAYS]
+        unseen = max((most + PER_DAY * d for d in beyond), default=None)
+        best = min(ways, default=None)
+        if best is None and unseen is None:
+            out.append((pos[i], None))
+        elif best and best[2] not in doubtful and (unseen is None or -best[0] > unseen):
+            out.append((pos[i], best[1]))
+            by_day[day[best[2]]].remove(best[2])
+        else:
+            # it has to wait: all down to the first certain one may be its choice
+            for score, _, j in sorted(ways):
+                sure = j not in doubtful and (unseen is None or -score > unseen)
+                doubtful.add(j)
+                if sure:
+                    break
+    return out
+
+
+def _matched(group: pd.DataFrame, second: bool, low: int | None = None, high: int | None = None) -> pd.DataFrame:
+    return pd.DataFrame(settle(group, second, low, high), columns=["neg_pos", "pos_pos"]).astype("Int64")
+
+
+def _block(second: bool, days: int, shift: int):
+    """The function for the legs of one block of a part, where blocks begin so many days early."""
+
+    def matched(group: pd.DataFrame) -> pd.DataFrame:
+        low = (int(group["day"].iloc[0]) + shift) // days * days - shift
+        high = low + days - 1
+        return _matched(group, second, low if low > group["first"].iloc[0] else None, high if high < group["last"].iloc[0] else None)
+
+    return matched
+
+
+def _in_rounds(open_legs: DataFrame, second: bool, most: int, days: int) -> DataFrame:
+    """Pairs of parts that are too large for one task; their legs have columns first and last, the part's days."""
+    found, turn = None, 0
+    while True:
+        waiting = open_legs.where("flow < 0").groupBy("island", "span").count().agg(F.max("count")).first()[0] or 0
+        # of the positives only those near an open negative are left; days of an island are few
+        near = open_legs.where("flow < 0").select("island", "day").distinct().select("island", F.explode(F.sequence(F.col("day") - PAIR_DAYS, F.col("day") + PAIR_DAYS)).alias("day")).distinct()
+        legs_left = open_legs.join(near, ["island", "day"], "left_semi")
+        if waiting <= most // 2:
+            last = legs_left.groupBy("island", "span").applyInPandas(lambda g: _matched(g, second), PAIRS)
+            return last if found is None else found.unionByName(last)
+        shift = days // 2 * (turn % 2)
+
+        number = F.floor((F.col("day") + shift) / days)
+        got = written(legs_left.groupBy("island", "span", number.alias("block")).applyInPandas(_block(second, days, shift), PAIRS), "settled")
+        found = got if found is None else found.unionByName(got)
+        settled = got.select(F.explode(F.array("neg_pos", "pos_pos")).alias("leg")).where("leg is not null")
+        open_legs = written(legs_left.join(settled, F.col("ingest_pos") == F.col("leg"), "left_anti"), "open")
+        turn += 1
+
+
+def _pairs(rows: DataFrame, second: bool, most: int | None = None, days: int | None = None) -> DataFrame:
     ship(rows.sparkSession)
+    most, days = most or HOT_LEGS, days or BLOCK_DAYS
+    if days < 8 * PAIR_DAYS:
+        raise ValueError("blocks have to be eight times as long as pairs are apart")
     r = rows.where("transaction_date is not null and cash_flow_amount <> 0").withColumn("abs_amount", F.abs("cash_flow_amount"))
     r = r.select(
         "ingest_pos", F.unix_date("transaction_date").alias("day"), F.col("abs_amount").cast("double").alias("abs_double"), F.col("cash_flow_amount").cast("double").alias("flow"),
         F.coalesce("reference", F.lit("")).alias("reference"), F.coalesce("account_label", F.lit("")).alias("account_label"), F.coalesce("owner", F.lit("")).alias("owner"),
-        has_timing_hint(plain(F.col("description"))).alias("hint"), (F.col("abs_amount") * 100).cast("long").alias("cents"), "abs_amount",
+        has_timing_hint(plain(F.col("description"))).alias("hint"), (F.col("abs_amount") * 100).cast("long").alias("cents"),
     )
-    placed = r.join(islands(r), "cents")
-    # the distinct days of an island, cut at gaps
+    # amounts and days: how many legs there are, and of which signs
+    keys = r.groupBy("cents", "day").agg(F.count("*").alias("n"), F.min("flow").alias("low"), F.max("flow").alias("high"))
+    keys = keys.join(islands(keys), "cents")
+    # the days of an island, cut at gaps
     by_day = Window.partitionBy("island").orderBy("day")
     gap = F.coalesce(F.col("day") - F.lag("day").over(by_day) > PAIR_DAYS, F.lit(True)).cast("int")
-    days = placed.select("island", "day").distinct().withColumn("gap", gap).withColumn("span", F.sum("gap").over(by_day)).drop("gap")
-    placed = placed.join(days, ["island", "day"])
-    # islands with one sign only have nothing to pair
-    both = placed.groupBy("island", "span").agg(F.min("flow").alias("low"), F.max("flow").alias("high")).where("low < 0 and high > 0").select("island", "span")
-    return placed.join(both, ["island", "span"], "left_semi").drop("abs_amount").groupBy("island", "span").applyInPandas(greedy(second), PAIRS)
+    spans = keys.groupBy("island", "day").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).withColumn("gap", gap).withColumn("span", F.sum("gap").over(by_day))
+    part = Window.partitionBy("island", "span")
+    spans = spans.select("island", "day", "span", F.sum("n").over(part).alias("legs"), F.min("day").over(part).alias("first"), F.max("day").over(part).alias("last"), F.min("low").over(part).alias("low"), F.max("high").over(part).alias("high"))
+    # parts with one sign only have nothing to pair
+    keys = written(keys.select("cents", "day", "island").join(spans.where("low < 0 and high > 0").drop("low", "high"), ["island", "day"]), "islands")
+    placed = r.join(keys, ["cents", "day"]).drop("cents")
+    small = placed.where(F.col("legs") <= most).groupBy("island", "span").applyInPandas(lambda g: _matched(g, second), PAIRS)
+    if not keys.where(F.col("legs") > most).isEmpty():
+        small = small.unionByName(_in_rounds(written(placed.where(F.col("legs") > most), "open"), second, most, days))
+    return small.where("pos_pos is not null")
 
 
 def _numbered(pairs: DataFrame, after: DataFrame | None = None) -> DataFrame:
-    """match_id in order of discovery: pairs are ranked by their negative leg, in range buckets that are then offset."""
-    bucket = F.floor(F.col("neg_pos") / (1 << 18))
-    counts = pairs.groupBy(bucket.alias("b")).count()
-    order = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("b", F.coalesce(F.sum("count").over(order), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("b").orderBy("neg_pos")
-    got = pairs.withColumn("b", bucket).join(offsets, "b").withColumn("number", F.col("offset") + F.row_number().over(inside))
+    """match_id in order of discovery: that of the negative legs."""
+    got = ranked(pairs, "neg_pos", "number")
+    before = F.lit(1)
     if after is not None:
-        got = got.crossJoin(F.broadcast(after.agg(F.count("*").alias("before")))).withColumn("number", F.col("number") + F.col("before")).drop("before")
-    label = F.concat(F.lit("match-"), F.lpad(F.col("number").cast("string"), 4, "0"))
-    label = F.when(F.col("number") > 9999, F.concat(F.lit("match-"), F.col("number").cast("string"))).otherwise(label)
+        before = F.lit(after.count() + 1)
+    number = F.col("number") + before
+    label = F.concat(F.lit("match-"), F.lpad(number.cast("string"), 4, "0"))
+    label = F.when(number > 9999, F.concat(F.lit("match-"), number.cast("string"))).otherwise(label)
     return got.select("neg_pos", "pos_pos", label.alias("match_id"))
 
 

@@ -51,8 +51,9 @@ def raw_cte() -> str:
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join part on l_partkey = p_partkey)"""
 
 
-def txn_cte() -> str:
-    rules = by_length(fixed.category_rules())
+def txn_cte(more: list[dict[str, str]] | None = None) -> str:
+    """txn: the enriched, unpaired ledger; more: rules that come before the default ones."""
+    rules = by_length((more or []) + fixed.category_rules())
     hit = lambda k: f"regexp_matches(rt, '(^|[^a-z0-9_]){k}([^a-z0-9_]|$)')" if len(k) <= 2 else f"contains(rt, {q(k)})"
     rule = lambda f, d="null": case([(f"rn = {i}", q(r[f])) for i, r in enumerate(rules)], d)
     aliases = sorted(fixed.merchant_aliases(), key=lambda p: -len(p[0]))
@@ -86,9 +87,9 @@ txn as (select * exclude (rt, t, rc, rn),
   from classed)"""
 
 
-def over_txn(body: str, more: str = "") -> str:
+def over_txn(body: str, more: str = "", rules: list[dict[str, str]] | None = None) -> str:
     """body over scope (all rows), filtered (no internal rows) and expense (filtered, positive expense)."""
-    return f"with {txn_cte()}, scope as (select * from txn), filtered as (select * from txn where not is_internal), expense as (select * from filtered where expense_amount > 0){more} {body}"
+    return f"with {txn_cte(rules)}, scope as (select * from txn), filtered as (select * from txn where not is_internal), expense as (select * from filtered where expense_amount > 0){more} {body}"
 
 
 def sums(keys: str, frame: str = "expense", value: str = "expense_amount", top: int | None = None) -> str:

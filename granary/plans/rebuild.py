@@ -19,15 +19,15 @@ def transaction_key() -> Column:
     return F.concat_ws("|", blank("statement_id"), blank("account_last4"), F.coalesce(F.date_format("transaction_date", "yyyy-MM-dd"), F.lit("")), blank("description"), blank("reference"), money_text(F.col("amount")))
 
 
-def enrich(raw: DataFrame, rules: list[dict[str, str]] | None = None, aliases: list[tuple[str, str]] | None = None, household: c.Household = c.HOUSEHOLD, full_html: bool = False) -> DataFrame:
+def enrich(raw: DataFrame, rules: list[dict[str, str]] | None = None, aliases: list[tuple[str, str]] | None = None, household: c.Household = c.HOUSEHOLD, full_html: bool = False, clean: bool = True) -> DataFrame:
     """Adds merchant, flow, classification, keys and calendar columns; needs the columns that raw_ledger() has.
 
     What follows from the description alone (merchant, rule) is worked out once for each distinct description, written, and
     joined back: Spark broadcasts that table under its size threshold and deals it out beyond.  full_html decodes every character
-    reference in an Arrow UDF; otherwise the common ones are replaced in the JVM.
+    reference in an Arrow UDF; otherwise the common ones are replaced in the JVM.  Descriptions that were cleaned before (clean=False) stay as they are.
     """
     df = raw.withColumns({
-        "description": normalize_text(F.col("description"), full_html),
+        "description": normalize_text(F.col("description"), full_html) if clean else F.col("description"),
         "reference": F.coalesce(F.col("reference").cast("string"), F.lit("")),
         "owner": F.coalesce("owner", F.lit("Household")),
         "amount": F.coalesce(F.col("amount").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")),

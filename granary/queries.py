@@ -11,14 +11,16 @@ from granary import oracle as o
 from granary.functions import classify as c
 from granary.functions import fixed
 from granary.functions import text as t
-from granary.operators import coverage, dedupe, overrides, reconcile, transfers
+from granary.operators import corrections, coverage, dedupe, overrides, reconcile, transfers
 from granary.operators.filters import Filters, apply_filters
 from granary.plans import dashboard as d
+from granary.plans import facts as fact_table
 from granary.plans import reports
 from granary.plans import stats as s
 from granary.plans.rebuild import enrich, label_internal, rebuild, transaction_key
 from granary.sources import statements
-from granary.sources.storage import once
+from granary.sources.settings import Settings
+from granary.sources.storage import once, shared_path
 from granary.sources.testbed import raw_ledger, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -277,6 +279,86 @@ select k.transaction_date, k.amount::double as amount, b.description, case when
 from k join b on k.transaction_date = b.transaction_date and k.amount = b.amount and k.fp = b.fp group by k.transaction_date, k.amount, k.fp, b.description""",
 )
 
+# --- the fact table on disk: corrections, files of two schemas, what a run says of itself ---
+
+ADDED_RULE = {"keyword": "uber* trip", "category": "Travel", "necessity": "Business", "beneficiary": "MemberB"}
+
+
+def corrected_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger as a fact table that gets corrections of single transactions and a rule, and the same once more."""
+    rows, path = txn(spark, sf_dir), shared_path(spark, "ledger")
+    fact_table.write_facts(rows, f"{path}/facts")
+    keys = rows.where("tx_ref % 50 = 1").select(F.col("tx_ref").alias("seq"), "tx_key")
+    single = keys.select("seq", "tx_key", F.lit("Travel").alias("category"), F.lit("Auto").alias("necessity"), F.lit("Auto").alias("beneficiary"), F.lit(False).alias("add_rule"), F.lit("").alias("add_rule_keyword"))
+    rule = spark.createDataFrame([(0, "", *[ADDED_RULE[n] for n in ("category", "necessity", "beneficiary")], True, " UBER*  Trip")], corrections.CORRECTION)
+    for _ in range(2):
+        fact_table.apply_corrections(spark, f"{path}/facts", Settings(spark, f"{path}/settings"), single.unionByName(rule))
+    got = fact_table.read_facts(spark, f"{path}/facts")
+    return got.groupBy("month", "category", "necessity", "beneficiary", "category_source", "matched_keyword").agg(F.count("*").alias("n"), d.money(F.sum("expense_amount")).alias("value"))
+
+
+_add(
+    "corrected_ledger", corrected_ledger,
+    o.over_txn("""select month, case when h then 'Travel' else category end as category, case when h then 'Discretionary' else necessity end as necessity, case when h then 'Shared' else beneficiary end as beneficiary,
+case when h then 'override' else category_source end as category_source, case when h then '' else matched_keyword end as matched_keyword, count(*) as n, sum(expense_amount)::double as value
+from (select *, tx_key in (select tx_key from txn where tx_ref % 50 = 1) as h from (select * from txn qualify row_number() over (partition by tx_key order by tx_ref) = 1)) group by all""", rules=[ADDED_RULE]),
+)
+
+
+def facts_of_two_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fact table whose months before 1995 were written without the newer columns, and in part twice."""
+    rows, path = txn(spark, sf_dir), shared_path(spark, "ledger")
+    newer = ["internal_detection", "tx_key", "category_source", "statement_count_hint"]
+    old = rows.where("month < '1995-01'")
+    fact_table.write_facts(rows.where("month >= '1995-01'"), path)
+    for part in (old, old.where("tx_ref % 3 = 0")):
+        part.drop(*newer).write.mode("append").partitionBy("month").parquet(path)
+    return fact_table.read_facts(spark, path).groupBy("month", "internal_detection", "category_source", "extraction_confidence", "extraction_sources", "extraction_disagreement").agg(F.count("*").alias("n"), F.count_distinct("tx_key").alias("keys"), F.min("tx_key").alias("first_key"))
+
+
+_add(
+    "facts_of_two_schemas", facts_of_two_schemas,
+    o.over_txn("""select month, case when month < '1995-01' then 'none' else internal_detection end as internal_detection, case when month < '1995-01' then 'auto' else category_source end as category_source, 1.0::double as extraction_confidence, '' as extraction_sources, false as extraction_disagreement,
+count(distinct tx_key) as n, count(distinct tx_key) as keys, min(tx_key) as first_key from txn group by 1, 2, 3"""),
+)
+
+
+def extraction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the dashboard says of consensus_merge: reports of each day's file, summed up, saved with the run and read back."""
+    merged = consensus_merge(spark, sf_dir).withColumn("file", F.date_format("transaction_date", "yyyy-MM-dd"))
+    said = dedupe.extraction_summary(dedupe.extraction_report(merged, "file", 3)).first()
+    ensemble = {
+        "mode": "always", "backends_configured": ["a", "b", "c"], "avg_confidence_global": said["avg_confidence_global"], "total_low_confidence": said["total_low_confidence"],
+        "total_disagreement_rows": said["total_disagreement_rows"], "files_with_merge": said["files"], "files_count": said["files"],
+    }
+    path = f"{shared_path(spark, 'meta')}/meta.json"
+    fact_table.write_meta(spark, path, "2026-01-01T00:00:00Z", [], [], ensemble)
+    return fact_table.extraction_quality(fact_table.read_meta(spark, path)).withColumn("backends", F.array_join("backends", "+"))
+
+
+_add(
+    "extraction_quality", extraction_quality,
+    f"""with merged as ({ORACLE["consensus_merge"]}), files as (select transaction_date as file, round(avg(extraction_confidence), 3) as c, count(*) filter (extraction_confidence < 2.0 / 3 - 1e-6) as low, count(*) filter (extraction_disagreement) as apart from merged group by 1)
+select 'always' as mode, 'a+b+c' as backends, round(avg(c), 3) as avg_confidence, sum(low)::bigint as low_confidence_transactions, sum(apart)::bigint as description_disagreements, count(*) as files_with_consensus_merge, count(*) as files_analyzed from files""",
+)
+
+
+def edited_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules made of the parts, of which a search's are edited at once."""
+    k = F.col("p_partkey")
+    category = F.when(k % 5 == 0, "Groceries").when(k % 5 == 1, "Home").otherwise("Other")
+    rules = table(spark, sf_dir, "part").select(F.lower("p_name").alias("keyword"), category.alias("category"), F.lit("Auto").alias("necessity"), F.when(k % 2 == 0, "Shared").otherwise("Auto").alias("beneficiary"), k.alias("part"))
+    shown = corrections.RuleFilter(text=" GRE ", category="Home", beneficiary="Shared")
+    return corrections.edit_rules(rules, shown, category="Gifts & Charity", necessity="Discretionary", beneficiary="")
+
+
+_add(
+    "edited_rules", edited_rules,
+    """with r as (select lower(p_name) as keyword, case p_partkey % 5 when 0 then 'Groceries' when 1 then 'Home' else 'Other' end as category, case when p_partkey % 2 = 0 then 'Shared' else 'Auto' end as beneficiary, p_partkey as part from part),
+h as (select *, category = 'Home' and beneficiary = 'Shared' and (contains(keyword, 'gre') or contains(lower(category), 'gre') or contains('auto', 'gre') or contains(lower(beneficiary), 'gre')) as hit from r)
+select keyword, case when hit then 'Gifts & Charity' else category end as category, case when hit then 'Discretionary' else 'Auto' end as necessity, beneficiary, part from h""",
+)
+
 # --- transfers: legs made from orders ---
 
 
@@ -319,6 +401,8 @@ from (select *, case when worded then 'online transfer' else 'visa thing' end as
 # by their prices all orders compete; greedy matching in row order is not SQL, the tests hold these against one loop
 _add("transfer_pairs_all", lambda spark, sf_dir: transfers.pair_transfers(transfer_legs(spark, sf_dir, "o_totalprice")).select("ingest_pos", "match_id", "internal_match_status", "is_internal_candidate", "matched_keyword"))
 _add("matched_transfers_all", lambda spark, sf_dir: d.matched_transfers(transfers.pair_transfers(transfer_legs(spark, sf_dir, "o_totalprice"))))
+# a third of all legs have one amount, on every day
+_add("transfer_pairs_hot", lambda spark, sf_dir: transfers.pair_transfers(transfer_legs(spark, sf_dir, "if(o_orderkey % 3 = 0, 100.0D, o_totalprice)")).select("ingest_pos", "match_id", "internal_match_status", "is_internal_candidate", "matched_keyword"))
 
 # --- calendars and reconciliation ---
 

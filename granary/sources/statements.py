@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from granary.functions.fixed import NOT_NAMES
 from granary.functions.text import url_decode
 from granary.shipping import ship
-from granary.sources.storage import written
+from granary.sources.storage import ranked
 
 # --- fixed values: how files are named and statements worded ---
 STEM = r"(?i)^(Chequing|Visa|MasterCard|Credit Line) Statement-(\d{4}) (\d{4})-(\d{2})-(\d{2})"
@@ -380,20 +380,13 @@ def ingest_order(rows: DataFrame, folder: str | None = None) -> DataFrame:
     """rows with ingest_pos: by folder (a column of rows, if any), file and line.  Files are ranked in a sorted, range-partitioned pass."""
     by = [F.coalesce(F.col(c), F.lit("")) for c in ([folder] if folder else []) + ["source_file"]]
     named = rows.withColumn("io_file", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(by)]))
-    files = named.select("io_file").distinct().repartitionByRange("io_file").sortWithinPartitions("io_file")
-    files = written(files.withColumn("io_id", F.monotonically_increasing_id()), "files")
-    # the id is a partition's number and a number within it: what earlier partitions hold is added instead, one row for each partition
-    part = F.shiftright("io_id", 33)
-    before = Window.orderBy("io_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = files.groupBy(part.alias("io_part")).count().select("io_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("io_before"))
-    ranked = files.join(F.broadcast(sizes), part == F.col("io_part"))
-    ranked = ranked.select("io_file", (F.col("io_before") + F.col("io_id").bitwiseAND((1 << 33) - 1)).alias("io_rank"))
-    return named.join(ranked, "io_file").withColumn("ingest_pos", F.col("io_rank") * (1 << 28) + F.coalesce("line_pos", F.lit(0))).drop("io_file", "io_rank")
+    files = ranked(named.select("io_file").distinct(), "io_file", "io_rank")
+    return named.join(files, "io_file").withColumn("ingest_pos", F.col("io_rank") * (1 << 28) + F.coalesce("line_pos", F.lit(0))).drop("io_file", "io_rank")
 
 
 def statement_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Whole text layers and Markdown files of a folder: name and text."""
-    got = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.{txt,md}").text(folder)
+    got = spark.read.option("pathGlobFilter", "*.{txt,md}").text(folder, wholetext=True)
     return got.select(url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)).alias("name"), F.col("value").alias("text"))
 
 

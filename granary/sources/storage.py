@@ -1,4 +1,4 @@
-"""Tables written to the folder that driver and executors share, and the fact table's own sink and source."""
+"""Tables written to the folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.shipping import ship
@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder.
 
@@ -33,24 +38,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df, written, with the rank of each row (from 0) in the order of by, whose values differ: a sorted, range-partitioned pass."""
+    held = written(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("rank_id", F.monotonically_increasing_id()), "ranked")
+    # the id is a partition's number and a number within it: what earlier partitions hold is added instead, one row for each partition
+    part = F.shiftright("rank_id", 33)
+    before = Window.orderBy("rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy(part.alias("rank_part")).count().select("rank_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("rank_before"))
+    placed = held.join(F.broadcast(sizes), part == F.col("rank_part"))
+    return placed.withColumn(name, F.col("rank_before") + F.col("rank_id").bitwiseAND((1 << 33) - 1)).drop("rank_id", "rank_part", "rank_before")
+
+
 def once(spark: SparkSession, key: str, build) -> DataFrame:
     """The table that build() makes, written once for an application."""
     at = (spark.sparkContext.applicationId, key)
     if at not in _facts:
         _facts[at] = written(build(), "facts")
     return _facts[at]
-
-
-def write_facts(txn: DataFrame, path: str, files: int = 8) -> None:
-    """The fact table, partitioned by month: month filters prune its folders.  A month is dealt over so many tasks and files."""
-    txn = txn.withColumn("month", F.coalesce("month", F.lit("none")))
-    txn.repartition("month", F.pmod(F.xxhash64("tx_key"), F.lit(files))).write.mode("overwrite").partitionBy("month").parquet(path)
-
-
-def read_facts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "false").parquet(path).withColumn("month", F.when(F.col("month") != "none", F.col("month").cast("string")))

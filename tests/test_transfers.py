@@ -40,3 +40,55 @@ def test_islands_give_the_sequential_matching(spark):
 
 def test_no_rows(spark):
     assert tr.pair_transfers(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def crowd(seed, n, days, accounts=6):
+    """Legs of few amounts on many days, so that nearly all compete."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        day = datetime.date(2024, 1, 1) + datetime.timedelta(days=rng.randrange(days))
+        sign = 1 if rng.random() < 0.5 else -1
+        rows.append((i, f"a{rng.randrange(accounts)}", day, 100.0 * sign, "transfer", f"o{rng.randrange(3)}", rng.choice(["", "", "r1", "r2"]), True, ""))
+    return rows
+
+
+def frame(spark, rows):
+    import decimal
+
+    return spark.createDataFrame([(*r[:3], decimal.Decimal(f"{r[3]:.2f}"), *r[4:]) for r in rows], SCHEMA)
+
+
+def test_a_popular_amount_is_matched_in_blocks_as_in_one_loop(spark):
+    for seed, n, days in ((1, 1500, 400), (2, 900, 900), (3, 700, 40)):
+        rows = crowd(seed, n, days)
+        got = {r["neg_pos"]: r["pos_pos"] for r in tr._pairs(frame(spark, rows), False, most=60).collect()}
+        assert got == greedy(rows)
+
+
+def test_rounds_end_where_rows_come_account_by_account(spark):
+    # every account's rows run over all days before the next one's begin
+    rows = sorted(crowd(5, 1200, 500), key=lambda r: (r[1], r[2]))
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    got = {r["neg_pos"]: r["pos_pos"] for r in tr._pairs(frame(spark, rows), False, most=40).collect()}
+    assert got == greedy(rows)
+
+
+def test_what_a_block_settles_holds_whatever_it_does_not_see():
+    import pandas as pd
+
+    rows = crowd(7, 4000, 64)
+    frame_ = pd.DataFrame([(r[0], (r[2] - datetime.date(2024, 1, 1)).days, abs(r[3]), r[3], r[6], r[1], r[5], False) for r in rows], columns=["ingest_pos", "day", "abs_double", "flow", "reference", "account_label", "owner", "hint"])
+    got, want = tr.settle(frame_, False, 0, 63), greedy(rows)
+    assert all(want.get(n) == p for n, p in tr.settle(frame_, False))
+    # with unseen days on both sides only what cannot change is settled
+    assert all(want.get(n) == p for n, p in got)
+    assert len(got) > 0.3 * sum(r[3] < 0 for r in rows)
+
+
+def test_numbers_follow_the_negative_legs(spark):
+    pairs = spark.createDataFrame([(n * (1 << 30), n) for n in range(12_000, 0, -7)], "neg_pos long, pos_pos long").repartition(5)
+    got = [r["match_id"] for r in tr._numbered(pairs).orderBy("neg_pos").collect()]
+    assert got == [f"match-{i:04d}" for i in range(1, len(got) + 1)]
+    more = tr._numbered(pairs, pairs).orderBy("neg_pos").first()
+    assert more["match_id"] == f"match-{len(got) + 1}"
