@@ -2,7 +2,7 @@
 
 A text is lower-cased, white space runs become one space and a space is put on
 either side; its features are hashed character n-grams of ``ORDERS``, weighted by
-(1 + log count) times inverse document frequency and scaled to length 1.
+their share of the text's n-grams times inverse document frequency.
 The weights are learned by follow-the-regularised-leader (FTRL-Proximal) under
 an elastic net: the L1 part keeps most of them at zero, the L2 part the rest small.
 A temperature is then fitted on examples that the weights have not seen, so that
@@ -35,86 +35,65 @@ from granary.llm.common import materialise, scratch, table
 from granary.llm.toxicity import code_points, held_out
 
 ORDERS = (1, 2, 3, 4)
-BITS = 17
+BITS = 16
 MAX_ROWS = 6_000
 MIN_DOCS = 2
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.1
+#: What brings values to about 1, so that one set of penalties fits.
+SCALE = 10.0
 #: Code points looked at at a time.
 PIECE = 1 << 19
+#: A table of at most so many languages is broadcast.
+MOST_LANGS = 10_000
 UNKNOWN = "und"
 _SPACE = re.compile(r"\s+")
 _MULT, _BASE = np.uint32(0x9E3779B1), np.uint32(0x01000193)
-Sparse = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Groups of pieces: code points, the text of each piece, and where each ends.  Pieces of a text overlap by the longest n-gram less one."""
+def ngram_ids(text: str | None) -> Iterator[np.ndarray]:
+    """The features at the places of a text; a long text comes in pieces, which overlap by the longest n-gram less one."""
+    codes = code_points(f" {_SPACE.sub(' ', (text or '').lower()).strip()} ")
     over = max(ORDERS) - 1
-    codes, owners, size = [], [], 0
-    for i, text in enumerate(texts):
-        whole = code_points(f" {_SPACE.sub(' ', (text or '').lower()).strip()} ")
-        for start in range(0, len(whole), PIECE):
-            codes.append(whole[start : start + PIECE + over])
-            owners.append(i)
-            size += len(codes[-1])
-            if size >= PIECE:
-                yield np.concatenate(codes), np.array(owners), np.cumsum([len(c) for c in codes])
-                codes, owners, size = [], [], 0
-    if codes:
-        yield np.concatenate(codes), np.array(owners), np.cumsum([len(c) for c in codes])
-
-
-def ngram_counts(texts: list[str | None]) -> Sparse:
-    """(text, feature, count), by text and feature."""
-    keys, counts = [], []
-    for codes, owners, ends in _pieces(texts):
-        piece = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        # a piece that does not end its text leaves what starts in the overlap to the next one
-        starts = ends - np.diff(ends, prepend=0)
-        limit = np.minimum(ends, starts + PIECE)[piece]
-        h, found = np.zeros(len(codes), np.uint32), []
-        for k in range(1, max(ORDERS) + 1):
-            h = h[: len(codes) - k + 1] * _BASE + (codes[k - 1 :] + np.uint32(1))
+    for start in range(0, len(codes), PIECE):
+        piece = codes[start : start + PIECE + over]
+        h, found = np.zeros(len(piece), np.uint32), []
+        for k in range(1, min(len(piece), max(ORDERS)) + 1):
+            h = h[: len(piece) - k + 1] * _BASE + (piece[k - 1 :] + np.uint32(1))
             if k in ORDERS:
-                at = np.arange(len(h))
-                inside = (at + k <= ends[piece[: len(h)]]) & (at < limit[: len(h)])
-                feature = ((h ^ np.uint32(k * 0x7F4A7C15 & 0xFFFFFFFF)) * _MULT) >> np.uint32(32 - BITS)
-                found.append((owners[piece[: len(h)][inside]].astype(np.int64) << BITS) + feature[inside])
-        key, n = np.unique(np.concatenate(found), return_counts=True)
-        keys.append(key)
-        counts.append(n)
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key, where = np.unique(np.concatenate(keys), return_inverse=True)
-    return key >> BITS, key & ((1 << BITS) - 1), np.bincount(where, np.concatenate(counts)).astype(np.int64)
+                # what starts in the overlap belongs to the next piece
+                found.append(((h[:PIECE] ^ np.uint32(k * 0x7F4A7C15 & 0xFFFFFFFF)) * _MULT) >> np.uint32(32 - BITS))
+        yield np.concatenate(found)
+
+
+def ngram_totals(text: str | None) -> np.ndarray:
+    """How often each feature comes in a text."""
+    pieces = [np.bincount(ids, minlength=1 << BITS) for ids in ngram_ids(text)]
+    return pieces[0] if len(pieces) == 1 else sum(pieces)
+
+
+def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text and how often each comes."""
+    total = ngram_totals(text)
+    found = np.flatnonzero(total)
+    return found, total[found]
 
 
 class Weights:
     """TF-IDF of the kept features and their weights for each language."""
 
-    def __init__(self, langs: list[str], features: np.ndarray, idf: np.ndarray, rest_idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float):
-        self.langs, self.features, self.idf, self.rest_idf = langs, features, idf, rest_idf
+    def __init__(self, langs: list[str], features: np.ndarray, idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float):
+        self.langs, self.features, self.idf = langs, features, idf
         self.weights, self.bias, self.temperature = weights, bias, temperature
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        """One row a text; looked at in groups of about PIECE code points, a long text on its own."""
-        groups, size = [[]], 0
-        for text in texts:
-            if groups[-1] and size + len(text or "") > PIECE:
-                groups.append([])
-                size = 0
-            groups[-1].append(text)
-            size += len(text or "")
-        return np.concatenate([self._logits(g) for g in groups])
-
-    def _logits(self, texts: list[str | None]) -> np.ndarray:
-        doc, feature, value = tfidf(texts, self.rest_idf)
-        slot = np.full(1 << BITS, -1, np.int32)
-        slot[self.features] = np.arange(len(self.features))
-        at = slot[feature]
-        doc, at, value = doc[at >= 0], at[at >= 0], value[at >= 0]
-        return self.bias + np.stack([np.bincount(doc, value * self.weights[at, c], minlength=len(texts)) for c in range(len(self.langs))], axis=1)
+        """One row a text."""
+        rows = self.weights * self.idf[:, None] * SCALE
+        out = np.empty((len(texts), len(self.langs)))
+        for i, text in enumerate(texts):
+            total = ngram_totals(text)
+            out[i] = self.bias + total[self.features] @ rows / max(1, total.sum())
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The number of each text's language and its probability."""
@@ -128,11 +107,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def tfidf(texts: list[str | None], idf: np.ndarray) -> Sparse:
-    doc, feature, n = ngram_counts(texts)
-    value = (1 + np.log(np.maximum(n, 1))) * idf[feature]
-    length = np.sqrt(np.bincount(doc, value * value, minlength=len(texts)))
-    return doc, feature, value / np.maximum(length[doc], 1e-12)
+def tfidf(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text and their values: share of its n-grams times inverse document frequency, scaled to numbers of about 1."""
+    feature, n = ngram_counts(text)
+    return feature, n / max(1, n.sum()) * idf[feature] * SCALE
 
 
 def _leader(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
@@ -184,31 +162,34 @@ def fit(examples: Iterator[tuple[str | None, str]], idf: np.ndarray, known: np.n
     slot[known] = np.arange(len(known))
     rows, said = [], []
     for text, lang in examples:
-        _, feature, value = tfidf([text], idf)
+        feature, value = tfidf(text, idf)
         at = slot[feature]
         rows.append((at[at >= 0], value[at >= 0]))
         said.append(lang)
     langs = sorted(set(said))
     if len(langs) < 2:
-        return Weights(langs, np.zeros(0, np.int64), np.zeros(0), idf, np.zeros((0, len(langs))), np.zeros(len(langs)), 1.0)
+        return Weights(langs, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(langs))), np.zeros(len(langs)), 1.0)
     y = np.searchsorted(np.array(langs), said)
     kept = np.arange(len(y)) % 5 == 4
     learn = np.flatnonzero(~kept)
     w, b = ftrl([rows[i] for i in learn], y[learn], len(known), len(langs))
     logits = np.array([rows[i][1] @ w[rows[i][0]] + b for i in np.flatnonzero(kept)])
     used = np.flatnonzero(np.abs(w).sum(axis=1) > 0)
-    return Weights(langs, known[used], idf[known[used]], idf, w[used], b, temperature(logits, y[kept]))
+    return Weights(langs, known[used], idf[known[used]], w[used], b, temperature(logits, y[kept]))
 
 
 def document_frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     """How many rows of texts (text) there are, and how many hold each feature; at most 2^BITS counts come to the driver."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(1 << BITS, np.int64), 0
+        total, rows, mark = np.zeros(1 << BITS, np.int64), 0, np.zeros(1 << BITS, np.uint8)
         for b in batches:
-            part = b.column(0).to_pylist()
-            rows += len(part)
-            total += np.bincount(ngram_counts(part)[1], minlength=1 << BITS)
+            for text in b.column(0):
+                mark[:] = 0
+                for ids in ngram_ids(text.as_py()):
+                    mark[ids] = 1
+                total += mark
+                rows += 1
         hit = np.flatnonzero(total)
         # feature -1 counts the rows
         yield pa.RecordBatch.from_pydict({"feature": np.append(hit, -1), "n": np.append(total[hit], rows)})
@@ -226,9 +207,13 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Weights:
     total, frequency = document_frequencies(rows.select("text"))
     known = np.flatnonzero(frequency >= MIN_DOCS)
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    # the ids to learn from are chosen first, so that only their texts are joined
-    order = Window.partitionBy("lang").orderBy("h", "x_id")
-    ids = rows.select(F.col("id").alias("x_id"), "lang", F.xxhash64(F.col("id").cast("string")).alias("h")).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= max_rows)
+    # the ids to learn from are chosen first, so that only their texts are joined; of each language a hash keeps some more than
+    # max_rows, so that a language of a third of all rows is no large group in the ranking
+    ids = rows.select(F.col("id").alias("x_id"), "lang", F.xxhash64(F.col("id").cast("string")).alias("h"))
+    sizes = ids.groupBy(F.col("lang").alias("x_lang")).agg(F.count("*").alias("size"))
+    keep = F.least(F.lit(1.0), F.lit(1.2 * max_rows + 100) / F.col("size")) * 2.0**32
+    ids = ids.join(F.broadcast(sizes) if sizes.count() <= MOST_LANGS else sizes, F.col("lang") == F.col("x_lang")).where(F.pmod(F.col("h"), F.lit(1 << 32)) < keep)
+    ids = ids.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "x_id"))).where(F.col("turn") <= max_rows)
     ids = materialise(ids.orderBy("turn", "h", "x_id", "lang").limit(max_rows).select("x_id", "h").distinct(), "lang-train")
     # max_rows ids at most: a proven bound for the broadcast
     some = rows.join(F.broadcast(ids), F.col("id") == F.col("x_id")).orderBy("h", "x_id", "lang", "text").limit(max_rows).select("text", "lang")
@@ -240,7 +225,7 @@ def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Weights:
     got = some.repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInArrow(fitted, "langs array<string>, features array<bigint>, weights array<double>, bias array<double>, temperature double").collect()
     langs, features, weights, bias, t = got[0] if got else ([], [], [], [], 1.0)
     features = np.array(features, np.int64)
-    return Weights(langs, features, idf[features], idf.astype(np.float32), np.array(weights, float).reshape(len(features), len(langs)), np.array(bias, float), t)
+    return Weights(langs, features, idf[features], np.array(weights, float).reshape(len(features), len(langs)), np.array(bias, float), t)
 
 
 def identify(docs: DataFrame, model: Weights, text_col: str = "text") -> DataFrame:
