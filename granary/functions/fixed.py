@@ -4,6 +4,8 @@ Names of household members and employers are placeholders; pass your own setting
 where a function takes them.
 """
 
+import re
+
 AUTO = "Auto"
 
 # --- fixed values: taxonomies -------------------------------------------------
@@ -231,3 +233,25 @@ def category_rules() -> list[dict[str, str]]:
 
 def merchant_aliases() -> list[tuple[str, str]]:
     return [(needle, label) for label, needles in lines(MERCHANT_ALIASES) for needle in needles]
+
+# --- fixed values: bank statements: wordings that decide a row's direction, the first that is found; 0: only the balance tells ---
+BANK_SIGNS = (
+    (("loan interest",), -1), (("interest charge",), -1), (("online banking transfer",), 0), (("online transfer to deposit",), -1), (("cra-rev",), 1), (("item returned", "nsf"), 1),
+    (("deposit",), 1), (("payroll",), 1), (("ei canada",), 1), (("employment insurance",), 1), (("refund",), 1), (("rebate",), 1), (("reward",), 1), (("e-transfer received",), 1), (("transfer received",), 1),
+)
+#: Rows whose printed amount holds even where it differs from the change of the balance.
+BANK_OWN_AMOUNT = ("online transfer to deposit",)
+# --- fixed values: bank statements: how lines begin ---
+BANK_NEW_ROW = re.compile(
+    r"^(Online\s+Banking|Online\s+Transfer|Mortgage\s+payment|Interac|Contactless|Payroll|ATM|Loan\s+payment|Partial\s|Monthly|e-Transfer\s+sent|e-Transfer\s+received|e-Transfer\s+Request|"
+    r"e-Transfer\s+-|Misc\s+Payment|Utility\s+Bill|Insurance\b|Term\s+Loan|Bill\s+Payment|Item\s+returned|NSF\s+item|CRA-|WWW\.)", re.I,
+)
+BANK_FOLLOW_ON = re.compile(r"^(Loan\s+interest|Interest\s+payment|Principal\b)", re.I)
+BANK_SHARES_ANY = re.compile(r"^Mortgage\s+payment\b", re.I)
+BANK_SHARES_ONLINE = re.compile(r"^(Interac|Contactless)", re.I)
+BANK_ONLINE = re.compile(r"^Online\s+Banking\b", re.I)
+BANK_ENDS = re.compile(r"^(opening balance|closing balance)|\*\*account switch\*\*", re.I)
+BANK_BOILERPLATE = re.compile(
+    r"^(?:\d+\s+of\s+\d+|Page\s+\d+|RBPDA\d|RBPDA\s|Your\s+RBC\s+personal|account\s+statement|From\s+[A-Za-z]+\s+\d|Important\s+information|Never\s+share|Protect\s+your\s+PIN|Here\s+are\s+four|\*[0-9A-Z]{6,}|Royal\s+Bank\s+of\s+Canada|C\.P\.\s+\d+|Montreal\s+QC|"
+    r"https?://|Please\s+check|Please\s+retain|Stay\s+Informed|Details\s+of\s+your\s+account\s+activity\s*-\s*continued)", re.I,
+)

@@ -13,6 +13,7 @@ from granary.functions import fixed
 from granary.functions import text as t
 from granary.operators import corrections, coverage, dedupe, overrides, reconcile, transfers
 from granary.operators.filters import Filters, apply_filters
+from granary.plans import audit_job
 from granary.plans import dashboard as d
 from granary.plans import facts as fact_table
 from granary.plans import reports
@@ -492,6 +493,114 @@ _add(
     "select 'Credit Line Statement-' || d || ' 2026-01-16-1' as stem, 'Credit Line Statement-' || d || ' 2026-01-16' as logical, 'credit_line' as account_kind, d as account_last4, date '2026-01-16' as statement_date, '2026-01' as statement_month, 'credit_line-' || d as account_key from (select lpad((c_custkey % 10000)::varchar, 4, '0') as d from customer)",
 )
 
+# --- statements of four layouts, written from orders, with the totals that they state ---
+
+#: Which layout a customer's statements have: by the customer number's rest modulo four.
+LAYOUTS = ("bank", "card", "credit_line", "table")
+#: What order number % 8 makes of an order on a bank statement: the text before its amount, and its sign; 5 and 6 print a second row.
+BANK_ROWS = (
+    ("Partial monthly fee", -1), ("Loan interest", -1), ("Bill Payment", -1), ("CRA-REV", 1), ("Insurance", -1), ("e-Transfer received", 1), ("Online Banking transfer -", 0), ("Item returned NSF", 1),
+)
+SECOND, OPENING_BALANCE = "10.00", "900000000.00"
+
+
+def statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement (layout, name, text) for each customer and year; the balance after each row runs through the year."""
+    k, price = F.col("o_orderkey"), F.col("price")
+    m, layout = k % 8, F.element_at(F.array(*[F.lit(x) for x in LAYOUTS]), (F.col("o_custkey") % 4 + 1).cast("int"))
+    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"), F.date_format("o_orderdate", "yyyy").alias("year"), F.col("o_totalprice").cast("decimal(18,2)").alias("whole"), layout.alias("layout"))
+    base = base.withColumn("price", F.when((F.col("layout") == "bank") & (m == 0), F.lit("4.00").cast("decimal(18,2)")).otherwise(F.col("whole")))
+    sign = F.element_at(F.array(*[F.lit(x) for _, x in BANK_ROWS]), (m + 1).cast("int"))
+    sign = F.when(sign == 0, F.when(k % 16 < 8, 1).otherwise(-1)).otherwise(sign)
+    sign = F.when(F.col("layout") == "bank", sign).otherwise(F.when(k % 3 == 0, 1).otherwise(-1))
+    extra = F.when((F.col("layout") == "bank") & m.isin(5, 6), F.lit(SECOND)).otherwise(F.lit("0.00")).cast("decimal(18,2)")
+    rows = base.withColumn("net", (sign * price - extra).cast("decimal(18,2)")).withColumn("moved", (sign * price).cast("decimal(18,2)")).withColumn("extra", extra)
+    running = Window.partitionBy("o_custkey", "year").orderBy("day", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("after", F.sum("net").over(running))
+    m_ = lambda c: F.format_number(F.abs(c).cast("decimal(18,2)"), 2)
+    balance = m_(F.lit(OPENING_BALANCE).cast("decimal(18,2)") + F.col("after"))
+    date_, number = F.date_format("day", "d MMM"), k.cast("string")
+    said = F.element_at(F.array(*[F.lit(x) for x, _ in BANK_ROWS]), (m + 1).cast("int"))
+    long_number = F.lpad(number, 12, "0")
+    bank = F.concat(date_, F.lit(" "), said, F.lit(" "), F.when(m == 2, long_number).otherwise(number), F.lit(" "), m_(price), F.when(m == 5, F.lit(f" Contactless second {SECOND}")).when(m == 6, F.lit(f"\nInterac second {SECOND}")).otherwise(F.lit("")), F.lit(" "), balance)
+    upper = F.upper(F.date_format("day", "MMM dd"))
+    card = F.concat(upper, F.lit(" "), upper, F.lit(" ORDER "), number, F.lit("\n"), long_number, F.lit("\n"), F.when(F.col("net") < 0, "-").otherwise(""), F.lit("$"), m_(price))
+    # what a credit line's customer owes: draws of all orders that are none of the repayments, on top of what was owed before
+    line = F.concat(date_, F.when(F.col("net") > 0, " Interest payment ").otherwise(" Cash advance "), number, F.lit(" "), m_(price), F.lit(" -"), m_(F.lit(OPENING_BALANCE).cast("decimal(18,2)") - F.col("after")))
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), cell(F.date_format("day", "MMM d")), cell(F.concat(F.lit("A &amp; B "), long_number)), cell(F.when(F.col("net") < 0, m_(price)).otherwise("")), cell(F.when(F.col("net") > 0, m_(price)).otherwise("")), cell(balance), F.lit("</tr>"))
+    text = F.when(F.col("layout") == "bank", bank).when(F.col("layout") == "card", card).when(F.col("layout") == "credit_line", line).otherwise(row)
+    zero = F.lit(0).cast("decimal(18,2)")
+    reversal = (F.col("layout") == "bank") & (m == 3)
+    into = F.sum(F.when((F.col("moved") > 0) & ~reversal, F.col("moved")).otherwise(zero))
+    out = F.sum(F.when(F.col("moved") < 0, -F.col("moved")).when(reversal, F.col("moved")).otherwise(zero) + F.col("extra"))
+    files = rows.groupBy("o_custkey", "year", "layout").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("day", "o_orderkey", text.alias("line")))), lambda x: x["line"]), "\n").alias("body"), m_(into).alias("into"), m_(out).alias("out"))
+    year, period = F.col("year"), F.concat(F.lit("From January 1, "), F.col("year"), F.lit(" to December 31, "), F.col("year"), F.lit("\n"))
+    stated = F.concat(F.lit("Total deposits into your account + "), F.col("into"), F.lit("\nTotal withdrawals from your account - "), F.col("out"), F.lit("\n"))
+    opening = F.format_number(F.lit(OPENING_BALANCE).cast("decimal(18,2)"), 2)
+    whole = (
+        F.when(F.col("layout") == "bank", F.concat(period, stated, F.lit("Details of your account activity\nDate Description Withdrawals ($) Deposits ($) Balance ($)\nOpening Balance "), opening, F.lit("\n"), F.col("body"), F.lit("\nClosing Balance 1.00\n")))
+        .when(F.col("layout") == "card", F.concat(F.lit("STATEMENT FROM JAN 01, "), year, F.lit(" TO DEC 31, "), year, F.lit("\nPurchases & debits $"), F.col("into"), F.lit("\nPayments & credits -$"), F.col("out"), F.lit("\n"), F.col("body")))
+        .when(F.col("layout") == "credit_line", F.concat(period, F.lit("Sum of payments including adjustments on your account $"), F.col("into"), F.lit("\nSum of withdrawals including adjustments on your account $ "), F.col("out"),
+            F.lit("\nDetails of your account activity\nDate Description Payments ($) Withdrawals ($) Balance owing ($)\n"), F.col("body"), F.lit("\nClosing balance -1.00\n")))
+        .otherwise(F.concat(period, stated, F.lit("<table><tr><th>Date</th><th>Description</th><th>Debit</th><th>Credit</th><th>Balance</th></tr>"), F.col("body"), F.lit("</table>")))
+    )
+    kind = F.when(F.col("layout") == "card", "Visa").when(F.col("layout") == "credit_line", "Credit Line").otherwise("Chequing")
+    last4 = F.lpad((F.col("o_custkey") % 10000).cast("string"), 4, "0")
+    end = F.when(F.col("layout") == "table", ".md").otherwise(".txt")
+    return files.select("layout", F.concat(kind, F.lit(" Statement-"), last4, F.lit(" "), year, F.lit("-12-31 "), F.col("o_custkey").cast("string"), end).alias("name"), whole.alias("text"))
+
+
+def _parsed(layout: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = statements.parse_statements(statement_files(spark, sf_dir).where(F.col("layout") == layout).drop("layout"))
+        return rows.select("source_file", "account_last4", "statement_type", "transaction_date", "description", "reference", "amount", "balance", "error")
+
+    return query
+
+
+_KIND = "case l when 'card' then 'Visa' when 'credit_line' then 'Credit Line' else 'Chequing' end || ' Statement-' || lpad((o_custkey % 10000)::varchar, 4, '0') || ' ' || y || '-12-31 ' || o_custkey || case when l = 'table' then '.md' else '.txt' end"
+_STATEMENTS = f"""with b as (select *, o_orderdate::date as day, strftime(o_orderdate, '%Y') as y, ['{"', '".join(LAYOUTS)}'][o_custkey % 4 + 1] as l, o_orderkey % 8 as m from orders),
+p as (select *, {_KIND} as file, lpad((o_custkey % 10000)::varchar, 4, '0') as last4, case when l = 'bank' and m = 0 then 4.00 else o_totalprice end::decimal(18,2) as price,
+  case when l <> 'bank' then case when o_orderkey % 3 = 0 then 1 else -1 end when m = 6 then case when o_orderkey % 16 < 8 then 1 else -1 end when m in (3, 5, 7) then 1 else -1 end as s,
+  case when l = 'bank' and m in (5, 6) then {SECOND} else 0 end::decimal(18,2) as extra, case when length(o_orderkey::varchar) < 12 then lpad(o_orderkey::varchar, 12, '0') else o_orderkey::varchar end as long from b),
+r as (select *, (s * price)::decimal(18,2) as moved, {OPENING_BALANCE}::decimal(18,2) + sum(s * price - extra) over (partition by o_custkey, y order by day, o_orderkey) as after,
+  {OPENING_BALANCE}::decimal(18,2) - sum(s * price - extra) over (partition by o_custkey, y order by day, o_orderkey) as owed from p)
+"""
+_NUMBERED = "case m when 0 then 'Partial monthly fee ' || o_orderkey when 1 then 'Loan interest ' || o_orderkey when 2 then 'Bill Payment' when 3 then 'CRA-REV ' || o_orderkey when 4 then 'Insurance ' || o_orderkey when 5 then 'e-Transfer received ' || o_orderkey when 6 then 'Online Banking transfer - ' || o_orderkey else 'Item returned NSF ' || o_orderkey end"
+_ROW = "select file as source_file, last4 as account_last4, '{kind}' as statement_type, day as transaction_date, {said} as description, {ref} as reference, {amount}::double as amount, {balance} as balance, null::varchar as error from r where l = '{layout}'"
+_add(
+    "parsed_bank_statements", _parsed("bank"),
+    _STATEMENTS + _ROW.format(kind="bank_account", said=_NUMBERED, ref="case when m = 2 then long else '' end", amount="moved", balance="case when extra = 0 then after end::double", layout="bank")
+    + " union all " + _ROW.format(kind="bank_account", said="case m when 5 then 'Contactless second' else 'Interac second' end", ref="''", amount="-extra", balance="after::double", layout="bank") + " and extra > 0",
+)
+_add("parsed_card_statements", _parsed("card"), _STATEMENTS + _ROW.format(kind="credit_card", said="'ORDER ' || o_orderkey", ref="long", amount="moved", balance="null::double", layout="card"))
+_add("parsed_credit_lines", _parsed("credit_line"), _STATEMENTS + _ROW.format(kind="credit_line", said="case when s > 0 then 'Interest payment ' else 'Cash advance ' end || o_orderkey", ref="''", amount="moved", balance="-owed::double", layout="credit_line"))
+_add("parsed_tables", _parsed("table"), _STATEMENTS + _ROW.format(kind="bank_account", said="'A & B'", ref="long", amount="moved", balance="after::double", layout="table"))
+
+
+def _audited(name: str) -> Query:
+    return lambda spark, sf_dir: audit_job.run_audit(statement_files(spark, sf_dir).drop("layout"))[0][name]
+
+
+_TEXT_AUDIT = _STATEMENTS + """, f as (select file, any_value(l) as l, any_value(last4) as last4, y || '-12' as month, count(*) + count(*) filter (extra > 0) as n, sum(extra) as x, coalesce(sum(moved) filter (moved > 0 and not (l = 'bank' and m = 3)), 0) as i, coalesce(sum(moved) filter (l = 'bank' and m = 3), 0) as moved_,
+  coalesce(-sum(moved) filter (moved < 0), 0) as w from r group by file, y),
+e as (select file as filename, case l when 'card' then 'visa' when 'credit_line' then 'credit_line' else 'chequing' end as account_kind, last4 as account_last4, month as statement_month, (substr(month, 1, 4) || '-12-31')::date as statement_date, l, n, i::double as i, (w + x + moved_)::double as o from f)
+"""
+_add(
+    "audit_extraction", lambda spark, sf_dir: _audited("statement_extraction")(spark, sf_dir),
+    _TEXT_AUDIT + "select filename, account_kind, account_last4, statement_date, statement_month, account_kind || '-' || account_last4 as account_key, n as row_count, 'ok' as extract_status, '' as extract_error from e",
+)
+_add(
+    "audit_reconciliation", lambda spark, sf_dir: _audited("statement_reconciliation")(spark, sf_dir).select("filename", "account_key", "statement_month", "extract_row_count", "reconcile_kind", "reconcile_ok", *[F.round(x, 2).alias(x) for x in ("statement_in", "statement_out", "parsed_in", "parsed_out", "diff_in", "diff_out")], "notes"),
+    _TEXT_AUDIT + "select filename, account_kind || '-' || account_last4 as account_key, statement_month, n as extract_row_count, case l when 'card' then 'credit_card' when 'credit_line' then 'credit_line' else 'bank_account' end as reconcile_kind, true as reconcile_ok, round(i, 2) as statement_in, round(o, 2) as statement_out, round(i, 2) as parsed_in, round(o, 2) as parsed_out, 0.0::double as diff_in, 0.0::double as diff_out, 'Row sums match the statement.' as notes from e",
+)
+_add(
+    "audit_account_summary", lambda spark, sf_dir: _audited("account_summary")(spark, sf_dir).select("account_key", "months_full", "months_partial", "months_missing", "available_months"),
+    _TEXT_AUDIT + """, a as (select account_kind || '-' || account_last4 as account_key, statement_month from e group by all)
+select account_key, count(*) as months_full, 0::bigint as months_partial, (select datediff('month', (min(statement_month) || '-01')::date, (max(statement_month) || '-01')::date) + 1 from a) - count(*) as months_missing, string_agg(statement_month, ', ' order by statement_month) as available_months from a group by account_key""",
+)
+
 # --- audit: orders are files, those of status P could not be read ---
 
 

@@ -9,8 +9,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from datetime import date, datetime, timedelta
-from itertools import product
+from datetime import date, datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.fixed import NOT_NAMES
 from granary.functions.text import url_decode
+from granary.sources.bank import MONTHS, day_of, fill_days, parse_bank, split_reference
 from granary.shipping import ship
 from granary.sources.storage import ranked
 
@@ -26,15 +26,11 @@ STEM = r"(?i)^(Chequing|Visa|MasterCard|Credit Line) Statement-(\d{4}) (\d{4})-(
 SUFFIXES = r"((?:-\d{1,2})*)$"
 PERIOD_CARD = r"STATEMENT FROM ([A-Z]{3}) (\d{1,2})(?:, (\d{4}))? TO ([A-Z]{3}) (\d{1,2}), (\d{4})"
 PERIOD_BANK = r"From ([A-Z][a-z]+) (\d{1,2}), (\d{4}) to ([A-Z][a-z]+) (\d{1,2}), (\d{4})"
-MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 MONEY = re.compile(r"\(?-?\$?[\d,]+\.\d{2}\)?")
 CARD_TXN = re.compile(r"^([A-Z]{3}) (\d{1,2}) ([A-Z]{3}) (\d{1,2}) (.+)$")
 CARD_HEAD = re.compile(r"^(.*?(\d{4})) - (PRIMARY|CO-APPLICANT|AUTHORIZED USER)", re.I)
 BANK_DAY = re.compile(r"^(\d{1,2}) ([A-Z][a-z]{2})\b\s*(.*)$")
-OPENING = re.compile(r"opening balance\s+(-?[\d,]+\.\d{2})", re.I)
 BOILERPLATE = re.compile(r"^\s*(\d+ of \d+|page \d+|details of your account activity.*|date description .*|closing balance.*|opening balance.*)\s*$", re.I)
-IN_WORDS = ("deposit", "received", "payroll", "refund", "interest paid", "credit memo", "cra-rev", "reversal")
-OUT_WORDS = ("purchase", "withdrawal", "sent", "payment", "fee", "loan", "insurance", "mortgage", "interest")
 #: What a credit line's row says when it pays the line back; all others draw on it.
 PAYS_BACK = ("interest payment", "www pmt", " pmt ")
 LINE_MONEY = re.compile(r"\(([\d,]+\.\d{2})\)|(-?)\s*(?<![\d,])([\d,]+\.\d{2})")
@@ -42,7 +38,7 @@ LINE_TAIL = re.compile(r"(?:\s*(?:\([\d,]+\.\d{2}\)|-?\s*[\d,]+\.\d{2}))+\s*$")
 ROLE = re.compile(r"\b(PRIMARY|CO-APPLICANT|JOINT|AUTHORIZED USER)\b", re.I)
 #: How many lines of a text name its holders, and how many before a table or card heading belong to it.
 HEAD_LINES, NEAR_LINES = 120, 20
-TOLERANCE, MOST_AMOUNTS = 0.02, 8
+TOLERANCE = 0.02
 RAW = (
     "statement_id string, source_file string, source_kind string, statement_type string, account_last4 string, account_label string, owner string, role string, household string, transaction_date date, posting_date date, "
     "description string, reference string, amount double, balance double, statement_start date, statement_end date, notes string, line_pos long, error string"
@@ -88,44 +84,11 @@ def statement_period(text: Column) -> tuple[Column, Column]:
     return F.when(start > end, F.add_months(start, -12)).otherwise(start), end
 
 
-def in_period(day: date, start: date | None, end: date | None) -> date:
-    """A day without a year, moved into the statement's period."""
-    if end and day > end:
-        return _year(day, -1)
-    if start and end and day < start and start.year != end.year:
-        return _year(day, 1)
-    return day
-
-
-def _year(day: date, by: int) -> date:
-    return date(day.year + by, day.month, min(day.day, 28) if day.month == 2 else day.day)
-
-
 def money(token: str) -> float:
     value = float(re.sub(r"[^\d.]", "", token))
     return -value if token.startswith(("-", "(")) or "-" in token[:2] else value
 
 
-def keyword_sign(text: str) -> int:
-    """1 for money in, -1 for money out, 0 if the words do not tell."""
-    t = text.lower()
-    if "payment" in t and "received" not in t or "sent" in t:
-        return -1
-    if any(w in t for w in IN_WORDS):
-        return 1
-    return -1 if any(w in t for w in OUT_WORDS) else 0
-
-
-def resolve_signs(amounts: list[float], hints: list[int], delta: float) -> list[int] | None:
-    """Signs that keep the hints and add up to the change of the balance; the first in order, of at most 256."""
-    if len(amounts) > MOST_AMOUNTS:
-        return None
-    for signs in product((1, -1), repeat=len(amounts)):
-        if all(h in (0, s) for h, s in zip(hints, signs)) and abs(sum(s * a for s, a in zip(signs, amounts)) - delta) <= TOLERANCE:
-            return list(signs)
-    return None
-
-
 def names_in(lines: list[str]) -> list[str]:
     """The probable names among lines: two to four words of capitals, each of letters only and more than one."""
     found = []
@@ -156,7 +119,6 @@ def context(lines: list[str]) -> dict[str, str]:
 
 def parse_card(text: str, start: date | None, end: date | None) -> list[dict]:
     rows, open_row, held = [], None, {"account_last4": ""}
-    year = (end or date.today()).year
     lines = text.splitlines()
     for number, line in enumerate(lines):
         line = line.strip()
@@ -164,7 +126,7 @@ def parse_card(text: str, start: date | None, end: date | None) -> list[dict]:
             held, open_row = context(lines[: number + 1]) | {"account_last4": m[2]}, None
         elif m := CARD_TXN.match(line):
             if m[1].lower() in MONTHS and m[3].lower() in MONTHS:
-                days = [in_period(date(year, MONTHS[m[i].lower()], int(m[i + 1])), start, end) for i in (1, 3)]
+                days = [day_of(m[i], m[i + 1], start, end) for i in (1, 3)]
                 open_row = {"transaction_date": days[0], "posting_date": days[1], "description": m[5], "reference": "", **held, "line_pos": number}
                 if (t := MONEY.search(m[5])) and t.end() == len(m[5]):
                     rows.append(open_row | {"description": m[5][: t.start()].strip(), "amount": money(t[0])})
@@ -180,65 +142,6 @@ def parse_card(text: str, start: date | None, end: date | None) -> list[dict]:
     return rows
 
 
-def parse_bank(text: str, start: date | None, end: date | None) -> list[dict]:
-    """Rows are chunks of lines up to an amount; a balance after several amounts settles their signs.
-
-    Rows that follow a table heading without a date of their own go on from the page before: they belong to the day before the next
-    dated row, if that is later than the last dated one, and else to the last dated one, or to the period's end.
-    """
-    rows, waiting, day, words = [], [], None, []
-    balance = money(m[1]) if (m := OPENING.search(text)) else None
-    year, inside = (end or date.today()).year, False
-    for number, line in enumerate(text.splitlines()):
-        line = line.strip()
-        if re.search(r"date\s+description", line, re.I):
-            inside, day = True, None
-            continue
-        if re.match(r"closing balance", line, re.I):
-            inside = False
-        if not inside or not line or BOILERPLATE.match(line):
-            continue
-        if (m := BANK_DAY.match(line)) and m[2].lower() in MONTHS:
-            day = in_period(date(year, MONTHS[m[2].lower()], int(m[1])), start, end)
-            line = m[3]
-        tokens = list(MONEY.finditer(line))
-        words.append(line[: tokens[0].start()].strip() if tokens else line)
-        if not tokens:
-            continue
-        amounts = [money(t[0]) for t in tokens]
-        said, words = " ".join(w for w in words if w), []
-        row = {"transaction_date": day, "posting_date": day, "description": said, "reference": "", "account_last4": "", "line_pos": number}
-        waiting.append(row | {"amount": amounts[0]})
-        if len(amounts) > 1:
-            closing = amounts[-1]
-            hints = [keyword_sign(w["description"]) for w in waiting]
-            sizes = [abs(w["amount"]) for w in waiting]
-            delta = None if balance is None else closing - balance
-            signs = delta is not None and (resolve_signs(sizes, hints, delta) or resolve_signs(sizes, [0] * len(sizes), delta))
-            for w, s, a in zip(waiting, signs or [h or -1 for h in hints], sizes):
-                rows.append(w | {"amount": s * a})
-            rows[-1]["balance"], balance, waiting = closing, closing, []
-    rows += [w | {"amount": (keyword_sign(w["description"]) or -1) * abs(w["amount"])} for w in waiting]
-    return _dated(rows, end)
-
-
-def _dated(rows: list[dict], end: date | None) -> list[dict]:
-    """rows with the days of those that have none, from the dated ones around them."""
-    after, coming = None, []
-    for r in reversed(rows):
-        coming.append(after)
-        after = r["transaction_date"] or after
-    before = None
-    for r, following in zip(rows, reversed(coming)):
-        if r["transaction_date"] is None:
-            guess = following - timedelta(days=1) if following else None
-            day = guess if guess and not (before and guess <= before) else before or end
-            r["transaction_date"] = r["posting_date"] = day
-        else:
-            before = r["transaction_date"]
-    return rows
-
-
 def credit_line_amount(body: str) -> float | None:
     """What a row moves: amounts in parentheses are credits, a negative last one is the balance owing, an amount said twice counts once."""
     values = [float((m[1] or m[3]).replace(",", "")) * (-1 if m[2] == "-" else 1) for m in LINE_MONEY.finditer(body)]
@@ -256,8 +159,8 @@ def credit_line_amount(body: str) -> float | None:
 
 
 def parse_credit_line(text: str, start: date | None, end: date | None) -> list[dict]:
-    """Rows are chunks of lines from one day to the next; one without a day goes on from the page before, as in parse_bank."""
-    chunks, inside, year = [], False, (end or date.today()).year
+    """Rows are chunks of lines from one day to the next; one without a day goes on from the page before, as in bank statements."""
+    chunks, inside, fresh = [], False, False
     for number, line in enumerate(text.splitlines()):
         line = line.strip()
         if re.search(r"date\s+description", line, re.I):
@@ -268,18 +171,25 @@ def parse_credit_line(text: str, start: date | None, end: date | None) -> list[d
         if not inside or not line or BOILERPLATE.match(line):
             continue
         if (m := BANK_DAY.match(line)) and m[2].lower() in MONTHS:
-            chunks.append([in_period(date(year, MONTHS[m[2].lower()], int(m[1])), start, end), number, [m[3]]])
+            chunks.append([day_of(m[2], m[1], start, end), number, [m[3]]])
         elif fresh or not chunks:
             chunks.append([None, number, [line]])
         else:
             chunks[-1][2].append(line)
         fresh = False
     rows = []
-    for day, number, lines in chunks:
+    for (_, number, lines), day in zip(chunks, fill_days([c[0] for c in chunks], end)):
         body = " ".join(x for x in lines if x)
         if (amount := credit_line_amount(f"{body} ")) is not None:
-            rows.append({"transaction_date": day, "posting_date": day, "description": LINE_TAIL.sub("", body).strip() or body, "reference": "", "account_last4": "", "line_pos": number, "amount": amount})
-    return _dated(rows, end)
+            description, reference = split_reference(LINE_TAIL.sub("", body).strip() or body)
+            rows.append({"transaction_date": day, "posting_date": None, "description": description, "reference": reference, "account_last4": "", "line_pos": number, "amount": amount, "balance": owing(body)})
+    return rows
+
+
+def owing(body: str) -> float | None:
+    """The balance that a credit line's row ends with, a negative amount."""
+    found = list(LINE_MONEY.finditer(f"{body} "))
+    return -float(found[-1][3].replace(",", "")) if found and found[-1][2] == "-" else None
 
 
 def _cells(row: str) -> list[str]:
@@ -292,7 +202,7 @@ def _loose_date(text: str, start: date | None, end: date | None) -> date | None:
             got = datetime.strptime(text.strip().title(), form).date() if "%Y" in form else datetime.strptime(f"{text.strip().title()} 2024", f"{form} %Y").date()
         except ValueError:
             continue
-        return got if "%Y" in form else in_period(got.replace(year=(end or date.today()).year, day=min(got.day, 28) if got.month == 2 else got.day), start, end)
+        return got if "%Y" in form else day_of(got.strftime("%b"), str(got.day), start, end)
     return None
 
 
@@ -312,7 +222,7 @@ def parse_tables(text: str, start: date | None, end: date | None) -> list[dict]:
         last = None
         for k, r in enumerate(table[1:]):
             day = _loose_date(cell(r, 0), start, end)
-            said = cell(r, at["DESCRIPTION"])
+            said, reference = split_reference(cell(r, at["DESCRIPTION"]))
             if day is None:
                 if last is not None and not cell(r, 0) and said:
                     last["reference" if re.fullmatch(r"\d{10,}", said) else "notes"] = said
@@ -326,7 +236,7 @@ def parse_tables(text: str, start: date | None, end: date | None) -> list[dict]:
             if amount is None:
                 continue
             posted = _loose_date(cell(r, at["POSTING"]), start, end) or day
-            last = {"transaction_date": day, "posting_date": posted, "description": said, "reference": "", "amount": amount, "balance": number_in(cell(r, at["BALANCE"])), "notes": "", "line_pos": number * 10_000 + k, "statement_type": kind, "account_last4": "", **held}
+            last = {"transaction_date": day, "posting_date": posted, "description": said, "reference": reference, "amount": amount, "balance": number_in(cell(r, at["BALANCE"])), "notes": "", "line_pos": number * 10_000 + k, "statement_type": kind, "account_last4": "", **held}
             rows.append(last)
     return rows
 

@@ -3,6 +3,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from granary.plans.rebuild import rebuild
+from granary.sources import bank
 from granary.sources import statements as s
 
 CARD = """STATEMENT FROM DEC 09, 2025 TO JAN 08, 2026
@@ -42,9 +43,9 @@ def test_parsers_and_rebuild(spark):
 
 
 def test_sign_search():
-    assert s.resolve_signs([10.0, 5.0], [0, 0], -5.0) == [-1, 1]
-    assert s.resolve_signs([10.0, 5.0], [1, 0], -5.0) is None
-    assert s.resolve_signs([1.0] * 9, [0] * 9, 9.0) is None
+    assert bank.resolve_signs([10.0, 5.0], [0, 0], -5.0) == [-1, 1]
+    assert bank.resolve_signs([10.0, 5.0], [1, 0], -5.0) is None
+    assert bank.resolve_signs([1.0] * 9, [0] * 9, 9.0) is None
 
 
 def test_files_and_names(spark):
@@ -61,8 +62,8 @@ def test_owners_roles_and_undated_rows(spark):
     card = "JANE ANN DOE\nSTATEMENT FROM DEC 09, 2025 TO JAN 08, 2026\nJOHN DOE\nCard 1111 2222 - CO-APPLICANT\nDEC 10 DEC 11 SHOP NAME\n123456789012\n$12.34\n"
     bank = (
         "MARY MAJOR\nFrom December 17, 2025 to January 16, 2026\nDetails of your account activity\nDate Description Withdrawals ($) Deposits ($) Balance ($)\nOpening Balance 1,000.00\n"
-        "18 Dec Interac purchase 12.34 987.66\nDate Description Withdrawals ($) Deposits ($) Balance ($)\nATM withdrawal 10.00 977.66\n25 Dec ATM withdrawal 7.66 970.00\n"
-        "Date Description Withdrawals ($) Deposits ($) Balance ($)\nMonthly fee 1.00 969.00\nClosing balance 969.00\n"
+        "18 Dec Interac purchase 12.34 987.66\n1 of 3\nDate Description Withdrawals ($) Deposits ($) Balance ($)\nATM withdrawal 10.00 977.66\n25 Dec ATM withdrawal 7.66 970.00\n"
+        "2 of 3\nDate Description Withdrawals ($) Deposits ($) Balance ($)\nMonthly fee 1.00 969.00\nClosing balance 969.00\n"
     )
     table = "JANE DOE\n1234 - PRIMARY\n<table><tr><td>Transaction Date</td><td>Posting Date</td><td>Activity Description</td><td>Amount</td></tr><tr><td>DEC 12</td><td>DEC 13</td><td>SHOP</td><td>$1.00</td></tr></table>"
     files = spark.createDataFrame([("Visa Statement-2222 2026-01-08.txt", card), ("Chequing Statement-1111 2026-01-16.txt", bank), ("notes.md", table)], "name string, text string")
