@@ -196,14 +196,16 @@ def _cells(row: str) -> list[str]:
     return [" ".join(html.unescape(re.sub(r"<.*?>", "", c)).split()) for c in re.findall(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", row)]
 
 
-def _loose_date(text: str, start: date | None, end: date | None) -> date | None:
+def _loose_date(text: str, start: date | None, end: date | None) -> tuple[bool, date | None]:
+    """Whether a cell holds a date, and the day: null where it names no year and the statement no period."""
+    said = text.strip().title()
     for form in ("%b %d", "%d %b", "%B %d", "%Y-%m-%d", "%b %d, %Y"):
         try:
-            got = datetime.strptime(text.strip().title(), form).date() if "%Y" in form else datetime.strptime(f"{text.strip().title()} 2024", f"{form} %Y").date()
+            got = datetime.strptime(said, form) if "%Y" in form else datetime.strptime(f"{said} 2024", f"{form} %Y")
         except ValueError:
             continue
-        return got if "%Y" in form else day_of(got.strftime("%b"), str(got.day), start, end)
-    return None
+        return True, got.date() if "%Y" in form else day_of(got.strftime("%b"), str(got.day), start, end)
+    return False, None
 
 
 def parse_tables(text: str, start: date | None, end: date | None) -> list[dict]:
@@ -221,9 +223,9 @@ def parse_tables(text: str, start: date | None, end: date | None) -> list[dict]:
         number_in = lambda t: money(m[0]) if (m := MONEY.search(t)) else None
         last = None
         for k, r in enumerate(table[1:]):
-            day = _loose_date(cell(r, 0), start, end)
+            dated, day = _loose_date(cell(r, 0), start, end)
             said, reference = split_reference(cell(r, at["DESCRIPTION"]))
-            if day is None:
+            if not dated:
                 if last is not None and not cell(r, 0) and said:
                     last["reference" if re.fullmatch(r"\d{10,}", said) else "notes"] = said
                 continue
@@ -235,7 +237,7 @@ def parse_tables(text: str, start: date | None, end: date | None) -> list[dict]:
                 amount, kind = number_in(cell(r, at["AMOUNT"])), "credit_card"
             if amount is None:
                 continue
-            posted = _loose_date(cell(r, at["POSTING"]), start, end) or day
+            posted = _loose_date(cell(r, at["POSTING"]), start, end)[1] or day
             last = {"transaction_date": day, "posting_date": posted, "description": said, "reference": reference, "amount": amount, "balance": number_in(cell(r, at["BALANCE"])), "notes": "", "line_pos": number * 10_000 + k, "statement_type": kind, "account_last4": "", **held}
             rows.append(last)
     return rows
