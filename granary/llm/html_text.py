@@ -3,10 +3,15 @@
 A page becomes a sequence of tokens.  Words score positive, words in links
 less, tags negative; one linear scan finds the contiguous region of largest sum.
 The region then grows to the element that holds all of it (short first or last
-paragraphs score too little by themselves), unless that is the whole body.
-Parts that are no article text whatever they score - scripts, forms,
-navigation, and elements whose class, id or role names them an advert, a notice, a
-comment thread and so on - are neutral in the scan and never come out.
+paragraphs score too little by themselves); where that is the whole body, to the
+blocks of the same kind beside it, as far as they hold more words than links.
+Scripts, forms and navigation are neutral in the scan and never come out.
+
+A class, id or role is evidence that an element is an advert, a notice, a comment thread and so on, not a
+verdict.  Names with a word that turns them round (``no-sidebar``, ``comment-status-open``, ``ads-free``) say
+nothing.  An element of several paragraphs or headings whose name says something else too (``search-post``) and that holds more
+than half of the page's words is no part beside the article; one that is called nothing but an advert, a thread and so on may
+be that long, and is only kept where nearly all words are its own.
 
 The weights come from labelled pages: those that mark their article by an
 ``article`` or ``main`` element.  Each kind of token weighs the log ratio of its
@@ -56,6 +61,14 @@ NAMES = frozenset(
     "sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments respond reply "
     "replies discussion disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar search contentinfo complementary skip".split()
 )
+#: Words that turn a name round: the element has, lacks or allows such a part, it is none.
+TURNED = frozenset("no not non has have with without hide hides hidden status enabled disabled free open opened closed layout template allow allowed supports single".split())
+#: Names of parts that may hold more words than the article.
+THREADS = frozenset("comment comments respond reply replies discussion disqus".split())
+#: The share of a page's words above which an element is no part beside the article: one whose name says more, and one that is called nothing else.
+MOST, NEARLY_ALL = 0.5, 0.95
+#: An element is kept by its share only if it has so many paragraphs and headings.
+LEAST_PARTS = 2
 #: Elements that a class name does not take out.
 KEPT = frozenset("html body article main".split())
 P_ENDS = frozenset("address article aside blockquote dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th tr ul".split())
@@ -68,28 +81,52 @@ DEFAULT_WEIGHTS = {"word": 1.0, "link": -1.0, "tag": -2.0}
 
 
 class Chunk:
-    """A piece of text or a tag: what it scores by, and the number of the element it stands in (-1: none)."""
+    """A piece of text or a tag: what it scores by, the element it stands in (-1: none) and the one whose fate it shares."""
+
+    __slots__ = ("kind", "text", "out", "node", "owner", "marked", "count")
+
+    def __init__(self, kind: str, text: str, node: int, owner: int, marked: bool, count: int):
+        self.kind, self.text, self.out, self.node, self.owner, self.marked, self.count = kind, text, False, node, owner, marked, count
 
-    __slots__ = ("kind", "text", "out", "node", "marked", "count")
 
-    def __init__(self, kind: str, text: str, out: bool, node: int, marked: bool, count: int):
-        self.kind, self.text, self.out, self.node, self.marked, self.count = kind, text, out, node, marked, count
+#: What speaks against an element: nothing, a word of its name, its whole name, its tag.
+FINE, PARTLY, NAMED, NO_TEXT = range(4)
 
 
 class Elements:
-    """The elements of a page by number: tag, parent, depth, and the chunks [first, end) that they hold."""
+    """The elements of a page by number: tag, parent, depth, the chunks [first, end) that they hold, and what speaks against them."""
 
     def __init__(self):
-        self.tag, self.parent, self.depth, self.first, self.end = [], [], [], [], []
+        self.tag, self.parent, self.depth, self.first, self.end, self.against = [], [], [], [], [], []
 
-    def add(self, tag: str, parent: int, first: int) -> int:
+    def add(self, tag: str, parent: int, first: int, against: int) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.depth.append(self.depth[parent] + 1 if parent >= 0 else 0)
         self.first.append(first)
         self.end.append(-1)
+        self.against.append(against)
         return len(self.tag) - 1
 
+    def settle(self, chunks: list[Chunk]) -> None:
+        """Decides which elements go, from the words that they hold, and marks their chunks."""
+        never = [False] * len(self.tag)
+        for i, parent in enumerate(self.parent):
+            never[i] = self.against[i] == NO_TEXT or parent >= 0 and never[parent]
+        upto, parts = [0], [0]
+        for i, c in enumerate(chunks):
+            begins = c.owner >= 0 and self.first[c.owner] == i and (self.tag[c.owner] == "p" or self.tag[c.owner] in HEADINGS)
+            parts.append(parts[-1] + begins)
+            upto.append(upto[-1] + (c.count if c.kind == "word" and not (c.node >= 0 and never[c.node]) else 0))
+        out = [False] * len(self.tag)
+        for i, parent in enumerate(self.parent):
+            share = (upto[self.end[i]] - upto[self.first[i]]) / max(1, upto[-1])
+            most = {FINE: -1.0, PARTLY: MOST, NAMED: NEARLY_ALL}.get(self.against[i], 1.0)
+            small = share <= most or self.against[i] != FINE and parts[self.end[i]] - parts[self.first[i]] < LEAST_PARTS
+            out[i] = parent >= 0 and out[parent] or small
+        for c in chunks:
+            c.out = c.owner >= 0 and out[c.owner]
+
     def common(self, a: int, b: int) -> int:
         """The innermost element that holds both, or -1."""
         while a != b:
@@ -136,34 +173,39 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
         pos = m.end()
 
 
-def _named_out(tag: str, attributes: str, in_article: bool) -> bool:
+def _against(tag: str, attributes: str, in_article: bool) -> int:
+    """What speaks against an element by itself."""
     if tag in NEVER:
-        return True
+        return NO_TEXT
     if tag == "header" and not in_article:
-        return True
+        return NO_TEXT
     if not attributes or tag in KEPT:
-        return False
+        return FINE
+    found = FINE
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return NO_TEXT
         if name in ("class", "id", "role", "aria-label") and (name != "aria-label" or tag not in INLINE):
-            words = WORD_SPLIT.split(CAMEL.sub(" ", value).lower())
-            if NAMES.intersection(words) and not (in_article and "header" in words and not NAMES.difference(["header"]).intersection(words)):
-                return True
-    return False
+            for one in value.split() if name != "aria-label" else [value]:
+                words = set(WORD_SPLIT.split(CAMEL.sub(" ", one).lower()))
+                # a heading's own header class is no site header
+                named = NAMES.intersection(words) - ({"header"} if in_article else set())
+                if named and not TURNED.intersection(words):
+                    found = max(found, NAMED if THREADS.intersection(words) or not words - NAMES - {""} else PARTLY)
+    return found
 
 
 def tokens(page: str | None) -> tuple[list[Chunk], Elements]:
     """The page as chunks, and its elements."""
     found: list[Chunk] = []
     nodes = Elements()
-    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, number, out, inside a marked part, in a link
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, number, inside a marked part, in a link
     where: dict[str, list[int]] = {}  # places in the stack by tag
     blocks: list[int] = []  # places in the stack of elements that are not inline
 
-    def state() -> tuple[int, bool, bool, bool]:
-        return stack[-1][1:] if stack else (-1, False, False, False)
+    def state() -> tuple[int, bool, bool]:
+        return stack[-1][1:] if stack else (-1, False, False)
 
     def close(at: int) -> None:
         while len(stack) > at:
@@ -174,43 +216,46 @@ def tokens(page: str | None) -> tuple[list[Chunk], Elements]:
                 blocks.pop()
 
     for kind, tag, attributes in pieces(page or ""):
-        node, out, marked, link = state()
+        node, marked, link = state()
         if kind == "text":
             text = html_lib.unescape(tag)
-            found.append(Chunk("link" if link else "word", text, out, node, marked, len(text.split())))
+            found.append(Chunk("link" if link else "word", text, node, node, marked, len(text.split())))
             continue
         if kind == "cdata":
-            found.append(Chunk("block", "", out, node, marked, 0))
+            found.append(Chunk("block", "", node, node, marked, 0))
             continue
         if kind == "close":
             if not where.get(tag):
                 if tag not in INLINE:
-                    found.append(Chunk("block", "", out, node, marked, 0))
+                    found.append(Chunk("block", "", node, node, marked, 0))
                 continue
             at = where[tag][-1]
             # an inline end tag does not close blocks around it
             if tag in INLINE and blocks and blocks[-1] > at:
                 continue
-            out, marked = stack[at][2:4]
+            owner, marked = stack[at][1:3]
             close(at)
         else:
             if tag in P_ENDS and blocks:
                 near = stack[blocks[-1]][0]
                 if near == "p" or tag == "li" and near == "li" or tag in ("td", "th") and near in ("td", "th") or tag == "tr" and near in ("td", "th", "tr"):
                     close(blocks[-1])
-                    node, out, marked, link = state()
+                    node, marked, link = state()
+            owner = node
             if tag not in VOID and not attributes.endswith("/"):
-                out = out or _named_out(tag, attributes, marked)
+                against = _against(tag, attributes, marked)
                 # of a header inside an article only the headings are text
                 if where.get("header") and tag not in INLINE and tag not in HEADINGS and tag != "div":
-                    out = True
+                    against = NO_TEXT
                 marked = marked or tag in ("article", "main")
                 where.setdefault(tag, []).append(len(stack))
                 if tag not in INLINE:
                     blocks.append(len(stack))
-                stack.append((tag, nodes.add(tag, node, len(found)), out, marked, link or tag == "a"))
-        found.append(Chunk("inline" if tag in INLINE else "block", tag, out, state()[0], marked, 1))
+                owner = nodes.add(tag, node, len(found), against)
+                stack.append((tag, owner, marked, link or tag == "a"))
+        found.append(Chunk("inline" if tag in INLINE else "block", tag, state()[0], owner, marked, 1))
     close(0)
+    nodes.settle(found)
     return found, nodes
 
 
@@ -243,6 +288,39 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def _beside(chunks: list[Chunk], nodes: Elements, first: int, last: int, start: int, stop: int) -> tuple[int, int]:
+    """[start, stop) grown over the blocks beside it under the body: those of its own kind, or that are parts of texts, while they hold more words than links."""
+
+    def top(node: int) -> int:
+        while node >= 0 and nodes.parent[node] >= 0 and nodes.tag[nodes.parent[node]] not in ("body", "html"):
+            node = nodes.parent[node]
+        return node
+
+    first, last = top(first), top(last)
+    if first < 0 or last < 0 or nodes.tag[first] in ("body", "html") or nodes.tag[last] in ("body", "html"):
+        return start, stop
+    kinds = PARTS | {nodes.tag[first], nodes.tag[last]}
+    # blocks of the body in page order
+    beside = [i for i, p in enumerate(nodes.parent) if p == nodes.parent[first] and nodes.tag[i] not in INLINE]
+    start, stop = min(start, nodes.first[first]), max(stop, nodes.end[last])
+
+    def joins(i: int) -> bool | None:
+        """Whether a block belongs to the text; null if it says nothing."""
+        held = [c for c in chunks[nodes.first[i] : nodes.end[i]] if not c.out]
+        words, links = (sum(c.count for c in held if c.kind == k) for k in ("word", "link"))
+        return None if not words + links else nodes.tag[i] in kinds and words > links
+
+    for i in reversed([i for i in beside if i < first]):
+        if joins(i) is False:
+            break
+        start = min(start, nodes.first[i]) if joins(i) else start
+    for i in [i for i in beside if i > last]:
+        if joins(i) is False:
+            break
+        stop = max(stop, nodes.end[i]) if joins(i) else stop
+    return start, stop
+
+
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     chunks, nodes = tokens(page)
     scores = [0.0 if c.out else weights[c.kind] * c.count if c.kind in ("word", "link") else weights["tag"] * c.count for c in chunks]
@@ -257,6 +335,8 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         common = nodes.parent[common]
     if common >= 0 and nodes.tag[common] not in ("body", "html"):
         start, stop = min(start, nodes.first[common]), max(stop, nodes.end[common])
+    if common < 0 or nodes.tag[common] in PARTS or nodes.tag[common] in ("body", "html"):
+        start, stop = _beside(chunks, nodes, worded[0].node, worded[-1].node, start, stop)
     blocks, current = [], []
     for c in chunks[start:stop]:
         if c.kind in ("word", "link"):
