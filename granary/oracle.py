@@ -111,11 +111,15 @@ def income_source(t: str) -> str:
     return case([*pairs, (has(t, words(fixed.INTERNAL_INFLOW_MARKERS)), "'Internal Transfer In'")], "'Other Inflow'")
 
 
-def stats_cte() -> str:
-    """rows: the ledger in twelve accounts by month; full_: account-months whose number is no multiple of seven; done: months in which every card is full."""
-    return f"""with {raw_cte()},
-rows as (select account_kind || '-' || (account_last4::int % 4) as account_key, account_kind, (account_last4::int % 4)::varchar as account_last4, strftime(transaction_date, '%Y-%m') as statement_month, transaction_date, lower(description) as t, description, amount from raw),
-full_ as (select * from rows where (replace(statement_month, '-', '')::int + account_last4::int) % 7 <> 0),
+#: Account-months whose number is no multiple of seven.
+BY_NUMBER = "(replace(statement_month, '-', '')::int + account_last4::int) % 7 <> 0"
+
+
+def stats_cte(full: str = BY_NUMBER, before: str = "") -> str:
+    """rows: the ledger in twelve accounts by month; full_: those of account-months that are full; done: months in which every card is full.  before: more tables that the condition needs."""
+    return f"""with {raw_cte()},{before}
+rows as (select tx_ref // 10 as order_, account_kind || '-' || (account_last4::int % 4) as account_key, account_kind, (account_last4::int % 4)::varchar as account_last4, strftime(transaction_date, '%Y-%m') as statement_month, transaction_date, lower(description) as t, description, amount from raw),
+full_ as (select * from rows where {full}),
 am as (select account_key, account_kind, account_last4, statement_month, count(*) as transaction_count, sum(greatest(amount, 0)) as cash_in, sum(greatest(-amount, 0)) as cash_out, sum(amount) as net_cash_flow, sum(abs(amount)) as absolute_activity from full_ group by all),
 cards as (select * from am where account_kind in ('visa', 'mastercard')),
 cbm as (select statement_month, sum(cash_in) as credit_card_expense, sum(cash_out) as credit_card_payments_credits, sum(net_cash_flow) as net_credit_card_activity, sum(transaction_count)::bigint as credit_card_transactions, count(distinct account_key) as full_credit_card_count from cards group by 1),

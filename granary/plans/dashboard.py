@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import fixed
 from granary.operators.filters import Filters, apply_filters, hard_cash_out, needs_review, true_cash_in
+from granary.sources.storage import written
 
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
@@ -229,8 +230,34 @@ TOP = {"merchant_breakdown": (["merchant"], 12), "treemap_breakdown": (["necessi
 MONTHLY_TOP = {"monthly_merchant_breakdown": (["merchant"], 20), "monthly_treemap_breakdown": (["necessity", "category", "merchant"], 80), "monthly_sunburst_breakdown": (["beneficiary", "category", "merchant"], 100)}
 
 
+def siblings(expense: DataFrame) -> dict[str, DataFrame]:
+    """The datasets of SIMPLE, MONTHLY, TOP and MONTHLY_TOP from one pass over expense: grouping sets, whose sums are written once and split by their grouping id."""
+    keys = {n: k for n, k in SIMPLE.items()} | {n: ["month", *k] for n, k in MONTHLY.items()} | {n: k for n, (k, _) in TOP.items()} | {n: ["month", *k] for n, (k, _) in MONTHLY_TOP.items()}
+    columns = list(dict.fromkeys(c for k in keys.values() for c in k))
+    sets = list(dict.fromkeys(tuple(k) for k in keys.values()))
+    sums = expense.groupingSets([[F.col(c) for c in k] for k in sets], *[F.col(c) for c in columns]).agg(F.sum("expense_amount").alias("value"), F.grouping_id().alias("gs_id"))
+    sums = written(sums, "siblings")
+
+    def one(k: list[str]) -> DataFrame:
+        # a bit for each column that is not grouped by, the first column's the highest; rows with a null key stay out
+        number = sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in k)
+        return sums.where((F.col("gs_id") == number) & ~F.greatest(F.lit(False), *[F.col(c).isNull() for c in k])).select(*k, "value")
+
+    out = {}
+    for n, k in keys.items():
+        df = one(k)
+        if n in TOP or n in SIMPLE:
+            df = df.orderBy(F.desc("value"), *k)
+            df = df.limit(TOP[n][1]) if n in TOP else df
+        elif n in MONTHLY_TOP:
+            w = Window.partitionBy("month").orderBy(F.desc("value"), *k[1:])
+            df = df.withColumn("n", F.row_number().over(w)).where(F.col("n") <= MONTHLY_TOP[n][1]).drop("n")
+        out[n] = df.withColumn("value", money(F.col("value")))
+    return out
+
+
 def dashboard(txn: DataFrame, f: Filters = Filters()) -> dict[str, DataFrame]:
-    """All datasets of the dashboard, each lazy.  Persist txn where several are collected."""
+    """All datasets of the dashboard, each lazy; those that only differ by their keys share one written pass.  Persist txn where several of the others are collected."""
     scope, filtered, expense = frames(txn, f)
     out = {
         "overview": overview(scope, filtered), "filters": filter_values(txn), "daily_expenses": grouped(expense.withColumn("day", F.date_format("transaction_date", "yyyy-MM-dd")), ["day"]).withColumn("value", money(F.col("value"))),
@@ -239,6 +266,4 @@ def dashboard(txn: DataFrame, f: Filters = Filters()) -> dict[str, DataFrame]:
         "matched_transfers": matched_transfers(scope), "unmatched_internal": unmatched_internal(scope), "recent_transactions": recent(filtered), "cash_in_transactions": cash_ledger(filtered, False), "cash_out_transactions": cash_ledger(filtered, True),
         "cash_totals": cash_totals(filtered), "category_review": category_review(filtered), "other_uncategorized": other_uncategorized(scope), "internal_stats": internal_stats(scope),
     }
-    out |= {n: ranked(expense, k) for n, k in SIMPLE.items()} | {n: by_month(expense, k) for n, k in MONTHLY.items()}
-    out |= {n: ranked(expense, k, top) for n, (k, top) in TOP.items()} | {n: by_month(expense, k, top) for n, (k, top) in MONTHLY_TOP.items()}
-    return out
+    return out | siblings(expense)

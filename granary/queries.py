@@ -97,6 +97,21 @@ _add(
     o.over_txn("select o.owner, c.category, coalesce(sum(e.expense_amount), 0)::double as value from (select distinct owner from expense) o cross join (select distinct category from expense) c left join expense e on e.owner = o.owner and e.category = c.category group by 1, 2"),
 )
 
+
+
+def dashboard_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All datasets that only differ by their keys, from one pass."""
+    sets = d.siblings(d.frames(txn(spark, sf_dir), Filters())[2])
+    parts = [df.select(F.lit(n).alias("dataset"), F.concat_ws("|", *df.columns[:-1]).alias("keys"), "value") for n, df in sets.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+_KEYS = {n: k for n, k in d.SIMPLE.items()} | {n: ["month", *k] for n, k in d.MONTHLY.items()} | {n: k for n, (k, _) in d.TOP.items()} | {n: ["month", *k] for n, (k, _) in d.MONTHLY_TOP.items()}
+_add("dashboard_siblings", dashboard_siblings, " union all ".join(f"select '{n}' as dataset, concat_ws('|', {', '.join(k)}) as keys, value from ({ORACLE[n]})" for n, k in _KEYS.items()))
+
 # --- windows over months ---
 _M = ", m as (select month, sum(expense_amount)::double as value from expense group by 1)"
 _add("trend_roll3", _over(lambda a, b, e: d.trailing_mean(d.by_month(e, []))), o.over_txn("select month, value, round(avg(value) over (order by month rows between 2 preceding and current row), 6) as trailing from m where (select count(*) from m) >= 3", _M))
@@ -677,7 +692,7 @@ _add(
 )
 _add(
     "stats_credit_summary", _stat(lambda x: s.credit_summary(x["credit"], x["months"])),
-    _S + ", e as (select count(distinct account_key) as n from cards), f as (select cbm.*, full_credit_card_count = e.n as p from cbm, e) select (select string_agg(distinct account_key, ', ' order by account_key) from cards) as credit_card_accounts, count(*) filter (p) as complete_credit_card_months, coalesce(sum(credit_card_expense) filter (p), 0)::double as total_credit_card_expense_complete_months, (coalesce(sum(credit_card_expense) filter (p), 0) / greatest(1, count(*) filter (p)))::double as avg_monthly_credit_card_expense_complete_months, coalesce(string_agg(statement_month, ', ' order by statement_month) filter (p), '') as months_included, coalesce(string_agg(statement_month, ', ' order by statement_month) filter (not p), '') as months_excluded_as_partial from f",
+    _S + ", e as (select count(distinct account_key) as n from cards), f as (select cbm.*, full_credit_card_count = e.n as p from cbm, e) select (select string_agg(distinct account_key, ', ' order by account_key) from cards) as credit_card_accounts, count(*) filter (p) as complete_credit_card_months, coalesce(sum(credit_card_expense) filter (p), 0)::double as total_credit_card_expense_complete_months, (sign(coalesce(sum(credit_card_expense) filter (p), 0))::int * (((abs(coalesce(sum(credit_card_expense) filter (p), 0)) * 100)::bigint * 2 + greatest(1, count(*) filter (p))) // (2 * greatest(1, count(*) filter (p)))) / 100.0::double)::double as avg_monthly_credit_card_expense_complete_months, coalesce(string_agg(statement_month, ', ' order by statement_month) filter (p), '') as months_included, coalesce(string_agg(statement_month, ', ' order by statement_month) filter (not p), '') as months_excluded_as_partial from f",
 )
 _add(
     "stats_totals", _stat(lambda x: s.totals(x["months"])),
@@ -706,26 +721,30 @@ _add("stats_income_by_source", _stat(lambda x: s.income_by_source(x["inflow"])),
 _add("stats_income_line_items", _stat(lambda x: s.income_line_items(x["inflow"])), _S + "select statement_month, account_key, transaction_date, description, amount::double as amount, income_source, is_internal_inflow from inflow")
 
 
-# --- batch statistics over the calendar: an account-month is full if an order of it reconciles, a month complete if every card is full ---
-_FULL = """account_month account_summary monthly_total credit_expenses_by_month credit_summary totals category_summary category_by_month categorized_line_items
-all_spend_summary all_spend_by_month all_spend_by_source all_spend_line_items all_spend_totals income_by_month income_by_source income_line_items""".split()
+# --- batch statistics by all_stats over the calendar: an account-month is full if an order of it reconciles, a month complete if every card is full ---
+#: The dataset's name, and the query above that has its SQL.
+_FULL = {
+    "account_month": "account_month", "account_summary": "account_summary", "monthly_total": "monthly_total", "credit_expenses_by_month": "credit_by_month", "credit_summary": "credit_summary", "totals": "totals",
+    "category_summary": "category_summary", "all_spend_summary": "spend_summary", "all_spend_by_month": "spend_by_month", "all_spend_by_source": "spend_by_source", "all_spend_line_items": "spend_line_items", "all_spend_totals": "spend_totals",
+    "income_by_month": "income_check", "income_by_source": "income_by_source", "income_line_items": "income_line_items", "category_by_month": None, "categorized_line_items": None,
+}
 
 
 def order_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """account_months of the ledger's accounts, each order a statement that reconcile_totals checks."""
+    """account_months of the twelve accounts, each order a statement that reconcile_totals checks."""
     checked = reconcile_totals(spark, sf_dir).select(F.col("statement_id").alias("order"), "row_count", "ok", "notes")
-    orders = raw_ledger(spark, sf_dir).select(F.floor(F.col("tx_ref") / 10).alias("order"), "account_label", "account_kind", "account_last4", F.date_format("transaction_date", "yyyy-MM").alias("statement_month")).distinct()
-    return coverage.account_months(orders.join(checked, "order").select(
-        F.col("account_label").alias("account_key"), "account_kind", "account_last4", "statement_month", F.col("row_count").alias("extract_row_count"), F.col("ok").alias("reconcile_ok"), F.col("order").cast("string").alias("filename"), "notes",
-    ))
-
-
-def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_ledger(spark, sf_dir).withColumns({"account_key": F.col("account_label"), "statement_month": F.date_format("transaction_date", "yyyy-MM")})
-
-
-for _n in _FULL:
-    _add(f"stats_full_{_n}", lambda spark, sf_dir, n=_n: _dbl(s.all_stats(ledger_rows(spark, sf_dir), order_coverage(spark, sf_dir))[n]))
+    orders = stats_rows(spark, sf_dir).select(F.floor(F.col("tx_ref") / 10).alias("order"), "account_key", "account_kind", "account_last4", "statement_month").distinct()
+    return coverage.account_months(orders.join(checked, "order").select("account_key", "account_kind", "account_last4", "statement_month", F.col("row_count").alias("extract_row_count"), F.col("ok").alias("reconcile_ok"), F.col("order").cast("string").alias("filename"), "notes"))
+
+
+_BY_ORDERS = o.stats_cte("(account_key, statement_month) in (select account_kind || '-' || (account_last4::int % 4), strftime(transaction_date, '%Y-%m') from raw join z on z.statement_id = raw.tx_ref // 10 where z.ok)", f" {_RECONCILE.removeprefix('with ').rstrip()},")
+_CARDS = "from spend where spend_source = 'credit_card'"
+for _n, _like in _FULL.items():
+    _sql = ORACLE[f"stats_{_like}"].removeprefix(_S) if _like else {
+        "category_by_month": f"select statement_month, smart_category as category, sum(expense_amount)::double as expense, count(*) as transaction_count {_CARDS} group by 1, 2",
+        "categorized_line_items": f"select statement_month, account_key, spend_source, transaction_date, description, expense_amount::double as amount, smart_category as category {_CARDS}",
+    }[_n]
+    _add(f"stats_full_{_n}", lambda spark, sf_dir, n=_n: _dbl(s.all_stats(stats_rows(spark, sf_dir), order_coverage(spark, sf_dir))[n]), _BY_ORDERS + _sql)
 
 
 # --- the rebuilt ledger: duplicates removed, transfers paired, pairs labelled; greedy matching in row order is not SQL, the tests hold it against one loop ---
