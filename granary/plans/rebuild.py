@@ -9,6 +9,7 @@ from granary.functions import classify as c
 from granary.functions.text import haystack, money_text, normalize_text, title_case
 from granary.operators.dedupe import keep_first, row_fingerprint
 from granary.operators.overrides import apply_overrides
+from granary.operators.rules import ARRAY_RULES, FIELDS, match_rules
 from granary.operators.transfers import pair_transfers
 from granary.sources.storage import written
 
@@ -36,7 +37,14 @@ def enrich(raw: DataFrame, rules: list[dict[str, str]] | None = None, aliases: l
     # what later expressions use more than once is a column of its own, so that it is evaluated once
     said = said.withColumns({"en_text": F.lower("en_said"), "en_hay": haystack(F.lower("en_said")), "en_name": c.bare_name(F.col("en_said"))})
     said = said.withColumn("merchant", F.coalesce(c.canonical_merchant("en_hay", aliases), F.when(F.col("en_name") != "", title_case(F.col("en_name"))), F.lit("Unknown Merchant")))
-    said = said.withColumn("en_both", F.trim(F.concat_ws(" ", "en_text", F.lower("merchant")))).withColumn("en_found", c.match_rule("en_both", rules))
+    said = said.withColumn("en_both", F.trim(F.concat_ws(" ", "en_text", F.lower("merchant"))))
+    if rules is not None and len(rules) > ARRAY_RULES:
+        listed = raw.sparkSession.createDataFrame([(i, *[r[f] for f in FIELDS]) for i, r in enumerate(rules)], "pos long, keyword string, category string, necessity string, beneficiary string")
+        said = written(said, "descriptions")
+        found = match_rules(said.select("en_both").distinct(), "en_both", listed, "en_found").withColumnRenamed("en_both", "en_key")
+        said = said.join(found, F.col("en_both") == F.col("en_key"), "left").drop("en_key")
+    else:
+        said = said.withColumn("en_found", c.match_rule("en_both", rules))
     said = written(said.select("en_said", "en_text", "merchant", "en_both", "en_found"), "descriptions")
     df = df.join(said, F.col("description") == F.col("en_said")).drop("en_said")
     df = df.withColumn("flow_type", c.flow_type(F.col("en_text"), F.col("amount"), F.col("statement_type")))
