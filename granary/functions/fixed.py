@@ -17,38 +17,38 @@ CATEGORIES = (
 NECESSITIES = ("Auto", "Essential", "Fixed Bills", "Discretionary", "Child & Family", "Business", "Savings & Transfers", "Income", "Refund")
 BENEFICIARIES = ("Auto", "Shared", "Child", "MemberA", "MemberB")
 
-# --- fixed values: category rules, in order: category | necessity | beneficiary: keywords ---
+# --- fixed values: category rules, in order: category, necessity, beneficiary, keywords ---
 CATEGORY_RULES = (
-    ("Groceries | Essential | Shared", (
+    ("Groceries", "Essential", "Shared", (
         "farm boy", "sobeys", "loblaws", "costco", "heeva fine foods", "mellat fine foods", "freshco", "instacart", "act*town", "vicentina", "t&t",
     )),
-    ("Dining & Coffee | Discretionary | Auto", ("starbucks", "mcdonald", "tim hortons", "panera", "pizza", "dominos", "ritual", "what a bagel", "forno cultura")),
-    ("Transportation | Essential | Auto", ("uber", "presto", "407etr", "parking", "bike share")),
-    ("Fuel | Essential | Auto", ("esso", "shell", "petro")),
-    ("Marketplace | Discretionary | Auto", ("amzn", "amazon")),
-    ("Shopping | Discretionary | Auto", ("roots", "marshalls", "winners", "zwilling", "sporting life", "long & mcquade", "staples", "hm", "geox", "arcteryx")),
-    ("Health & Pharmacy | Essential | Shared", ("shoppers drug mart",)),
-    ("Utilities & Bills | Fixed Bills | Shared", ("videotron", "paymentus", "reliance", "hydro", "corporation of", "city of")),
-    ("Mortgage & Loans | Fixed Bills | Shared", ("online banking loan payment", "mortgage payment", "loan payment", "loan interest", "term loan", "mortgage")),
-    ("Housing | Fixed Bills | Shared", ("rent", "property tax")),
-    ("Home | Essential | Shared", ("home depot", "tree valley garden")),
-    ("Travel | Discretionary | Shared", ("flighthub", "emirates", "hotel", "airbnb", "admtoronto")),
-    ("Kids & Family | Child & Family | Child", ("tiger kicks", "space center", "wonderland", "souris mini", "childrens", "brain")),
-    ("Subscriptions | Discretionary | Shared", ("netflix",)),
-    ("Subscriptions | Discretionary | Auto", ("spotify", "audible")),
-    ("Subscriptions | Discretionary | Shared", ("google one",)),
-    ("Subscriptions | Discretionary | Auto", ("apple.com/bill",)),
-    ("Business | Business | MemberB", ("openai", "ownr", "minute book", "envoy business")),
-    ("Fees | Fixed Bills | Auto", ("service fee", "annual fee")),
-    ("Groceries | Essential | Shared", ("walmart", "metro", "food basics", "no frills")),
-    ("Shopping | Discretionary | Auto", ("dollarama",)),
-    ("Dining & Coffee | Discretionary | Auto", ("lcbo", "beer store", "doordash", "skip the dishes", "uber eats")),
-    ("Entertainment | Discretionary | Auto", ("cineplex",)),
-    ("Home | Essential | Shared", ("canadian tire",)),
-    ("Health & Pharmacy | Essential | Shared", ("rexall",)),
-    ("Home | Essential | Shared", ("pet valu",)),
-    ("Shopping | Discretionary | Auto", ("indigo", "sport chek")),
-    ("Business | Business | MemberB", ("mnp",)),
+    ("Dining & Coffee", "Discretionary", "Auto", ("starbucks", "mcdonald", "tim hortons", "panera", "pizza", "dominos", "ritual", "what a bagel", "forno cultura")),
+    ("Transportation", "Essential", "Auto", ("uber", "presto", "407etr", "parking", "bike share")),
+    ("Fuel", "Essential", "Auto", ("esso", "shell", "petro")),
+    ("Marketplace", "Discretionary", "Auto", ("amzn", "amazon")),
+    ("Shopping", "Discretionary", "Auto", ("roots", "marshalls", "winners", "zwilling", "sporting life", "long & mcquade", "staples", "hm", "geox", "arcteryx")),
+    ("Health & Pharmacy", "Essential", "Shared", ("shoppers drug mart",)),
+    ("Utilities & Bills", "Fixed Bills", "Shared", ("videotron", "paymentus", "reliance", "hydro", "corporation of", "city of")),
+    ("Mortgage & Loans", "Fixed Bills", "Shared", ("online banking loan payment", "mortgage payment", "loan payment", "loan interest", "term loan", "mortgage")),
+    ("Housing", "Fixed Bills", "Shared", ("rent", "property tax")),
+    ("Home", "Essential", "Shared", ("home depot", "tree valley garden")),
+    ("Travel", "Discretionary", "Shared", ("flighthub", "emirates", "hotel", "airbnb", "admtoronto")),
+    ("Kids & Family", "Child & Family", "Child", ("tiger kicks", "space center", "wonderland", "souris mini", "childrens", "brain")),
+    ("Subscriptions", "Discretionary", "Shared", ("netflix",)),
+    ("Subscriptions", "Discretionary", "Auto", ("spotify", "audible")),
+    ("Subscriptions", "Discretionary", "Shared", ("google one",)),
+    ("Subscriptions", "Discretionary", "Auto", ("apple.com/bill",)),
+    ("Business", "Business", "MemberB", ("openai", "ownr", "minute book", "envoy business")),
+    ("Fees", "Fixed Bills", "Auto", ("service fee", "annual fee")),
+    ("Groceries", "Essential", "Shared", ("walmart", "metro", "food basics", "no frills")),
+    ("Shopping", "Discretionary", "Auto", ("dollarama",)),
+    ("Dining & Coffee", "Discretionary", "Auto", ("lcbo", "beer store", "doordash", "skip the dishes", "uber eats")),
+    ("Entertainment", "Discretionary", "Auto", ("cineplex",)),
+    ("Home", "Essential", "Shared", ("canadian tire",)),
+    ("Health & Pharmacy", "Essential", "Shared", ("rexall",)),
+    ("Home", "Essential", "Shared", ("pet valu",)),
+    ("Shopping", "Discretionary", "Auto", ("indigo", "sport chek")),
+    ("Business", "Business", "MemberB", ("mnp",)),
 )
 
 # --- fixed values: merchant aliases, in order: label: strings contained ------------
@@ -84,13 +84,13 @@ MERCHANT_ALIASES = (
     ("PayPal", ("paypal *", "paypal")),
 )
 
-# --- fixed values: gateway prefixes (_ stands for a space at the end) -----------------
+# --- fixed values: gateway prefixes -----------------
 GATEWAY_PREFIXES = (
     "purchase ", "point of sale ", "pos ", "debit ", "visa ", "mastercard ", "mc ", "contactless ", "tap ", "recurring ", "preauthorized ", "pre-authorized ",
     "e-commerce ", "ecommerce ", "online payment ", "sq *", "sq*", "tst*", "sp *", "sp*",
 )
 
-# --- fixed values: words that decide how money flows (_ stands for a space at either end) ---
+# --- fixed values: words that decide how money flows ---
 RECEIPT_MARKERS = (
     "e-transfer received", "receive e-transfer", "receive an e-transfer", "receive an interac", "etransfer received", "autodeposit", "auto-deposit", "automatic deposit",
     "deposit from",
@@ -213,27 +213,6 @@ NOT_NAMES = (
 LEDGER_CAP, RECENT_CAP, UNMATCHED_CAP, REVIEW_CAP, OTHER_CAP, MATCHED_CAP, PAGE_CAP = 2500, 80, 25, 100, 25, 35, 200
 
 
-def words(entries: tuple[str, ...]) -> list[str]:
-    """The entries of a list."""
-    return list(entries)
-
-
-def lines(table: tuple[tuple[str, tuple[str, ...]], ...]) -> list[tuple[str, list[str]]]:
-    """The (head, entries) of each row of a table."""
-    return [(head, list(entries)) for head, entries in table]
-
-
-def category_rules() -> list[dict[str, str]]:
-    out = []
-    for head, keywords in lines(CATEGORY_RULES):
-        category, necessity, beneficiary = (x.strip() for x in head.split("|"))
-        out += [{"keyword": k, "category": category, "necessity": necessity, "beneficiary": beneficiary} for k in keywords]
-    return out
-
-
-def merchant_aliases() -> list[tuple[str, str]]:
-    return [(needle, label) for label, needles in lines(MERCHANT_ALIASES) for needle in needles]
-
 # --- fixed values: bank statements: wordings that decide a row's direction, the first that is found; 0: only the balance tells ---
 BANK_SIGNS = (
     (("loan interest",), -1), (("interest charge",), -1), (("online banking transfer",), 0), (("online transfer to deposit",), -1), (("cra-rev",), 1), (("item returned", "nsf"), 1),
@@ -255,3 +234,24 @@ BANK_BOILERPLATE = re.compile(
     r"^(?:\d+\s+of\s+\d+|Page\s+\d+|RBPDA\d|RBPDA\s|Your\s+RBC\s+personal|account\s+statement|From\s+[A-Za-z]+\s+\d|Important\s+information|Never\s+share|Protect\s+your\s+PIN|Here\s+are\s+four|\*[0-9A-Z]{6,}|Royal\s+Bank\s+of\s+Canada|C\.P\.\s+\d+|Montreal\s+QC|"
     r"https?://|Please\s+check|Please\s+retain|Stay\s+Informed|Details\s+of\s+your\s+account\s+activity\s*-\s*continued)", re.I,
 )
+
+
+def words(entries: tuple[str, ...]) -> list[str]:
+    """The entries of a list."""
+    return list(entries)
+
+
+def lines(table: tuple[tuple[str, tuple[str, ...]], ...]) -> list[tuple[str, list[str]]]:
+    """The (head, entries) of each row of a table."""
+    return [(head, list(entries)) for head, entries in table]
+
+
+def category_rules() -> list[dict[str, str]]:
+    out = []
+    for category, necessity, beneficiary, keywords in CATEGORY_RULES:
+        out += [{"keyword": k, "category": category, "necessity": necessity, "beneficiary": beneficiary} for k in keywords]
+    return out
+
+
+def merchant_aliases() -> list[tuple[str, str]]:
+    return [(needle, label) for label, needles in lines(MERCHANT_ALIASES) for needle in needles]
