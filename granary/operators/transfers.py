@@ -20,6 +20,7 @@ are; when few enough are left, they are matched in one task.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -58,27 +59,34 @@ def islands(amounts: DataFrame) -> DataFrame:
     return runs.join(joined, "island", "left").select("cents", F.coalesce("onto", "island").alias("island"))
 
 
+#: What a leg is matched by.
+LEG = ("ingest_pos", "day", "abs_double", "flow", "reference", "account_label", "owner", "hint")
+
+
 def settle(group: pd.DataFrame, second: bool, low: int | None = None, high: int | None = None) -> list[tuple[int, int | None]]:
     """(negative, its positive or None) for the legs of group that are settled, in row order.
 
     Legs of days before low and after high exist but are not in group; without both, all are, and every negative is settled.
     """
     group = group.sort_values("ingest_pos")
-    day, amount, flow = group["day"].tolist(), group["abs_double"].tolist(), group["flow"].tolist()
-    pos, ref, account, owner = group["ingest_pos"].tolist(), group["reference"].tolist(), group["account_label"].tolist(), group["owner"].tolist()
-    hint = group["hint"].tolist()
+    return _settled([group[n].tolist() for n in LEG], second, low, high)
+
+
+def _settled(legs: list[list], second: bool, low: int | None = None, high: int | None = None) -> list[tuple[int, int | None]]:
+    """settle for columns of LEG that are in order."""
+    pos, day, amount, flow, ref, account, owner, hint = legs
     # positives by day: a negative only looks at the days around its own
     by_day: dict[int, list[int]] = defaultdict(list)
     # positives that a smaller unsettled leg may take
     doubtful: set[int] = set()
-    for i in range(len(group)):
+    for i in range(len(pos)):
         if flow[i] > 0:
             by_day[day[i]].append(i)
             if low is not None and day[i] - low < PAIR_DAYS or high is not None and high - day[i] < PAIR_DAYS:
                 doubtful.add(i)
     most = SAME_DAY + SAME_REFERENCE + SAME_OWNER
     out: list[tuple[int, int | None]] = []
-    for i in range(len(group)):
+    for i in range(len(pos)):
         if flow[i] >= 0:
             continue
         if second and amount[i] < SECOND_PASS_LEAST:
@@ -115,6 +123,31 @@ def _matched(group: pd.DataFrame, second: bool, low: int | None = None, high: in
     return pd.DataFrame(settle(group, second, low, high), columns=["neg_pos", "pos_pos"]).astype("Int64")
 
 
+def _parts(second: bool):
+    """The function for legs sorted by part and row order: parts are cut as they stream by, many in one batch."""
+
+    def matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = None, [[] for _ in LEG]
+        for f in frames:
+            out, keys = [], list(zip(f["island"].tolist(), f["span"].tolist()))
+            columns = [f[n].tolist() for n in LEG]
+            start = 0
+            for i in range(len(keys) + 1):
+                if i < len(keys) and keys[i] == part:
+                    continue
+                for kept, new in zip(held, columns):
+                    kept += new[start:i]
+                start = i
+                if i < len(keys):
+                    # another part begins here
+                    out += _settled(held, second)
+                    part, held = keys[i], [[] for _ in LEG]
+            yield pd.DataFrame(out, columns=["neg_pos", "pos_pos"]).astype("Int64")
+        yield pd.DataFrame(_settled(held, second), columns=["neg_pos", "pos_pos"]).astype("Int64")
+
+    return matched
+
+
 def _block(second: bool, days: int, shift: int):
     """The function for the legs of one block of a part, where blocks begin so many days early."""
 
@@ -170,7 +203,8 @@ def _pairs(rows: DataFrame, second: bool, most: int | None = None, days: int | N
     # parts with one sign only have nothing to pair
     keys = written(keys.select("cents", "day", "island").join(spans.where("low < 0 and high > 0").drop("low", "high"), ["island", "day"]), "islands")
     placed = r.join(keys, ["cents", "day"]).drop("cents")
-    small = placed.where(F.col("legs") <= most).groupBy("island", "span").applyInPandas(lambda g: _matched(g, second), PAIRS)
+    sorted_ = placed.where(F.col("legs") <= most).select("island", "span", *LEG).repartition("island", "span").sortWithinPartitions("island", "span", "ingest_pos")
+    small = sorted_.mapInPandas(_parts(second), PAIRS)
     if not keys.where(F.col("legs") > most).isEmpty():
         small = small.unionByName(_in_rounds(written(placed.where(F.col("legs") > most), "open"), second, most, days))
     return small.where("pos_pos is not null")
