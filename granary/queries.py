@@ -20,6 +20,7 @@ from granary.plans import reports
 from granary.plans import stats as s
 from granary.plans.rebuild import enrich, label_internal, rebuild, transaction_key
 from granary.sources import statements
+from granary.sources.files import named
 from granary.sources.settings import Settings
 from granary.sources.storage import once, shared_path
 from granary.sources.testbed import raw_ledger, table
@@ -508,6 +509,26 @@ _add(
     "select 'Credit Line Statement-' || d || ' 2026-01-16-1' as stem, 'Credit Line Statement-' || d || ' 2026-01-16' as logical, 'credit_line' as account_kind, d as account_last4, date '2026-01-16' as statement_date, '2026-01' as statement_month, 'credit_line-' || d as account_key from (select lpad((c_custkey % 10000)::varchar, 4, '0') as d from customer)",
 )
 
+
+
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing as folders would give it: each customer's statement as up to six files, by number, in a drop folder and an upload folder."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0").alias("d"))
+    copy = lambda folder, tail, ext, rest: F.when(F.col("c_custkey") % rest != 0, F.concat(F.lit(f"/{folder}/"), F.col("c_custkey").cast("string"), F.lit(" Visa Statement-"), "d", F.lit(f" 2026-01-16{tail}.{ext}")))
+    paths = F.array(*[copy(*c) for c in COPIES])
+    listed = customers.select(F.explode(F.array_compact(paths)).alias("path"))
+    return listed.withColumns(named(F.col("path"))).withColumn("drop", F.col("path").startswith("/drop/"))
+
+
+#: Folder, copy suffix, extension, and the number whose multiples among customers lack that copy.
+COPIES = (("up", "", "pdf", 2), ("up", "-1", "pdf", 3), ("up", "-10-1", "md", 7), ("drop", "", "md", 5), ("drop", "-1-1-1", "pdf", 11), ("drop", "-2-1", "pdf", 13))
+_COPIES = "with c as (select c_custkey as k, lpad((c_custkey % 10000)::varchar, 4, '0') as d from customer), f as (" + " union all ".join(
+    f"select k, '/{folder}/' || k || ' Visa Statement-' || d || ' 2026-01-16{tail}.{ext}' as path, k || ' Visa Statement-' || d || ' 2026-01-16{tail}' as stem, '{ext}' as ext, {int(folder != 'drop')} as place, {tail.count('-')} as tail from c where k % {rest} <> 0"
+    for folder, tail, ext, rest in COPIES
+) + ") select stem, path, ext from (select *, row_number() over (partition by k order by {place}ext <> 'pdf', tail, stem, path) as n from f) where n = 1"
+_add("chosen_files", lambda spark, sf_dir: statements.unique_statements(_copies(spark, sf_dir)).select("stem", "path", "ext"), _COPIES.format(place="place, "))
+_add("chosen_files_audit", lambda spark, sf_dir: statements.unique_statements(_copies(spark, sf_dir), folders=False).select("stem", "path", "ext"), _COPIES.format(place=""))
+
 # --- statements of four layouts, written from orders, with the totals that they state ---
 
 #: Which layout a customer's statements have: by the customer number's rest modulo four.

@@ -23,7 +23,7 @@ from granary.sources.storage import ranked
 
 # --- fixed values: how files are named and statements worded ---
 STEM = r"(?i)^(Chequing|Visa|MasterCard|Credit Line) Statement-(\d{4}) (\d{4})-(\d{2})-(\d{2})"
-SUFFIXES = r"((?:-\d{1,2})*)$"
+LOGICAL = r"(?i)^(.+Statement-\d{4})\s+(\d{4}-\d{2}-\d{2})(?:-\d+)*$"
 PERIOD_CARD = r"STATEMENT FROM ([A-Z]{3}) (\d{1,2})(?:, (\d{4}))? TO ([A-Z]{3}) (\d{1,2}), (\d{4})"
 PERIOD_BANK = r"From ([A-Z][a-z]+) (\d{1,2}), (\d{4}) to ([A-Z][a-z]+) (\d{1,2}), (\d{4})"
 MONEY = re.compile(r"\(?-?\$?[\d,]+\.\d{2}\)?")
@@ -46,15 +46,19 @@ RAW = (
 
 
 def logical_stem(stem: Column) -> Column:
-    """A file's stem without its copy suffixes (-1, -2-1); the day of its date stays."""
-    return F.regexp_replace(stem, r"^(.*\d{4}-\d{2}-\d{2})(?:-\d{1,2})+$", "$1")
+    """A statement's stem without copy suffixes (-1, -2-1), one space before its date; other stems as they are."""
+    return F.regexp_replace(F.trim(stem), LOGICAL, "$1 $2")
 
 
-def unique_statements(files: DataFrame) -> DataFrame:
-    """Of files (stem, ext, drop: whether in the drop folder) one for each statement: drop folder, PDF, fewest suffixes, stem."""
-    decoded = files.withColumn("stem", url_decode(F.col("stem"))).withColumn("logical", logical_stem(F.lower("stem")))
-    tail = F.length(F.regexp_replace(F.substring("stem", 1, 400), r"^.*\d{4}-\d{2}-\d{2}", ""))
-    w = Window.partitionBy("logical").orderBy(F.col("drop").desc(), F.when(F.lower("ext") == "pdf", 0).otherwise(1), tail, "stem")
+def unique_statements(files: DataFrame, folders: bool = True) -> DataFrame:
+    """Of files (stem, ext, drop: whether in the drop folder) one for each statement: drop folder, PDF, fewest suffixes, stem.
+
+    Without folders, as the audit does it, where a file lies does not count.  What ties in all of these goes by the path, if there is one.
+    """
+    decoded = files.withColumn("stem", url_decode(F.col("stem"))).withColumn("logical", logical_stem(F.col("stem")))
+    suffixes = F.regexp_count(F.regexp_extract("stem", r"\d{4}-\d{2}-\d{2}((?:-\d+)*)$", 1), F.lit("-"))
+    order = [F.when(F.lower("ext") == "pdf", 0).otherwise(1), suffixes, F.col("stem"), *[F.col(c) for c in files.columns if c == "path"]]
+    w = Window.partitionBy("logical").orderBy(*([F.col("drop").desc()] if folders else []), *order)
     return decoded.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "logical")
 
 
@@ -261,12 +265,15 @@ def parse_statement(text: str, start: date | None, end: date | None, name: str =
 
 
 def parse_statements(files: DataFrame) -> DataFrame:
-    """Rows of statements (name, text): schema RAW, in file and line order by (source_file, line_pos)."""
+    """Rows of statements (name, text, and error, if they have it): schema RAW, in file and line order by (source_file, line_pos).
+
+    A statement with an error has not been read, and gives one row that says so.
+    """
     ship(files.sparkSession)
     stem = F.regexp_replace(url_decode(F.col("name")), r"\.[A-Za-z]+$", "")
     start, end = statement_period(F.col("text"))
     meta = statement_meta(stem)
-    ready = files.select(stem.alias("statement_id"), F.col("name").alias("source_file"), F.coalesce("text", F.lit("")).alias("text"), start.alias("s"), F.coalesce(end, meta["statement_date"]).alias("e"), F.coalesce(meta["account_last4"], F.lit("unknown")).alias("last4"), F.lower("name").endswith(".md").alias("md"))
+    ready = files.select(stem.alias("statement_id"), F.col("name").alias("source_file"), F.coalesce("text", F.lit("")).alias("text"), start.alias("s"), F.coalesce(end, meta["statement_date"]).alias("e"), F.coalesce(meta["account_last4"], F.lit("unknown")).alias("last4"), F.lower("name").endswith(".md").alias("md"), (F.col("error") if "error" in files.columns else F.lit(None).cast("string")).alias("unread"))
     names = [c.split()[0] for c in RAW.split(", ")]
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,6 +283,9 @@ def parse_statements(files: DataFrame) -> DataFrame:
                 names_ = holders(r.text)
                 who = {"owner": names_[0] if names_ else "Household", "role": "Holder", "household": " & ".join(names_[:2]) or "Household"}
                 base = {"statement_id": r.statement_id, "source_file": r.source_file, "source_kind": "markdown" if r.md else "pdf_text", **who, "statement_start": r.s, "statement_end": r.e, "error": None}
+                if isinstance(r.unread, str):
+                    out.append(base | {"error": r.unread})
+                    continue
                 try:
                     kind, rows = parse_statement(r.text, r.s if isinstance(r.s, date) else None, r.e if isinstance(r.e, date) else None, r.statement_id)
                     for x in rows:
