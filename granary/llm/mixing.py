@@ -1,7 +1,7 @@
 """Mixing sources to target weights, by Efraimidis-Spirakis sampling.
 
 Each document gets the exponential key -ln(u) / quality, where u is a hash of
-its id: taking documents in the order of their keys draws them without
+its id and its text, so that rows without an id, or of one id, spread over the buckets all the same: taking documents in the order of their keys draws them without
 replacement with chances in proportion to their quality.  Within a source the
 documents are sorted by key and their sizes prefix-summed; whole epochs of a
 source come first, and the prefix that fits what is left of its token budget
@@ -16,7 +16,7 @@ The windows over one source's buckets and over the sources see one row for
 some 2,000 documents and one for each source.
 
 Defined results: a null text has size 0; a null source is a source of its own
-and the last in order; a null id hashes as ``null``; repeated rows tie and are
+and the last in order; a null id hashes as ``null``, beside its text; rows that repeat both id and text tie, lie in one bucket and are
 drawn one after the other; a quality that is null or not positive counts as
 ``DEFAULT_QUALITY``; an empty table gives no rows.  A budget ends inside a document
 where needed: of that one only the first words are taken the last time; long texts are counted whole; other columns,
@@ -47,8 +47,8 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _key(doc_id: Column, quality: Column, seed: str) -> Column:
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double")
+def _key(doc_id: Column, text_hash: Column, quality: Column, seed: str) -> Column:
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), text_hash)), 1, 13), 16, 10).cast("double")
     return -F.log((bits + 0.5) / F.lit(2.0**52)) / quality
 
 
@@ -98,7 +98,7 @@ def mix(
 
 
 def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: DataFrame | None, weights, share: float, cap: float, seed: str, size: Column | None) -> DataFrame:
-    sized = docs.select(F.col(id_col).alias("mx_id"), F.col(source_col).cast("string").alias("mx_source"), (word_count(F.col(text_col)) if size is None else size).alias("mx_size"))
+    sized = docs.select(F.col(id_col).alias("mx_id"), F.col(source_col).cast("string").alias("mx_source"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("mx_text"), (word_count(F.col(text_col)) if size is None else size).alias("mx_size"))
     sized = materialise(sized, "mix-sizes")
     targets = materialise(source_targets(sized, weights, share, cap), "mix-sources")
     if quality is None:
@@ -107,7 +107,7 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality:
         q = quality.select(F.col(id_col).alias("mx_id"), F.col("quality").cast("double").alias("mx_q"))
         drawn = sized.join(q, "mx_id", "left").withColumn("mx_q", F.when(F.col("mx_q") > 0, F.col("mx_q")).otherwise(F.lit(DEFAULT_QUALITY)))
     same = F.col("mx_source").eqNullSafe(F.col("t_source"))
-    drawn = drawn.withColumn("mx_key", _key(F.col("mx_id"), F.col("mx_q"), seed))
+    drawn = drawn.withColumn("mx_key", _key(F.col("mx_id"), F.col("mx_text"), F.col("mx_q"), seed)).drop("mx_text")
     top = (CLASSES - 1) // 8
     drawn = drawn.withColumn("mx_class", F.pow(F.lit(2.0), F.least(F.lit(float(top)), F.greatest(F.lit(float(-top)), F.round(F.log2("mx_q") * 4) / 4))))
     drawn = materialise(drawn, "mix-keys")
@@ -158,7 +158,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 with sized as (
-  select doc_id, source, case when text is null then 0 else len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) end::bigint as size from documents),
+  select doc_id, source, md5(coalesce(text, '')) as hash, case when text is null then 0 else len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) end::bigint as size from documents),
 q as (select doc_id, avg(case quality when 1 then 1.0::double when 0 then 0.25::double end) as qw from labels where doc_id is not null group by doc_id),
 per as (select source, sum(size)::bigint as source_size, count(*) as n from sized group by source),
 w as (select *, case ((row_number() over (order by source asc nulls last)) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as w from per),
@@ -169,7 +169,7 @@ f as (select *, (select level from l where level <= ratio order by ratio, level
 t as (select source, source_size, case when final is null then cap else least(cap, final * w) end as target from f),
 k as (
   select s.doc_id, s.source, s.size, t.source_size, t.target,
-    -ln((('0x' || substr(md5('mix-1:' || coalesce(s.doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double)
+    -ln((('0x' || substr(md5('mix-1:' || coalesce(s.doc_id::varchar, 'null') || ':' || s.hash), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double)
       / (case when q.qw > 0 then q.qw else 0.5::double end) as k
   from sized s join t on s.source is not distinct from t.source left join q on s.doc_id = q.doc_id),
 p as (

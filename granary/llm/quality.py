@@ -10,7 +10,8 @@ shrunk to the level above: path to site, site to the global rate.  The strength
 is estimated from all documents by moments: the less sites (paths) differ beyond
 chance, the more rows it takes to leave the prior, so that a sparse site stays
 near it.  A document's posterior log-odds are its own plus the difference
-between its path's (without its own share) and the global log-odds.
+between its path's and the global log-odds, both without its own share at every level,
+so that in a site of its own it keeps what it says itself.
 
 Only sums are grouped, with partial aggregation; rates join back to rows without texts.
 
@@ -20,7 +21,9 @@ language as its path.
 Defined results: null texts count as empty; null sites and paths are sites and
 paths of their own; labels other than 0 and 1 are ignored, and of several for one
 document the smallest counts; without labels of both kinds all probabilities are the share of
-good labels (0.5 without any); an empty table gives no rows.
+good labels (0.5 without any); an empty table gives no rows.  Rows that repeat an id are rated each by its
+own text; texts of any length are read whole; rows of equal hash at the end of the sample go by their id, and of a labelled id that repeats any
+one text is fitted on; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -115,7 +118,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     marks = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    half = lambda q: marks.where(F.col("quality") == q).orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(rows // 2)
+    half = lambda q: marks.where(F.col("quality") == q).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(rows // 2)
     some = materialise(half(0).unionByName(half(1)), "quality-train")
     share = marks.agg(F.avg("quality")).first()[0]
 
@@ -140,7 +143,7 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, parent: Column) -> Column:
+def _strength(parent: Column) -> Column:
     """Prior rows by moments over groups (n, s): rate variance beyond chance gives the beta prior's strength."""
     rate = F.col("s") / F.col("n")
     n, m = F.sum("n"), F.sum("s") / F.sum("n")
@@ -151,23 +154,27 @@ def _strength(groups: DataFrame, parent: Column) -> Column:
 
 
 def posterior(evidence: DataFrame, keep: float = KEEP) -> DataFrame:
-    """evidence: rows with site, path and p; adds site_rate, path_rate, quality and keep."""
+    """evidence: rows with site, path and p; adds site_rate, path_rate, quality and keep.
+
+    Each row's rates are those of the other rows: its own share is taken out of its path, its site and the whole.
+    """
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     paths = materialise(evidence.groupBy(F.col("site").alias("t_site"), F.col("path").alias("t_path")).agg(F.count("*").alias("n"), F.sum("p").alias("s")), "quality-paths")
-    sites = paths.groupBy(F.col("t_site").alias("u_site")).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    total = sites.agg(F.coalesce(F.sum("s") / F.sum("n"), F.lit(0.5)).alias("rate"))
+    sites = materialise(paths.groupBy(F.col("t_site").alias("u_site")).agg(F.sum("n").alias("site_n"), F.sum("s").alias("site_s")), "quality-sites")
     # single rows
-    rate = total.first()[0]
-    k_site = sites.agg(_strength(sites, F.lit(rate))).first()[0] or 1.0
-    sites = sites.select("u_site", ((F.col("s") + F.lit(k_site) * F.lit(rate)) / (F.col("n") + F.lit(k_site))).alias("site_rate"))
-    sites = materialise(sites, "quality-sites")
-    joined = paths.join(sites, same("t_site", "u_site")).drop("u_site")
-    k_path = joined.agg(_strength(joined, F.col("site_rate"))).first()[0] or 1.0
-    joined = materialise(joined, "quality-rates")
+    rows, whole = sites.agg(F.sum("site_n"), F.sum("site_s")).first()
+    rate = whole / rows if rows else 0.5
+    k_site = sites.select(F.col("site_n").alias("n"), F.col("site_s").alias("s")).agg(_strength(F.lit(rate))).first()[0] or 1.0
+    joined = materialise(paths.join(sites, same("t_site", "u_site")).drop("u_site"), "quality-rates")
+    shrunk = (F.col("site_s") + F.lit(k_site) * F.lit(rate)) / (F.col("site_n") + F.lit(k_site))
+    k_path = joined.agg(_strength(shrunk)).first()[0] or 1.0
     got = evidence.join(joined, same("site", "t_site") & same("path", "t_path"))
-    others = (F.col("s") - F.col("p") + F.lit(k_path) * F.col("site_rate")) / (F.col("n") - 1 + F.lit(k_path))
-    got = got.withColumn("path_rate", others).withColumn("quality", 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(F.col("path_rate")) - _logit(F.lit(rate))))))
-    return got.withColumn("keep", F.col("quality") >= keep).drop("t_site", "t_path", "n", "s")
+    own = F.col("p")
+    base = (F.lit(whole) - own) / F.lit(rows - 1) if rows and rows > 1 else F.lit(0.5)
+    got = got.withColumn("qb_base", base).withColumn("site_rate", (F.col("site_s") - own + F.lit(k_site) * F.col("qb_base")) / (F.col("site_n") - 1 + F.lit(k_site)))
+    got = got.withColumn("path_rate", (F.col("s") - own + F.lit(k_path) * F.col("site_rate")) / (F.col("n") - 1 + F.lit(k_path)))
+    got = got.withColumn("quality", 1 / (1 + F.exp(-(_logit(own) + _logit(F.col("path_rate")) - _logit(F.col("qb_base"))))))
+    return got.withColumn("keep", F.col("quality") >= keep).drop("t_site", "t_path", "n", "s", "site_n", "site_s", "qb_base")
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, site: str = "source", path: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
