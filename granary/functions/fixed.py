@@ -210,6 +210,8 @@ NOT_NAMES = (
     "SIGNATURE RBC REWARDS VISA", "CONTACT US", "IMPORTANT INFORMATION", "CALCULATING YOUR BALANCE", "RBC ROYAL BANK", "CREDIT CARD PAYMENT CENTRE", "PAYMENTS & INTEREST RATES",
     "AVION POINTS", "STAY SAFE FROM FRAUD & SCAMS",
 )
+#: How many accounts of a kind should have a statement in a month, where the settings say nothing else.
+EXPECTED_ACCOUNTS = {"chequing": 4, "visa": 1, "mastercard": 1}
 LEDGER_CAP, RECENT_CAP, UNMATCHED_CAP, REVIEW_CAP, OTHER_CAP, MATCHED_CAP, PAGE_CAP = 2500, 80, 25, 100, 25, 35, 200
 
 

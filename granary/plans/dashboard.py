@@ -256,8 +256,20 @@ def siblings(expense: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
-def dashboard(txn: DataFrame, f: Filters = Filters()) -> dict[str, DataFrame]:
-    """All datasets of the dashboard, each lazy; those that only differ by their keys share one written pass.  Persist txn where several of the others are collected."""
+def internal_review(scope: DataFrame) -> dict[str, DataFrame]:
+    """What a reader of the pairing looks at: its counts, the first pairs, the latest candidates without a partner, and what no rule names."""
+    return {
+        "internal_review_stats": internal_stats(scope), "internal_review_matched": matched_transfers(scope).limit(fixed.MATCHED_CAP),
+        "internal_review_unmatched": unmatched_internal(scope), "internal_review_other": other_uncategorized(scope),
+    }
+
+
+def dashboard(txn: DataFrame, f: Filters = Filters(), coverage: DataFrame | None = None, reconciled: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All datasets of the dashboard, each lazy; those that only differ by their keys share one written pass.  Persist txn where several of the others are collected.
+
+    coverage: months held against expectations (sources.files.statement_coverage).  reconciled: an audit's statement_reconciliation.  With them the dashboard
+    has statement_coverage, in order of months, and statement_totals_check.
+    """
     scope, filtered, expense = frames(txn, f)
     out = {
         "overview": overview(scope, filtered), "filters": filter_values(txn), "daily_expenses": grouped(expense.withColumn("day", F.date_format("transaction_date", "yyyy-MM-dd")), ["day"]).withColumn("value", money(F.col("value"))),
@@ -266,4 +278,8 @@ def dashboard(txn: DataFrame, f: Filters = Filters()) -> dict[str, DataFrame]:
         "matched_transfers": matched_transfers(scope), "unmatched_internal": unmatched_internal(scope), "recent_transactions": recent(filtered), "cash_in_transactions": cash_ledger(filtered, False), "cash_out_transactions": cash_ledger(filtered, True),
         "cash_totals": cash_totals(filtered), "category_review": category_review(filtered), "other_uncategorized": other_uncategorized(scope), "internal_stats": internal_stats(scope),
     }
-    return out | siblings(expense)
+    if coverage is not None:
+        out["statement_coverage"] = coverage.orderBy("month")
+    if reconciled is not None:
+        out["statement_totals_check"] = reconciled.agg(F.count_if("reconcile_ok").alias("ok_count"), F.count("*").alias("file_count"))
+    return out | internal_review(scope) | siblings(expense)

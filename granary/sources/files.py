@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.text import url_decode
+from granary.operators.coverage import expectations
 from granary.shipping import ship
 from granary.sources.settings import _at
-from granary.sources.statements import parse_statements, unique_statements
+from granary.sources.statements import parse_statements, statement_meta, unique_statements
 
 SUFFIXES = ("pdf", "md", "txt")
 LISTED = "path string, length long, root int"
@@ -93,3 +94,11 @@ def read_statements(chosen: DataFrame) -> DataFrame:
 def statements_in(spark: SparkSession, *roots: str, folders: bool = True) -> DataFrame:
     """Parsed rows of the one file that counts for each statement; folders: whether the first root goes before the others."""
     return parse_statements(read_statements(unique_statements(list_statements(spark, *roots), folders=folders)))
+
+
+def statement_coverage(listed: DataFrame, counts: dict[str, int] | None = None, exact: dict[str, list[str]] | None = None) -> DataFrame:
+    """Each month's statements of a listing, one file for each, held against the accounts that are expected; names that are no statement's are left out."""
+    chosen = unique_statements(listed)
+    meta = statement_meta(F.col("stem"))
+    rows = chosen.select("stem", meta["statement_month"].alias("month"), meta["account_kind"].alias("kind"), meta["account_last4"].alias("last4"))
+    return expectations(rows.where("kind <> 'unknown' and month is not null"), counts, exact)

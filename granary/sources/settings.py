@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.functions import fixed
+from granary.operators.coverage import KINDS
 from granary.operators.overrides import valid_rules
 from granary.sources.schemas import CATEGORY_RULE, OVERRIDE
 
@@ -104,6 +105,15 @@ class Settings:
         write_text(self.spark, self._next("aliases", ".json"), json.dumps([{"contains": a, "label": b} for a, b in saved], indent=2))
         return saved
 
+    def load_expectations(self) -> tuple[dict[str, int], dict[str, list[str]]]:
+        """Expected numbers of accounts, and exact lists of last digits, by kind; what the file does not name is as by default."""
+        return valid_expectations(self._load("expectations", {}))
+
+    def save_expectations(self, counts: dict[str, int | None], exact: dict[str, list[str] | None]) -> tuple[dict[str, int], dict[str, list[str]]]:
+        raw = {f"expected_{k}_count": n for k, n in counts.items()} | {f"{k}_last4_exact": v for k, v in exact.items()}
+        write_text(self.spark, self._next("expectations", ".json"), json.dumps(raw, indent=2))
+        return valid_expectations(raw)
+
     def load_overrides(self) -> DataFrame:
         """tx_key and targets, a table: there may be many."""
         path = self._newest("overrides")
@@ -133,6 +143,19 @@ def valid_aliases(raw) -> list[tuple[str, str]]:
     return [(clean(r.get("contains")).lower(), clean(r.get("label"))) for r in (raw if isinstance(raw, list) else []) if isinstance(r, dict) and clean(r.get("contains")) and clean(r.get("label"))]
 
 
+def valid_expectations(raw) -> tuple[dict[str, int], dict[str, list[str]]]:
+    """(counts, exact) by kind of an object with expected_<kind>_count and <kind>_last4_exact; null says that nothing is expected, other values count as absent."""
+    raw = raw if isinstance(raw, dict) else {}
+    counts, exact = dict(fixed.EXPECTED_ACCOUNTS), {}
+    for kind in KINDS:
+        n, digits = raw.get(f"expected_{kind}_count", ""), raw.get(f"{kind}_last4_exact")
+        if n is None or isinstance(n, int) and not isinstance(n, bool):
+            counts[kind] = n
+        if isinstance(digits, list):
+            exact[kind] = [str(d) for d in digits]
+    return {k: n for k, n in counts.items() if n is not None}, exact
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Every value quoted, quotes doubled."""
     df.write.mode("overwrite").option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path)

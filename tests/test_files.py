@@ -69,3 +69,35 @@ def test_no_roots_and_empty_ones(spark, tmp_path):
 def test_logical_stems(spark):
     got = spark.createDataFrame([("Credit Line  Statement-1111   2026-01-16-123-4 ",), ("chequing statement-1111 2026-01-16",), ("other 2026-01-16-1",)], "x string").select(s.logical_stem(F.col("x"))).collect()
     assert [r[0] for r in got] == ["Credit Line  Statement-1111 2026-01-16", "chequing statement-1111 2026-01-16", "other 2026-01-16-1"]
+
+
+def test_expectations_are_kept_and_held_against_a_listing(spark, tmp_path):
+    from granary.sources.settings import Settings, write_text
+
+    kept = Settings(spark, f"file://{tmp_path}/settings")
+    assert kept.load_expectations() == ({"chequing": 4, "visa": 1, "mastercard": 1}, {})
+    write_text(spark, f"file://{tmp_path}/settings/expectations-000001.json", "[broken")
+    assert kept.load_expectations() == ({"chequing": 4, "visa": 1, "mastercard": 1}, {})
+    assert kept.save_expectations({"chequing": None, "visa": 2}, {"mastercard": ["3333"]}) == kept.load_expectations() == ({"visa": 2, "mastercard": 1}, {"mastercard": ["3333"]})
+    names = ["Visa Statement-1111 2026-01-08", "Visa Statement-1111 2026-01-08-1", "Visa Statement-2222 2026-01-09", "MasterCard Statement-3333 2026-01-10", "MasterCard Statement-4444 2026-02-10", "notes"]
+    listed = spark.createDataFrame([(n, "pdf", True) for n in names], "stem string, ext string, drop boolean")
+    got = {r["month"]: r for r in fi.statement_coverage(listed, *kept.load_expectations()).collect()}
+    assert got["2026-01"]["ok"] and got["2026-01"]["pdf_count"] == 3 and got["2026-01"]["visa"] == ["1111", "2222"]
+    assert not got["2026-02"]["ok"] and "visa: expected 2 accounts, found 0" in got["2026-02"]["issues"] and "mastercard: expected 3333, found 4444" in got["2026-02"]["issues"]
+
+
+def test_the_dashboard_shows_coverage_and_totals(spark):
+    from granary.plans import audit_job, dashboard
+    from granary.queries import facts, statement_files
+
+    sf = "/root/testdata/sf0.001"
+    texts = statement_files(spark, sf).where("name like '%-000%'").select("name", "text")
+    listed = texts.select("name").withColumns(fi.named(F.regexp_replace("name", r"(-12-31) .*(\.)", "$1$2"))).withColumn("drop", F.lit(True))
+    reconciled = audit_job.run_audit(texts)[0]["statement_reconciliation"]
+    out = dashboard.dashboard(facts(spark, sf), coverage=fi.statement_coverage(listed), reconciled=reconciled)
+    months = [r["month"] for r in out["statement_coverage"].collect()]
+    assert months and months == sorted(set(months)) and all(m.endswith("-12") for m in months)
+    check = out["statement_totals_check"].first()
+    assert check["file_count"] == texts.count() and 0 < check["ok_count"] <= check["file_count"]
+    assert out["internal_review_matched"].collect() == out["matched_transfers"].collect()[:35]
+    assert out["internal_review_unmatched"].collect() == out["unmatched_internal"].collect() and out["internal_review_stats"].count() == 1
