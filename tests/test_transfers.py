@@ -92,3 +92,58 @@ def test_numbers_follow_the_negative_legs(spark):
     assert got == [f"match-{i:04d}" for i in range(1, len(got) + 1)]
     more = tr._numbered(pairs, pairs).orderBy("neg_pos").first()
     assert more["match_id"] == f"match-{len(got) + 1}"
+
+
+class Counted(str):
+    """A name that counts how often it is compared."""
+
+    seen = 0
+    __hash__ = str.__hash__
+
+    def __eq__(self, other):
+        Counted.seen += 1
+        return str.__eq__(self, other)
+
+
+def test_work_is_in_proportion_to_the_legs_of_an_amount_and_a_day():
+    """Comparisons for a leg stay the same where ten times as many share amount and days (before, they were ten times as many)."""
+    rng, each = random.Random(9), []
+    for n in (400, 4000):
+        legs = [(i, rng.randrange(5), 100.0, 100.0 if i % 2 else -100.0, "", Counted(f"a{rng.randrange(50)}"), Counted("o"), True) for i in range(n)]
+        Counted.seen = 0
+        assert len(tr._settled([list(x) for x in zip(*legs)], True)) == n // 2
+        each.append(Counted.seen / n)
+    assert each[1] < 2 * each[0] + 20
+
+
+def test_keys_give_the_best_of_all_candidates():
+    """Both passes with references, owners, hints, near cents and crowded accounts against a look at every candidate; blocks settle nothing else."""
+
+    def every(legs, second):
+        taken, out = set(), {}
+        for n in (x for x in legs if x[3] < 0):
+            if second and n[2] < 5:
+                out[n[0]] = None
+                continue
+            ways = []
+            for p in (x for x in legs if x[3] > 0 and x[0] not in taken):
+                days, same = abs(p[1] - n[1]), p[5] == n[5]
+                if days <= 7 and abs(p[2] - n[2]) <= 0.01 and not (second and (same or not (p[7] or n[7]))):
+                    ways.append((-(100 - 10 * days + (35 if n[4] and n[4] == p[4] else 0) - (25 if same else 0) + (5 if n[6] == p[6] else 0)), p[0]))
+            out[n[0]] = min(ways)[1] if ways else None
+            taken.add(out[n[0]])
+        return out
+
+    for seed in range(120):
+        rng = random.Random(seed)
+        days, accounts, share = rng.choice([1, 6, 60]), rng.choice([1, 2, 9]), rng.choice([0, 0.2, 1])
+        legs = []
+        for i in range(rng.choice([10, 150])):
+            amount = rng.choice([4.99, 5.0, 5.01, 100.0])
+            legs.append((i, rng.randrange(days), amount, amount * rng.choice([1, -1]), rng.choice(["", "r1", "r2"]), f"a{rng.randrange(accounts)}", f"o{rng.randrange(3)}", rng.random() < share))
+        for second in (False, True):
+            want = every(legs, second)
+            assert dict(tr._settled([list(x) for x in zip(*legs)], second)) == want
+            seen = [x for x in legs if 10 <= x[1] < 50]
+            if seen:
+                assert all(want[n] == p for n, p in tr._settled([list(x) for x in zip(*seen)], second, 10, 49))
