@@ -64,6 +64,28 @@ def test_only_touched_months_are_rewritten(spark, tmp_path, settings):
     assert facts.apply_corrections(spark, path, settings, items(spark)) == []
 
 
+def test_months_that_hold_the_corrections_are_not_written_again(spark, tmp_path, settings):
+    path = f"file://{tmp_path}/facts"
+    table = rebuild(ordered_ledger(spark, SF).where("account_label < 'acct-0030'"), full_html=False)
+    facts.write_facts(table, path)
+    files = lambda: sorted((str(p), p.stat().st_mtime_ns) for p in (tmp_path / "facts").rglob("*.parquet"))
+    rows = [(r["tx_key"], r["month"]) for r in facts.read_facts(spark, path).where("match_id = ''").orderBy("tx_key").limit(40).collect()]
+    one, two = rows[0], next(r for r in rows if r[1] != rows[0][1])
+    ask = lambda *keys: facts.apply_corrections(spark, path, settings, items(spark, *[(i, k, "Travel", None, None, False, None) for i, k in enumerate(keys)]))
+    travels = lambda: {r["tx_key"] for r in facts.read_facts(spark, path).where("category_source = 'override'").collect()}
+    assert ask(one[0]) == [one[1]]
+    held = files()
+    assert ask(one[0]) == [one[1]] and files() == held and len(list((tmp_path / "settings").glob("overrides-*"))) == 1
+    # other settings or files, or a broken note, and the month is written again
+    assert ask(two[0], one[0]) == sorted([one[1], two[1]]) and travels() == {one[0], two[0]}
+    facts.write_facts(table, path)
+    assert not travels() and ask(one[0]) == [one[1]] and travels() == {one[0]}
+    assert ask(two[0]) == [two[1]] and travels() == {one[0], two[0]}
+    held = files()
+    write_text(spark, f"{path}-corrected.json", "[ broken")
+    assert ask(one[0]) == [one[1]] and files() != held and travels() == {one[0], two[0]}
+
+
 def test_rows_without_dates_and_old_columns(spark, tmp_path):
     path = f"file://{tmp_path}/old"
     old = spark.createDataFrame([("s", "1", None, "a", "", 1.5, "own"), ("s", "1", None, "a", "", 1.5, "own"), ("s", "2", None, "b", None, 2.0, "own")], "statement_id string, account_last4 string, transaction_date date, description string, reference string, amount double, extra string")
