@@ -12,3 +12,15 @@ def test_tables_are_written_in_methods_that_are_compiled(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, p, *a, **k: (seen.append(spark.conf.get(name)), made(self, p, *a, **k))[1])
     storage.written(spark.range(3), "huge")
     assert seen == ["8000"] and spark.conf.get(name) == was
+
+
+def test_copies_are_dealt_out_before_they_are_sorted(spark):
+    from granary.sources.statements import unique_statements
+
+    files = storage.written(spark.createDataFrame([("1 Visa Statement-0001 2026-01-16", "pdf", True, "/drop/a"), ("1 Visa Statement-0001 2026-01-16-1", "md", False, "/up/b")], "stem string, ext string, drop boolean, path string"), "copies")
+    got = unique_statements(files)
+    assert [r["path"] for r in got.collect()] == ["/drop/a"]
+    # a plan is printed from its end to the scan
+    below = got._jdf.queryExecution().sparkPlan().toString()
+    full = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Window" in below and full.rindex("Exchange hashpartitioning(logical") > full.rindex("Sort [")
