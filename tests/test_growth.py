@@ -1,8 +1,31 @@
 """Steps whose cost has to grow no faster than the ledger."""
 
+from pyspark.sql import functions as F
+
+from granary.operators import dedupe
+from granary.operators.dedupe import keep_first, without_repeats
 from granary.sources import storage
 
 
+def _rows(spark):
+    rows = spark.range(4000).select(F.col("id").alias("ingest_pos"), F.concat(F.lit("k"), (F.col("id") * 7 % 3900).cast("string")).alias("key"), F.lit("x" * 50).alias("wide"))
+    return storage.written(rows, "growth")
+
+
+def test_repeats_go_as_with_a_window_over_whole_rows(spark, monkeypatch):
+    rows = _rows(spark)
+    want = sorted(r["ingest_pos"] for r in keep_first(rows, ["key"]).collect())
+    assert len(want) == 3900
+    for many in (10, dedupe.MANY):
+        monkeypatch.setattr(dedupe, "MANY", many)
+        assert sorted(r["ingest_pos"] for r in without_repeats(rows, F.col("key")).collect()) == want
+
+
+def test_whole_rows_are_not_dealt_out_for_a_few_repeats(spark):
+    plan = without_repeats(_rows(spark), F.col("key"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_tables_are_written_in_methods_that_are_compiled(spark, monkeypatch):
     name, seen = "spark.sql.codegen.hugeMethodLimit", []
     was, path = spark.conf.get(name), storage.shared_path
