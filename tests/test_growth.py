@@ -47,3 +47,41 @@ def test_copies_are_dealt_out_before_they_are_sorted(spark):
     below = got._jdf.queryExecution().sparkPlan().toString()
     full = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert "Window" in below and full.rindex("Exchange hashpartitioning(logical") > full.rindex("Sort [")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+
+
+def test_statistics_look_up_wording_once_for_each_description(spark):
+    from granary import queries as q
+    from conftest import SF
+
+    for name in ("stats_full_all_spend_line_items", "stats_spend_totals", "stats_full_income_line_items"):
+        plan = _plan(q.QUERIES[name](spark, SF))
+        assert "Contains(" not in plan and "contains(" not in plan.lower(), name
+        # the calendar and the account-months are on disk: rows meet them without being dealt out
+        assert "SortMergeJoin" not in plan, name
+
+
+def test_wording_of_no_description_and_of_one_with_no_group(spark):
+    from granary.plans import stats
+
+    rows = spark.createDataFrame([("a", "chequing", "2024-01", None, -5.0), ("a", "chequing", "2024-01", "zzz", -7.0), ("b", "visa", "2024-01", None, 3.0)], "account_key string, account_kind string, statement_month string, description string, amount double")
+    months = spark.createDataFrame([("2024-01",)], "statement_month string")
+    got = stats.spend_rows(rows, months, stats.wording(rows)).select("account_kind", "description", "expense_amount", "smart_category").collect()
+    # rows without a description find their wording too
+    assert sorted((r["account_kind"], r["expense_amount"]) for r in got) == [("chequing", 5.0), ("chequing", 7.0), ("visa", 3.0)]
+    assert {r["smart_category"] for r in got} == {"Other / Review"}
+
+
+def test_calendars_and_stated_totals_read_the_ledger_without_sorting_it(spark):
+    from granary import queries as q
+    from granary.operators import coverage
+    from conftest import SF
+
+    assert "SortAggregate(key=[account_key" not in _plan(q.stats_coverage(q.stats_rows(spark, SF))).split("Exchange hashpartitioning(account_key")[-1]
+    known = storage.written(spark.range(50).select(F.concat(F.lit("a"), F.col("id") % 3).alias("account_key"), F.lit("visa").alias("account_kind"), F.lit("1").alias("account_last4"), F.lit("2024-01").alias("statement_month"), F.lit(1).alias("extract_row_count"), F.lit(True).alias("reconcile_ok"), F.lit("f").alias("filename"), F.lit("").alias("notes")), "known")
+    least = _plan(coverage.account_months(known).select("account_key", "account_kind"))
+    assert "HashAggregate(keys=[account_key#" in least and "account_kind#" in least.split("HashAggregate(keys=[account_key#")[1].split("]")[0]
+    assert _plan(q.reconcile_totals(spark, SF)).count("lineitem.parquet") == 1
