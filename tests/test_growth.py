@@ -85,3 +85,26 @@ def test_calendars_and_stated_totals_read_the_ledger_without_sorting_it(spark):
     least = _plan(coverage.account_months(known).select("account_key", "account_kind"))
     assert "HashAggregate(keys=[account_key#" in least and "account_kind#" in least.split("HashAggregate(keys=[account_key#")[1].split("]")[0]
     assert _plan(q.reconcile_totals(spark, SF)).count("lineitem.parquet") == 1
+
+
+def test_the_audit_joins_each_file_once_and_makes_its_texts_once(spark, monkeypatch):
+    from granary.plans import audit_job
+    from granary.sources.statements import statement_meta
+
+    made = []
+    monkeypatch.setattr(audit_job, "written", lambda df, name: made.append(name) or storage.written(df, name))
+    card = "STATEMENT FROM JAN 01, 2020 TO JAN 31, 2020\nPurchases & debits $2.00\nPayments & credits -$0.00\nJAN 02 JAN 02 SHOP\n$2.00\n" + " " * 60
+    name = "Visa Statement-0001 2020-01-31.txt"
+    calls = spark.sparkContext.accumulator(0)
+    texts = F.udf(lambda x: (calls.add(1), x)[1])
+    files = spark.createDataFrame([(name, card)], "name string, text string").withColumn("text", texts("text"))
+    got = audit_job.run_audit(files, "statement_extraction")[0]
+    assert calls.value == 1 and "audit-reconciliation" not in made
+    row = got["statement_extraction"].collect()[0]
+    assert (row["filename"], row["row_count"], row["extract_status"], row["account_key"]) == (name, 1, "ok", "visa-0001")
+    # two files of one name are two rows, not four
+    both = audit_job.run_audit(spark.createDataFrame([(name, card)] * 2, "name string, text string"), "statement_reconciliation")[0]
+    assert both["statement_reconciliation"].count() == 2
+    odd = spark.createDataFrame([("credit line statement-0007 2021-13-40 x",), ("Visa Statement-1 2020-01-31",), (None,)], "stem string")
+    said = odd.select(*[c.alias(n) for n, c in statement_meta(F.col("stem")).items()]).collect()
+    assert [tuple(r) for r in said] == [("credit_line", "0007", None, "2021-13", "credit_line-0007"), ("unknown", None, None, None, "unknown"), ("unknown", None, None, None, "unknown")]
