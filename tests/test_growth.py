@@ -108,3 +108,14 @@ def test_the_audit_joins_each_file_once_and_makes_its_texts_once(spark, monkeypa
     odd = spark.createDataFrame([("credit line statement-0007 2021-13-40 x",), ("Visa Statement-1 2020-01-31",), (None,)], "stem string")
     said = odd.select(*[c.alias(n) for n, c in statement_meta(F.col("stem")).items()]).collect()
     assert [tuple(r) for r in said] == [("credit_line", "0007", None, "2021-13", "credit_line-0007"), ("unknown", None, None, None, "unknown"), ("unknown", None, None, None, "unknown")]
+
+
+def test_a_rebuild_writes_whole_rows_twice(spark, monkeypatch):
+    from granary.plans import rebuild as plan
+    from granary.queries import ordered_ledger
+    from conftest import SF
+
+    made, seen = storage.written, []
+    monkeypatch.setattr(plan, "written", lambda df, name: (seen.append((name, "transaction_date" in df.columns)), made(df, name))[1])
+    got = plan.rebuild(ordered_ledger(spark, SF).where("account_label < 'acct-0010'"), full_html=False)
+    assert got.count() > 0 and [name for name, whole in seen if whole] == ["raw", "enriched"]

@@ -147,3 +147,25 @@ def test_keys_give_the_best_of_all_candidates():
             seen = [x for x in legs if 10 <= x[1] < 50]
             if seen:
                 assert all(want[n] == p for n, p in tr._settled([list(x) for x in zip(*seen)], second, 10, 49))
+
+
+def test_legs_are_matched_once(spark, monkeypatch):
+    seen, made = spark.sparkContext.accumulator(0), tr._parts
+
+    def counted(second):
+        run = made(second)
+
+        def matched(frames):
+            def each():
+                for f in frames:
+                    seen.add(len(f))
+                    yield f
+
+            return run(each())
+
+        return matched
+
+    monkeypatch.setattr(tr, "_parts", counted)
+    rows = [(i, f"a{i % 2}", datetime.date(2026, 1, 5), (100 + i // 2) * (1 if i % 2 else -1), "transfer", "o", "", True, "") for i in range(200)]
+    assert tr.first_pass(frame(spark, rows)).count() == 100
+    assert seen.value == 200
